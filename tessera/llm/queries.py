@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licenses, packing, quality, sharding, simhash, sketches, toxicity
+from tessera.llm import bpe, exact, fuzzy, licenses, packing, quality, sharding, simhash, sketches, toxicity
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup_digests(documents(spark, sf_dir))
+
+
 def op7_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 40)
 
@@ -47,9 +51,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.passages(documents(spark, sf_dir))
+
+
 def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_versions(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_quality, op3_toxicity, op4_bpe, op5_simhash, op7_ring, op8_packing, op10_sketches)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_quality, op3_toxicity, op4_bpe, op5_simhash, op6_suffixes, op7_ring, op8_packing, op9_chains, op10_sketches)}
 SQL: dict[str, str] = {}
