@@ -1,15 +1,15 @@
 """Quality rules from DataFrame functions alone: base rules and a hashed n-gram log-likelihood ratio.
 
 The ratio compares two multinomials over hashed token unigrams and bigrams: one
-counted over the trusted documents (``labels.quality`` = 1), one over all
+counted over trusted documents (``labels.quality`` = 1), one over all
 documents. A document's score is the mean of log p(trusted) - log p(raw) over
 its n-grams; documents below ``THRESHOLD`` go, whatever else is in the table.
 
-Counts cover every document. They are summed by bucket before the shuffle, so
-``BUCKETS`` rows reach the driver however large the corpus is, and go back into
-the plan as one constant array. Only the trusted side joins documents with
-labels (Spark puts a Bloom filter of the labelled ids before that shuffle when
-tables are large); counting the raw side and scoring shuffle no text.
+The raw side counts every document. The trusted side is fitted on at most
+``TRUSTED`` labelled documents, those with the smallest hashes, whose ids are
+broadcast, so that counting and scoring shuffle no text. Counts are summed by
+bucket before the shuffle: ``BUCKETS`` rows reach the driver however large the
+corpus is, and go back into the plan as one constant array.
 
 Cases: null and empty texts have no words and fail the base rules; a text
 without n-grams scores 0; without trusted documents all scores are 0; repeated
@@ -24,11 +24,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, SPACE_CLASS
+from tessera.llm.common import SPACE_CHARS
 
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.25
+BUCKETS, SMOOTHING, THRESHOLD, TRUSTED = 1 << 14, 1.0, -0.25, 50_000
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, ANY_SYMBOL = "#*$%&|<>", "[#*$%&|<>]"
+#: Space and the five ASCII controls tab to carriage return.
+SPACE = r"[\x20\x09-\x0D]"
 #: Runs of letters and digits, or of anything else that isn't white space.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 
@@ -43,13 +45,14 @@ def chained(a: Column, a_skip: int, b: Column, b_skip: int, n: Column) -> Column
     return F.zip_with(tail(a, a_skip, n), tail(b, b_skip, n), lambda x, y: F.xxhash64(x, y))
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, text and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def base_features(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text, carried columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    solid = F.translate(text, SPACE_CHARS, "")
-    rows = docs.select("doc_id", text.alias("text")).withColumn("_h", F.transform(F.filter(F.split("text", SPACE_CLASS), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    # one piece more than there are separators; words are the pieces that aren't empty
+    rows = docs.select("doc_id", text.alias("text"), *carried).withColumn("_pieces", F.split("text", SPACE))
+    rows = rows.withColumn("_h", F.transform(F.filter("_pieces", lambda w: w != ""), lambda w: F.xxhash64(w)))
     rows = rows.withColumn("n_words", F.size("_h").cast("long"))
-    rows = rows.withColumn("_lines", F.filter(F.split("text", "\n"), lambda s: F.translate(s, SPACE_CHARS, "") != ""))
+    rows = rows.withColumn("_lines", F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(SPACE_CHARS)) != ""))
     # hashes of five-word windows: words 0-1, then 0-3, then 0-4
     n = F.col("n_words").cast("int")
     rows = rows.withColumn("_two", chained(F.col("_h"), 0, F.col("_h"), 1, n - 1))
@@ -66,9 +69,10 @@ def base_features(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "text",
+        *carried,
         "n_words",
-        F.length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.size("_pieces") + 1).cast("long").alias("word_chars"),
+        F.when(F.col("text").rlike(ANY_SYMBOL), F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
@@ -82,30 +86,36 @@ def with_grams(rows: DataFrame) -> DataFrame:
     return rows.withColumn("grams", F.transform(F.concat("_t", chained(F.col("_t"), 0, F.col("_t"), 1, F.size("_t") - 1)), bucket)).drop("_t")
 
 
-def gram_counts(texts: DataFrame) -> dict[int, int]:
-    """Occurrences in each bucket over all texts: BUCKETS numbers at most."""
-    found = with_grams(texts.select("text")).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    return {r["g"]: r["n"] for r in found.collect()}
+def gram_counts(docs: DataFrame, trusted: DataFrame) -> dict[int, tuple[int, int]]:
+    """Occurrences in each bucket over the trusted documents, and over all: BUCKETS rows at most.
 
+    trusted: distinct doc_ids, at most TRUSTED of them, which bounds the broadcast.
+    """
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")
+    # explode_outer: Spark would put a filter on the array's size under an explode(), and compute all n-grams twice
+    grams = with_grams(marked.select("text", "trusted")).select("trusted", F.explode_outer("grams").alias("g"))
+    found = grams.groupBy("g").agg(F.count("trusted").alias("t"), F.count("*").alias("n"))
+    return {r["g"]: (r["t"], r["n"]) for r in found.collect() if r["g"] is not None}
 
-def log_ratios(trusted: dict[int, int], raw: dict[int, int]) -> list[float]:
+
+def log_ratios(counts: dict[int, tuple[int, int]]) -> list[float]:
     """log p(trusted) - log p(raw) of each bucket, with additive smoothing."""
-    n_trusted, n_raw = sum(trusted.values()), sum(raw.values())
+    n_trusted, n_raw = (sum(c[i] for c in counts.values()) for i in (0, 1))
     if not n_trusted:
         return [0.0] * BUCKETS
     flat = SMOOTHING * BUCKETS
-    return [math.log((trusted.get(b, 0) + SMOOTHING) / (n_trusted + flat)) - math.log((raw.get(b, 0) + SMOOTHING) / (n_raw + flat)) for b in range(BUCKETS)]
+    return [math.log((counts.get(b, (0, 0))[0] + SMOOTHING) / (n_trusted + flat)) - math.log((counts.get(b, (0, 0))[1] + SMOOTHING) / (n_raw + flat)) for b in range(BUCKETS)]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return log_ratios(gram_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi")), gram_counts(docs))
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> list[float]:
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    return log_ratios(gram_counts(docs, good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Base features, llr and kept of every document."""
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, base features, llr and kept of every document."""
     ratios = F.split(F.lit(",".join(repr(round(x, 9)) for x in fit(docs, labels))), ",").cast("array<double>")
-    rows = with_grams(base_features(docs))
+    rows = with_grams(base_features(docs, *carried))
     total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(ratios, g))
     rows = rows.withColumn("llr", F.round(F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0), 9))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
+    return rows.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
