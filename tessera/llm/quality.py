@@ -119,3 +119,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carr
     total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(ratios, g))
     rows = rows.withColumn("llr", F.round(F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0), 9))
     return rows.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that judge() keeps, with all of their columns."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    # a filter isn't moved below a row number; below the features it would hold each of their expressions many times over
+    judged = judge(whole, labels, threshold, ("_row",)).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    return judged.where("kept and _n >= 0").select("_row.*")

@@ -30,11 +30,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import materialize, texts_of
 from tessera.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
+#: Stands for a null doc_id where rows are joined.
+NO_ID = 2**63 - 1
 #: Fingerprints that a shard value should hold at most on average, a leaf of the tree, a task of shards.
 VALUE_ROWS, LEAF, TASK_ROWS = 256, 256, 8192
 
@@ -209,3 +212,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     found = connected_components(near_links(reps, reps.count(), radius))
     of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, with all of its columns; one row of a repeated doc_id.
+
+    Documents without doc_id stay only where none of their group has one.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    keep = near_duplicates(docs, shingle, radius).where("doc_id <=> component_id").select(key.alias("_key")).distinct()
+    rows = docs.withColumn("_key", key).join(keep, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"), "text"))
+    return rows.withColumn("_n", first).where("_n = 1").drop("_key", "_n")

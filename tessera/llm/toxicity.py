@@ -378,20 +378,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
+def sent_network(docs: DataFrame, labels: DataFrame):
+    """The network that these documents and labels give, broadcast; its size is bounded by VOCABULARY."""
+    net = train(*training_rows(docs, labels))
+    return docs.sparkSession.sparkContext.broadcast(net and (net.vocabulary, net.p))
+
+
+def scorer_of(sent) -> Scorer | None:
+    if not sent.value:
+        return None
+    net = Network.__new__(Network)
+    net.vocabulary, net.p = sent.value
+    return Scorer(net)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    net = train(*training_rows(docs, labels))
-    sent = docs.sparkSession.sparkContext.broadcast(net and (net.vocabulary, net.p))
+    sent = sent_network(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        if sent.value:
-            net = Network.__new__(Network)
-            net.vocabulary, net.p = sent.value
-            scorer = Scorer(net)
+        scorer = scorer_of(sent)
         for b in batches:
             found = scorer.scores(texts_of(b)) if scorer else [0.0] * b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score less than the threshold, with all of their columns."""
+    sent = sent_network(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(sent)
+        for b in batches:
+            yield b.filter(pa.array([x < threshold for x in scorer.scores([t or "" for t in b.column(at).to_pylist()])], pa.bool_())) if scorer else b
+
+    return docs.mapInArrow(run, docs.schema)
