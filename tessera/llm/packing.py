@@ -122,8 +122,10 @@ def improve(bins: Bins, sizes: list[int], tries: int = 200_000) -> None:
                 step(bins, sizes, low, a)
         if not bins.items[low]:
             used -= 1
-        elif bins.items[low] == before:
+        if bins.items[low] == before:
             stuck.add(low)
+        else:  # what was stuck may have a partner now
+            stuck.clear()
 
 
 def step(bins: Bins, sizes: list[int], low: int, a: int) -> None:
