@@ -105,56 +105,64 @@ def best_fit(sizes: list[int], capacity: int) -> Bins:
     return bins
 
 
-def improve(bins: Bins, sizes: list[int], tries: int = 200_000) -> None:
-    """Local search over underfull bins. Each step makes the fuller of two bins fuller still, by which the sum of squared fills grows; ``tries`` bounds the time of a group."""
+def improve(bins: Bins, sizes: list[int], looks: int = 20_000) -> None:
+    """Local search over underfull bins until bins come empty.
+
+    Each step makes the fuller of two bins fuller still, by which the sum of
+    squared fills grows, so the search ends; ``looks`` at other bins bound its
+    time where very many bins are underfull.
+    """
     least = -(-sum(sizes) // bins.capacity)
     used = sum(1 for x in bins.items if x)
     stuck: set[int] = set()
-    while used > least and tries > 0:
-        room = max((r for r in range(bins.capacity) if bins.by_room[r] - stuck), default=0)
+    bins.looks = looks
+    while used > least and bins.looks > 0:
+        room = next((r for r in range(bins.capacity - 1, 0, -1) if bins.by_room[r] - stuck), 0)
         if not room:
             return
         low = min(bins.by_room[room] - stuck)
-        before = list(bins.items[low])
-        for a in sorted(before, key=lambda i: -sizes[i]):
-            if bins.items[low] and a in bins.items[low]:
-                tries -= 1
-                step(bins, sizes, low, a)
+        changed = False
+        for a in sorted(bins.items[low], key=lambda i: -sizes[i]):
+            if a in bins.items[low]:
+                changed |= step(bins, sizes, low, a)
         if not bins.items[low]:
             used -= 1
-        if bins.items[low] == before:
-            stuck.add(low)
-        else:  # what was stuck may have a partner now
+        if changed:  # what was stuck may have a partner now
             stuck.clear()
+        else:
+            stuck.add(low)
 
 
-def step(bins: Bins, sizes: list[int], low: int, a: int) -> None:
-    """Move a out of the bin low, or exchange it for less."""
-    k = bins.best(sizes[a], low)
-    if k >= 0:  # move
-        bins.take(a, sizes[a], low)
-        bins.add(a, sizes[a], k)
-        return
+def step(bins: Bins, sizes: list[int], low: int, a: int) -> bool:
+    """Move a out of the bin low into a fuller one, or exchange it for less there."""
+    size, free = sizes[a], bins.free
+    k = bins.best(size, low)
+    if k >= 0 and free[k] - size < free[low]:  # move
+        bins.take(a, size, low)
+        bins.add(a, size, k)
+        return True
     mine = [x for x in bins.items[low] if x != a]
-    for room in range(sizes[a] - 1, 0, -1):
-        for k in list(bins.by_room[room])[:50]:
-            if k == low or bins.free[k] > bins.free[low]:
+    for room in range(1, min(free[low], bins.capacity - 1) + 1):
+        for k in list(bins.by_room[room]):
+            if k == low:
                 continue
+            bins.looks -= 1
+            if bins.looks < 0:
+                return False
             theirs = bins.items[k]
-            for b in theirs:  # one for one: a for a smaller b
-                if 0 < sizes[a] - sizes[b] <= room:
+            for i, b in enumerate(theirs):
+                if 0 < size - sizes[b] <= room:  # one for one
                     return swap(bins, sizes, low, [a], k, [b])
-            for i, b in enumerate(theirs):  # a for two smaller ones
-                for c in theirs[i + 1 :]:
-                    if 0 < sizes[a] - sizes[b] - sizes[c] <= room:
+                for c in theirs[i + 1 :]:  # one for two
+                    if 0 < size - sizes[b] - sizes[c] <= room:
                         return swap(bins, sizes, low, [a], k, [b, c])
-            for x in mine:  # two for one larger
-                for b in theirs:
-                    if 0 < sizes[a] + sizes[x] - sizes[b] <= room:
+                for x in mine:  # two for one
+                    if 0 < size + sizes[x] - sizes[b] <= room:
                         return swap(bins, sizes, low, [a, x], k, [b])
+    return False
 
 
-def swap(bins: Bins, sizes: list[int], low: int, out: list[int], k: int, back: list[int]) -> None:
+def swap(bins: Bins, sizes: list[int], low: int, out: list[int], k: int, back: list[int]) -> bool:
     for i in out:
         bins.take(i, sizes[i], low)
     for i in back:
@@ -163,6 +171,7 @@ def swap(bins: Bins, sizes: list[int], low: int, out: list[int], k: int, back: l
         bins.add(i, sizes[i], k)
     for i in back:
         bins.add(i, sizes[i], low)
+    return True
 
 
 def pack_group(pdf: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
