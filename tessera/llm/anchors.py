@@ -8,11 +8,14 @@ whole run of neighbouring strings shares one.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
-K, HASH_BITS, PLACE_BITS = 16, 40, 24
+K, HASH_BITS, PLACE_BITS = 24, 40, 24
 #: Bytes that are looked at together; a longer text is met in stretches of so many strings.
 STRETCH = 4_000_000
+BASE = 0x9E3779B97F4A7C55
 _U = np.uint64
 
 
@@ -31,6 +34,14 @@ def eights(buf: np.ndarray) -> np.ndarray:
     return (x[:-4] | (x[4:] << _U(32)))[: len(buf)]
 
 
+@functools.lru_cache(maxsize=2)
+def powers(base: int) -> np.ndarray:
+    """Powers of an odd number, as many as a stretch has places."""
+    out = np.full(STRETCH + 1000, base, "u8")
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Anchors:
     """Anchors of the span-byte strings of several texts that lie in buf one after the other.
 
@@ -53,9 +64,13 @@ class Anchors:
         if n < span:
             return empty, empty, empty, empty.astype("u8"), empty.astype("u8")
         x = eights(buf)
-        mixed = mix(x)
-        tail = np.concatenate([mixed[8:], np.zeros(8, "u8")])
-        gram = mix(mixed * _U(0x9E3779B97F4A7C15) + tail)  # of K = 16 bytes
+        gram = x * _U(0x9E3779B97F4A7C15)  # of K = 24 bytes
+        gram[:-8] += x[8:] * _U(0xC2B2AE3D27D4EB4F)
+        gram[:-16] += x[16:] * _U(0x165667B19E3779F9)
+        gram ^= gram >> _U(29)
+        gram *= _U(0xBF58476D1CE4E5B9)
+        gram ^= gram >> _U(32)
+        gram *= _U(0x94D049BB133111EB)
         low_bits = _U((1 << PLACE_BITS) - 1)
         v = (gram & ~low_bits) | np.arange(n, dtype="u8")
         width = span - K + 1
@@ -79,13 +94,12 @@ class Anchors:
         at, low, high = where[first], windows[first], windows[last]
         hashed = gram[at] >> _U(PLACE_BITS)
         # a sum of mixed 8-byte grams times powers of an odd base: any stretch's hash from two prefix sums
-        base, inverse = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
-        power = np.full(n + 1, base, "u8")
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        back = np.full(n + 1, inverse, "u8")
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        total = np.concatenate([np.zeros(1, "u8"), np.cumsum(mixed * power[:n], dtype="u8")])
+        x *= _U(0xFF51AFD7ED558CCD)
+        x ^= x >> _U(32)
+        x *= _U(0xC4CEB9FE1A85EC53)
+        x *= powers(BASE)[:n]
+        total = np.zeros(n + 1, "u8")
+        np.cumsum(x, out=total[1:])
+        back = powers(pow(BASE, -1, 1 << 64))
         summed = (total[high + span - 7] - total[low]) * back[low]
         return at, low, high, hashed, mix(summed + ((at - low) * 131 + (high - low)).astype("u8"))
