@@ -60,4 +60,16 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_quality, op3_toxicity, op4_bpe, op5_simhash, op6_suffixes, op7_ring, op8_packing, op9_chains, op10_sketches)}
-SQL: dict[str, str] = {}
+#: Places that start a string of 50 bytes which a smaller document has, islands of them, and what lies between the islands.
+SQL: dict[str, str] = {
+    "op6_suffixes": """with d as (select doc_id, encode(coalesce(text, '')) as b from documents), n as (select doc_id, b, octet_length(b) as n from d),
+w as (select doc_id, i, b[i:i + 49] as s from (select doc_id, b, unnest(generate_series(1, n - 49)) as i from n where n >= 50)),
+f as (select s, min(doc_id) as m from w group by s), c as (select doc_id, i from w join f using (s) where m < doc_id),
+g as (select doc_id, i, sum(k) over (partition by doc_id order by i) as k from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as k from c)),
+r as (select doc_id, k, min(i) as a, max(i) + 49 as z from g group by doc_id, k),
+e as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as p from r),
+q as (select doc_id, p, a - 1 as q from e union all select doc_id, coalesce(z, 0) + 1, n from n left join (select doc_id, max(z) as z from r group by doc_id) using (doc_id)),
+h as (select q.doc_id, string_agg(case when q.q >= q.p then hex(n.b[q.p:q.q]) else '' end, '' order by q.p) as x from q join n using (doc_id) group by q.doc_id),
+t as (select doc_id, sum(z - a + 1) as n_removed, count(*) as n_spans from r group by doc_id)
+select n.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x)) as kept_sha256 from n join h using (doc_id) left join t using (doc_id)"""
+}
