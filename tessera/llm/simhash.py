@@ -221,6 +221,6 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     keep = near_duplicates(docs, shingle, radius).where("doc_id <=> component_id").select(key.alias("_key")).distinct()
-    rows = docs.withColumn("_key", key).join(keep, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"), "text"))
-    return rows.withColumn("_n", first).where("_n = 1").drop("_key", "_n")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key")).join(keep, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row.text"), "_row.text"))
+    return rows.withColumn("_n", first).where("_n = 1").select("_row.*")

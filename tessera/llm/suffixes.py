@@ -99,8 +99,22 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     ends = np.append(begins[1:], len(at))
     firsts = np.flatnonzero(first)
     at_first = np.searchsorted(firsts, begins)
+    # of two remainders the first symbol that differs tells the order
+    two = np.flatnonzero(n_first == 2)
+    f0, f1, end = firsts[at_first[two]], firsts[at_first[two] + 1], ends[two]
+    later = np.zeros(len(two), bool)
+    open_ = np.ones(len(two), bool)
+    for k in [*range(rest, depth - SYMBOL + 1, SYMBOL), depth - SYMBOL]:
+        a, b = x[s[f0] + k], x[s[f1] + k]
+        later |= open_ & (a > b)
+        open_ &= a == b
+    n0, n1 = (f1 - f0)[later], (end - f1)[later]
+    at_old = np.repeat(f0[later] - np.cumsum(n0 + n1) + n0 + n1, n0 + n1) + np.arange((n0 + n1).sum())
+    in_first = at_old < np.repeat(f1[later], n0 + n1)
+    at_new = at_old + np.where(in_first, np.repeat(n1, n0 + n1), -np.repeat(n0, n0 + n1))
+    order[at[at_new]], new[at[at_new]] = order[at[at_old]], new[at[at_old]]
     data = buf.tobytes()
-    for i in np.flatnonzero(n_first > 1):
+    for i in np.flatnonzero(n_first > 2):
         b, e = begins[i], ends[i]
         f = firsts[at_first[i] : at_first[i] + n_first[i]]
         strings = [data[p + rest : p + depth] for p in s[f].tolist()]
