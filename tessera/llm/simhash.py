@@ -30,7 +30,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import materialize, texts_of
 from tessera.llm.components import connected_components
@@ -215,12 +214,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all of its columns; one row of a repeated doc_id.
+    """One document of each group, that of the smallest doc_id, with all of its columns.
 
-    Documents without doc_id stay only where none of their group has one.
+    Documents without doc_id stay only where none of their group has one. Rows
+    of one doc_id are one document only where their texts are in one group.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keep = near_duplicates(docs, shingle, radius).where("doc_id <=> component_id").select(key.alias("_key")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key")).join(keep, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row.text"), "_row.text"))
-    return rows.withColumn("_n", first).where("_n = 1").select("_row.*")
+    key, digest = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+    # the digest goes through fingerprints() in place of doc_id: it tells which text a fingerprint is of
+    fps = materialize(fingerprints(docs.select(digest.alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("_digest"), "fp").distinct())
+    reps = materialize(fps.select("fp", F.col("fp").alias("rep")).distinct())
+    found = connected_components(near_links(reps, reps.count(), radius))
+    of = fps.join(found, fps["fp"] == found["node"], "left").select("_digest", F.coalesce("component", "fp").alias("_group"))
+    keys = docs.groupBy(digest.alias("_digest")).agg(F.min(key).alias("_key"))
+    keep = keys.join(of, "_digest").groupBy("_group").agg(F.min(F.struct("_key", "_digest")).alias("_first")).select("_first.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), digest.alias("_digest")).join(keep, ["_key", "_digest"], "left_semi")
+    return rows.groupBy("_key", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")

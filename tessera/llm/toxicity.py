@@ -373,7 +373,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().to_pylist()  # at most 2 * sample ids, each of a bounded text
+    one = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), F.col("text"))).alias("one")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*").toArrow().to_pylist()  # at most 2 * sample rows, each of a bounded text
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

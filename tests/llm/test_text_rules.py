@@ -145,6 +145,12 @@ def test_toxicity_is_learnt(spark):
     assert toxy
 
 
+def test_training_takes_one_row_of_a_doc_id(spark):
+    docs = spark.createDataFrame([(i % 20, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    texts, toxic = toxicity.training_rows(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    assert 0 < len(texts) == len(set(texts)) <= 20 and len({int(t.split()[-1]) % 20 for t in texts}) == len(texts) == len(toxic)
+
+
 def test_licenses(spark):
     body = "Some words before.\n{}\nand after it."
     texts = {
