@@ -1,13 +1,14 @@
 """License scans by conditional compression.
 
-Candidate blocks (the lines around a license cue) are compressed once plainly
-and once with each template as a zstandard raw-content dictionary. The share of
-bytes that a template saves ranks the templates; the best few are confirmed by
-their exact wording differences: the words of the template that the block lacks
-and the words that it has in their place.
-
-Cases: null and empty texts have no blocks; texts are read whole, long lines in
-stretches around each cue; repeated rows each have their result; an empty table
+Within REACH of a license cue, whatever the line breaks, each template is held
+against the places that share pairs of words with it. What a template is alike
+enough to is compressed once plainly and once with the template as a zstandard
+raw-content dictionary, and is confirmed if that saves enough bytes. All
+confirmed notices that don't overlap are returned, with their exact wording
+differences: the words of the template that the notice lacks and the words that
+it has in their place.
+
+Cases: null and empty texts have no notices; texts are read whole; repeated rows each have their result; an empty table
 gives an empty result; only ``doc_id`` and ``text`` are read.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import texts_of
 
-#: Where a block may be. Java and Python read it alike.
+#: Where a notice may be. Java and Python read it alike.
 CUE = r"(?i)licen[cs]e|copyright|warranty|redistribut|permission is hereby|spdx|all rights reserved|public domain|creative commons"
-#: Characters of a line that a block takes on either side of a cue; lines between two cues that join their blocks.
-REACH, JOIN_LINES = 1500, 2
-#: Templates confirmed for each block, the share of bytes a template must save, and the share of its words a block must have.
-RANKED, MIN_SAVED, MIN_ALIKE = 3, 0.25, 0.8
+#: Characters on either side of a cue, more than twice the longest template's.
+REACH = 1500
+#: The share of bytes a template must save, the share of words alike, and the share of a template's word pairs that make a place worth comparing.
+MIN_SAVED, MIN_ALIKE, MIN_PAIRS = 0.25, 0.8, 0.2
 
 # Public license notices.
 TEMPLATES: dict[str, str] = {
@@ -60,8 +62,21 @@ TEMPLATES: dict[str, str] = {
 RESULT = "doc_id long, block int, start int, stop int, license_id string, plain_bytes int, template_bytes int, saved double, alike double, lacks string, adds string"
 
 
+WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+
+
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", text.lower())
+    return [w.lower() for w in WORD.findall(text)]
+
+
+@functools.cache
+def pairs_of_templates() -> dict[tuple[str, str], list[tuple[str, int]]]:
+    """For each two words in a row the templates and places that have them."""
+    found: dict[tuple[str, str], list[tuple[str, int]]] = {}
+    for name, template in TEMPLATES.items():
+        for i, pair in enumerate(itertools.pairwise(words_of(template))):
+            found.setdefault(pair, []).append((name, i))
+    return found
 
 
 @functools.cache
@@ -76,15 +91,13 @@ def compressors() -> dict[str, tuple]:
     return made
 
 
-def blocks_of(text: str, cue: re.Pattern) -> Iterator[tuple[int, int]]:
-    """(start, stop) of each candidate block: the cue's line within REACH, joined with neighbours that are at most JOIN_LINES lines away."""
+def regions(text: str, cue: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(start, stop) of what lies within REACH of cues, overlapping ones as one."""
     start = stop = -1
     for m in cue.finditer(text):
-        a = max(text.rfind("\n", 0, m.start()) + 1, m.start() - REACH)
-        b = text.find("\n", m.end())
-        b = min(len(text) if b < 0 else b, m.end() + REACH)
-        if stop >= 0 and (a <= stop or text.count("\n", stop, a) <= JOIN_LINES) and b - start <= 4 * REACH:
-            stop = max(stop, b)
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if stop >= 0 and a <= stop:
+            stop = b
             continue
         if stop >= 0:
             yield start, stop
@@ -93,49 +106,79 @@ def blocks_of(text: str, cue: re.Pattern) -> Iterator[tuple[int, int]]:
         yield start, stop
 
 
-@functools.lru_cache(maxsize=20_000)
-def identify(block: str) -> tuple | None:
-    """(license, plain size, size with it, share saved, likeness, words lacked, words added) of the confirmed winner."""
-    made = compressors()
-    data = block.encode()
-    plain = len(made[""][0].compress(data))
-    ranked = sorted((len(made[name][0].compress(data)), name) for name in TEMPLATES)
-    mine = words_of(block)
-    best = None
-    # a short notice saves as much by a long template that quotes it: sizes that tie with the last ranked are confirmed too
-    last = ranked[RANKED - 1][0] + 2
-    for size, name in ranked:
-        saved = 1 - size / plain
-        if size > last or saved < MIN_SAVED * min(1, len(TEMPLATES[name]) / len(block)):
+def best_match(theirs: list[str], mine: list[str]) -> tuple[float, list] | None:
+    """(likeness, matching runs) of a template in these words, without runs at the ends that make it less alike."""
+    match = [m for m in difflib.SequenceMatcher(None, theirs, mine, autojunk=False).get_matching_blocks() if m.size]
+
+    def alike(runs: list) -> float:
+        return 2 * sum(m.size for m in runs) / (len(theirs) + runs[-1].b + runs[-1].size - runs[0].b)
+
+    while len(match) > 1:
+        shorter = max(match[1:], match[:-1], key=alike)
+        if alike(shorter) <= alike(match):
             break
-        theirs = made[name][1]
-        match = [m for m in difflib.SequenceMatcher(None, theirs, mine, autojunk=False).get_matching_blocks() if m.size]
-        if not match:
+        match = shorter
+    return (alike(match), match) if match else None
+
+
+def candidates(words: list[str]) -> Iterator[tuple[int, float, str, list, int]]:
+    """(words kept, likeness, template, matching runs, first word of the place) of whatever is alike enough."""
+    offsets: dict[str, list[int]] = {}
+    pairs = pairs_of_templates()
+    for i, pair in enumerate(itertools.pairwise(words)):
+        for name, at in pairs.get(pair, ()):
+            offsets.setdefault(name, []).append(i - at)
+    for name, found in offsets.items():
+        theirs = compressors()[name][1]
+        slack, least = len(theirs) // 4 + 3, MIN_PAIRS * (len(theirs) - 1)
+        found.sort()
+        cuts = [0, *[i for i in range(1, len(found)) if found[i] - found[i - 1] > slack], len(found)]
+        for a, b in itertools.pairwise(cuts):
+            if b - a < least:
+                continue
+            todo = [(max(0, found[a] - slack), min(len(words), found[b - 1] + len(theirs) + slack))]
+            while todo:
+                low, high = todo.pop()
+                if high - low < len(theirs) // 2 or not (best := best_match(theirs, words[low:high])) or best[0] < MIN_ALIKE:
+                    continue
+                alike, match = best
+                yield sum(m.size for m in match), alike, name, match, low
+                todo += [(low, low + match[0].b), (low + match[-1].b + match[-1].size, high)]
+
+
+def notices(text: str) -> list[tuple]:
+    """(start, stop, license, plain size, size with it, share saved, likeness, words lacked, words added) of the notices of a region, those with the most words of a template first where some overlap."""
+    spots = [m.span() for m in WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in spots]
+    made, taken, out = compressors(), bytearray(len(words)), []
+    for _, alike, name, match, low in sorted(candidates(words), key=lambda c: (-c[0], -c[1], c[2], c[4])):
+        first, end = low + match[0].b, low + match[-1].b + match[-1].size
+        if any(taken[first:end]):
+            continue
+        start, stop = spots[first][0], spots[end - 1][1]
+        data = text[start:stop].encode()
+        plain, size = len(made[""][0].compress(data)), len(made[name][0].compress(data))
+        if 1 - size / plain < MIN_SAVED:
             continue
-        kept = sum(m.size for m in match)
-        inner = mine[match[0].b : match[-1].b + match[-1].size]
-        alike = 2 * kept / (len(theirs) + len(inner))
-        if alike >= MIN_ALIKE and (best is None or (alike, len(theirs), name) > best[0]):
-            held = [w for m in match for w in range(m.a, m.a + m.size)]
-            has = {i - match[0].b for m in match for i in range(m.b, m.b + m.size)}
-            lacks = " ".join(w for i, w in enumerate(theirs) if i not in set(held))
-            adds = " ".join(w for i, w in enumerate(inner) if i not in has)
-            best = (alike, len(theirs), name), (name, plain, size, saved, alike, lacks, adds)
-    return best and best[1]
+        taken[first:end] = b"\1" * (end - first)
+        held = {w for m in match for w in range(m.a, m.a + m.size)}
+        has = {low + i for m in match for i in range(m.b, m.b + m.size)}
+        lacks = " ".join(w for i, w in enumerate(made[name][1]) if i not in held)
+        adds = " ".join(words[i] for i in range(first, end) if i not in has)
+        out.append((start, stop, name, plain, size, 1 - size / plain, alike, lacks, adds))
+    return sorted(out)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each block of a document that holds a confirmed license."""
+    """One row for each confirmed license notice of a document; block numbers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cue = re.compile(CUE)
-        for b in batches:
+        for batch in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                for i, (start, stop) in enumerate(blocks_of(text, cue)):
-                    found = identify(text[start:stop])
-                    if found:
-                        out.append((doc, i, start, stop, *found))
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                found = [(a + x[0], a + x[1], *x[2:]) for a, b in regions(text, cue) for x in notices(text[a:b])]
+                out += [(doc, i, *x) for i, x in enumerate(found)]
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=schema)
 
     names = [x.split()[0] for x in RESULT.split(", ")]

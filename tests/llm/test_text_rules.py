@@ -176,6 +176,20 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licenses_wrapped_or_adjacent(spark):
+    import textwrap
+
+    names = ["MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "Unlicense"]
+    texts = {i: ("Some words before. " * 30 + "\n" + textwrap.fill(licenses.TEMPLATES[n], 80) + "\n" + "and words after " * 30) for i, n in enumerate(names)}
+    texts[10] = licenses.TEMPLATES["MIT-short"] + "\n" + licenses.TEMPLATES["Apache-2.0-short"]
+    texts[11] = textwrap.fill(licenses.TEMPLATES["MIT"], 72) + "\n" + textwrap.fill(licenses.TEMPLATES["BSD-3-Clause"], 72)
+    texts[12] = textwrap.fill(licenses.TEMPLATES["GPL-3.0"].replace("redistribute", "share").replace("GNU", "gnu the"), 40).replace("\n", "\n * ")
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r.license_id)
+    assert {i: sorted(x) for i, x in found.items()} == {i: [n] for i, n in enumerate(names)} | {10: ["Apache-2.0-short", "MIT-short"], 11: ["BSD-3-Clause", "MIT"], 12: ["GPL-3.0"]}
+
+
 def brute_sets(t):
     return set(sketches.digests(t).tolist())
 
