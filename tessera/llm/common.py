@@ -20,9 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset and all run in one process, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +48,12 @@ def release(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_group(df: DataFrame, key: str, groups: int):
+    """Grouped by key, in as many tasks as the number of groups asks for: a task's share stays the same at every size."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(groups // 4, min(groups, 4 * cores)), key).groupBy(key)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; a null text is an empty one."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
