@@ -51,7 +51,7 @@ def release(df: DataFrame | None) -> None:
 def by_group(df: DataFrame, key: str, groups: int):
     """Grouped by key, in as many tasks as the number of groups asks for: a task's share stays the same at every size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(groups // 4, min(groups, 4 * cores)), key).groupBy(key)
+    return df.repartition(max(groups // 2, min(groups, 4 * cores)), key).groupBy(key)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
