@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import licenses, quality, sketches, toxicity
@@ -219,3 +220,40 @@ def test_sketches(spark):
     lone = sketches.compare_versions(df.where("doc_id = 402")).collect()
     assert len(lone) == 1 and lone[0].near_next == 1
     assert sketches.compare_versions(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("base", [0, 7 * 10**17, -(2**62), 2**63 - 4000])
+def test_sketches_of_long_ids(spark, base):
+    """Boundaries between tasks are exact for any long; likenesses follow from the returned strings alone."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6)))
+    rows = [(base + 3 * i, " ".join(word() for _ in range(rng.randint(0, 90)))) for i in range(200)]
+    rows += [(base + 31, "same id " * n) for n in range(20)] + [(base + 32, "same row")] * 3
+    got = sketches.compare_versions(spark.createDataFrame(rows, "doc_id long, text string"), rows_of_task=20).collect()
+    assert len(got) == len(rows)
+    shas = {(r.doc_id, r.edited_sha256) for r in got}
+    order = sorted(rows, key=lambda r: -r[0])
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        if i in (base + 31, base + 32) or after[0] in (base + 31, base + 32):
+            continue
+        n = len(t) // 3
+        assert (i, hashlib.sha256((t[: len(t) - n] + after[1][:n]).encode()).hexdigest()) in shas
+    prints = {r.doc_id: r for r in got}
+    for k, (i, t) in enumerate(order):
+        r, after = prints[i], prints[order[(k + 1) % len(order)][0]]
+        assert r.near_edited == sketches.likeness_of(r.fingerprint, r.edited_fingerprint)
+        if base + 32 not in (i, after.doc_id) and base + 31 not in (i, after.doc_id):
+            assert r.near_next == sketches.likeness_of(r.fingerprint, after.fingerprint)
+
+
+def test_fingerprints_compare_at_any_size():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6)))
+    for n, m in ((0, 0), (0, 50), (3, 4000), (2000, 2000), (1, 1)):
+        a, b = (" ".join(word() for _ in range(k)) for k in (n, m))
+        b = a[: len(a) // 2] + b
+        x, y = brute_sets(a), brute_sets(b)
+        left, right = sketches.fingerprints(sketches.sets_of([a, b]))
+        assert sketches.likeness_of(left, right) == (1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1)
+        assert sketches.likeness_of(left, left) == 1
