@@ -50,12 +50,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a tokenizers JSON file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
+
 @functools.lru_cache(maxsize=4)
-def load(path: str, pattern: str):
+def load(path: str, pattern: str, with_added: bool = False):
     """One encoding for each Python worker; every executor reads the file from its own installed copy."""
     import tiktoken
 
-    return tiktoken.Encoding("local-ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    added = added_tokens(path) if with_added and path.endswith(".json") else {}
+    return tiktoken.Encoding("local-ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens=added)
 
 
 def parts(text: str, long: int = LONG, part: int = PART) -> Iterator[str]:
@@ -70,12 +77,14 @@ def parts(text: str, long: int = LONG, part: int = PART) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encode_text(encoding, text: str) -> list[int]:
+def encode_text(encoding, text: str, with_added: bool = False) -> list[int]:
+    """The ids of a text; added tokens that it spells out (they hold no white space) have their own only where asked for."""
+    ids_of = (lambda t: encoding.encode(t, allowed_special="all")) if with_added else encoding.encode_ordinary
     if len(text) <= LONG:
-        return encoding.encode_ordinary(text)
+        return ids_of(text)
     ids: list[int] = []
     for piece in parts(text):
-        ids += encoding.encode_ordinary(piece)
+        ids += ids_of(piece)
     return ids
 
 

@@ -5,17 +5,28 @@ are cut into full pieces with the shorter piece first. Pieces are dealt at
 random (by a hash of document and piece) into groups of a bounded number of
 documents, so a task never grows with the corpus. Each group is packed by best
 fit over decreasing lengths; then a local search works on its underfull bins:
-it moves a document, exchanges one for one or two for one, always so that the
-sum of squared fills grows, until bins come empty or no such step is left. A
-group can leave at most about one bin short of full for want of company.
+it moves a document, exchanges one for one, one for two or two for one, always
+into a bin that is as full or fuller, by which the sum of squared fills grows,
+until no such step is left or as many bins are used as any packing needs (total
+size, and documents of which no two fit together). Partners are looked up by the
+sizes, and sums of two sizes, that bins with so much room hold: a bin has at most
+44 different sizes, so the index stays small. A group can leave at most about
+one bin short of full for want of company.
+
+Ids are those of the JSON file's tokenizer without special tokens added: its
+added tokens have their own ids where a text spells them out.
 
 Cases: null texts are empty and are one separator; repeated rows are packed
-once each; an empty table gives an empty result; other columns are ignored.
+once each; ties of length go by doc_id and piece (null doc_ids last), and equal
+rows are interchangeable; texts of any length are encoded whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +53,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, s
     """One row for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load(path, pattern)
+        encoding = load(path, pattern, with_added=True)
         for b in batches:
             out: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                ids = np.array([*encode_text(encoding, t), separator], dtype="<u4")
+                ids = np.array([*encode_text(encoding, t, with_added=True), separator], dtype="<u4")
                 out += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), capacity))]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -105,72 +116,131 @@ def best_fit(sizes: list[int], capacity: int) -> Bins:
     return bins
 
 
-def improve(bins: Bins, sizes: list[int], looks: int = 20_000) -> None:
-    """Local search over underfull bins until bins come empty.
-
-    Each step makes the fuller of two bins fuller still, by which the sum of
-    squared fills grows, so the search ends; ``looks`` at other bins bound its
-    time where very many bins are underfull.
-    """
-    least = -(-sum(sizes) // bins.capacity)
-    used = sum(1 for x in bins.items if x)
-    stuck: set[int] = set()
-    bins.looks = looks
-    while used > least and bins.looks > 0:
-        room = next((r for r in range(bins.capacity - 1, 0, -1) if bins.by_room[r] - stuck), 0)
-        if not room:
+def fewest_bins(sizes: list[int], capacity: int) -> int:
+    """How many bins any packing needs: for each k, documents over capacity - k are alone, those over half don't meet, and those from k to half need what these leave."""
+    count = np.bincount(sizes, minlength=capacity + 1) if sizes else np.zeros(capacity + 1, "i8")
+    number, total = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    half, most = capacity // 2, 0
+    for k in range(1, half + 1):
+        alone, big = number[-1] - number[capacity - k], number[capacity - k] - number[half]
+        left = big * capacity - (total[capacity - k] - total[half])
+        most = max(most, int(alone + big + max(0, -(-(total[half] - total[k - 1] - left) // capacity))))
+    return max(most, -(-int(total[-1]) // capacity))
+
+
+class Index:
+    """For each amount of room the sizes, and sums of two sizes, that bins with it hold, as bit masks; and which bins."""
+
+    def __init__(self, bins: Bins, sizes: list[int]):
+        self.bins, self.sizes = bins, sizes
+        self.masks: list[dict[int, int]] = [{}, {}, {}]
+        self.holders: list[dict[tuple[int, int], set[int]]] = [{}, {}, {}]
+        self.known: dict[int, tuple[int, tuple]] = {}
+        for k in range(len(bins.items)):
+            self.renew(k)
+
+    def renew(self, k: int) -> None:
+        """Bin k has changed."""
+        if k in self.known:
+            room, found = self.known.pop(k)
+            for n in (1, 2):
+                for size in found[n - 1]:
+                    self.holders[n][room, size].discard(k)
+                    if not self.holders[n][room, size]:
+                        self.masks[n][room] &= ~(1 << size)
+        room, items = self.bins.free[k], self.bins.items[k]
+        if not room or not items:
             return
-        low = min(bins.by_room[room] - stuck)
+        count = Counter(self.sizes[i] for i in items)
+        ones = tuple(count)
+        twos = tuple({a + b for a, b in itertools.combinations(ones, 2)} | {2 * a for a, n in count.items() if n > 1})
+        self.known[k] = room, (ones, twos)
+        for n, found in ((1, ones), (2, twos)):
+            for size in found:
+                self.holders[n].setdefault((room, size), set()).add(k)
+                self.masks[n][room] = self.masks[n].get(room, 0) | 1 << size
+
+    def partner(self, n: int, size: int, most_room: int, without: int) -> tuple[int, int] | None:
+        """(bin, sum of n of its documents): one that holds less than size, but no more than its room less; as full as may be."""
+        for room in sorted(self.masks[n]):
+            if room > most_room:
+                break
+            low = max(1, size - room)
+            found = self.masks[n][room] >> low & ((1 << (size - low)) - 1)
+            while found:
+                its = low + (found & -found).bit_length() - 1
+                k = next((k for k in self.holders[n][room, its] if k != without), None)
+                if k is not None:
+                    return k, its
+                found &= found - 1
+        return None
+
+
+def improve(bins: Bins, sizes: list[int]) -> None:
+    """Local search over underfull bins, the emptiest first, until no step is left or no packing has fewer bins."""
+    least = fewest_bins(sizes, bins.capacity)
+    used = sum(1 for x in bins.items if x)
+    if used <= least:
+        return
+    index, changed = Index(bins, sizes), True
+    while changed:
         changed = False
-        for a in sorted(bins.items[low], key=lambda i: -sizes[i]):
-            if a in bins.items[low]:
-                changed |= step(bins, sizes, low, a)
-        if not bins.items[low]:
-            used -= 1
-        if changed:  # what was stuck may have a partner now
-            stuck.clear()
-        else:
-            stuck.add(low)
-
-
-def step(bins: Bins, sizes: list[int], low: int, a: int) -> bool:
-    """Move a out of the bin low into a fuller one, or exchange it for less there."""
-    size, free = sizes[a], bins.free
-    k = bins.best(size, low)
-    if k >= 0 and free[k] - size < free[low]:  # move
-        bins.take(a, size, low)
-        bins.add(a, size, k)
-        return True
-    mine = [x for x in bins.items[low] if x != a]
-    for room in range(1, min(free[low], bins.capacity - 1) + 1):
-        for k in list(bins.by_room[room]):
-            if k == low:
-                continue
-            bins.looks -= 1
-            if bins.looks < 0:
-                return False
-            theirs = bins.items[k]
-            for i, b in enumerate(theirs):
-                if 0 < size - sizes[b] <= room:  # one for one
-                    return swap(bins, sizes, low, [a], k, [b])
-                for c in theirs[i + 1 :]:  # one for two
-                    if 0 < size - sizes[b] - sizes[c] <= room:
-                        return swap(bins, sizes, low, [a], k, [b, c])
-                for x in mine:  # two for one
-                    if 0 < size + sizes[x] - sizes[b] <= room:
-                        return swap(bins, sizes, low, [a, x], k, [b])
+        for low in sorted(index.known, key=lambda k: (-bins.free[k], k)):
+            while bins.items[low] and bins.free[low] and step(bins, index, low):
+                changed = True
+            if not bins.items[low]:
+                used -= 1
+                if used <= least:
+                    return
+                index.renew(low)
+
+
+def step(bins: Bins, index: Index, low: int) -> bool:
+    """Move a document of the bin low into a bin as full or fuller, or exchange one for one, one for two or two for one there."""
+    sizes, free = index.sizes, bins.free
+    own = {sizes[i]: i for i in bins.items[low]}  # one of each size
+    for size in sorted(own, reverse=True):
+        k = bins.best(size, low)
+        if k >= 0 and free[k] <= free[low]:
+            return exchange(bins, index, low, [own[size]], k, [])
+    for size in sorted(own, reverse=True):
+        for n in (1, 2):
+            found = index.partner(n, size, free[low], low)
+            if found:
+                return exchange(bins, index, low, [own[size]], found[0], some(bins, sizes, found[0], n, found[1]))
+    count = Counter(sizes[i] for i in bins.items[low])
+    for a, b in itertools.combinations_with_replacement(sorted(own, reverse=True), 2):
+        if a == b and count[a] < 2 or a + b > bins.capacity:
+            continue
+        found = index.partner(1, a + b, free[low], low)
+        if found:
+            return exchange(bins, index, low, some(bins, sizes, low, 2, a + b, (a, b)), found[0], some(bins, sizes, found[0], 1, found[1]))
     return False
 
 
-def swap(bins: Bins, sizes: list[int], low: int, out: list[int], k: int, back: list[int]) -> bool:
-    for i in out:
-        bins.take(i, sizes[i], low)
-    for i in back:
-        bins.take(i, sizes[i], k)
-    for i in out:
-        bins.add(i, sizes[i], k)
-    for i in back:
-        bins.add(i, sizes[i], low)
+def some(bins: Bins, sizes: list[int], k: int, n: int, total: int, named: tuple[int, int] | None = None) -> list[int]:
+    """n documents of bin k whose sizes add up to total (and are the named ones)."""
+    items = bins.items[k]
+    if n == 1:
+        return [next(i for i in items if sizes[i] == total)]
+    first = {}
+    for i in items:
+        rest = total - sizes[i]
+        if rest in first and (named is None or sizes[i] in named):
+            return [first[rest], i]
+        first.setdefault(sizes[i], i)
+    raise AssertionError("the index knows a pair that the bin hasn't")
+
+
+def exchange(bins: Bins, index: Index, low: int, out: list[int], k: int, back: list[int]) -> bool:
+    for items, source in ((out, low), (back, k)):
+        for i in items:
+            bins.take(i, index.sizes[i], source)
+    for items, to in ((out, k), (back, low)):
+        for i in items:
+            bins.add(i, index.sizes[i], to)
+    index.renew(low)
+    index.renew(k)
     return True
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import public_tokenizers
@@ -43,10 +44,19 @@ def test_round_trip(spark, reference):
     assert bpe.round_trip(df.where("false"), RANKS, PATTERN).count() == 0
 
 
-def test_packing(spark, reference):
-    texts = [*TEXTS, *[f"text number {i} " * (i % 90) for i in range(400)], None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+@pytest.fixture(scope="module")
+def with_added_tokens():
+    t = Tokenizer.from_file(JSON)
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing(spark, with_added_tokens):
+    reference = with_added_tokens
+    texts = [*TEXTS, "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x <|endoftext", "word <|endoftext|>" * 20_000, *[f"text number {i} " * (i % 90) for i in range(400)], None]
+    df = spark.createDataFrame([(i, t, i, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, length int, piece string, bin_group int")
     rows = packing.pack(df, JSON, PATTERN, group=150).collect()
+    again = packing.pack(df.unionByName(df).withColumn("doc_id", df["doc_id"] * 0), JSON, PATTERN, group=150).collect()
+    assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in again) == sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows for _ in "ab")
     by_doc, by_bin = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -78,3 +88,56 @@ def test_local_search_empties_bins():
     assert sum(1 for b in bins.items if b) == 3
     assert sorted(i for b in bins.items for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) + bins.free[k] == 10 for k, b in enumerate(bins.items))
+
+
+def fewest(sizes, capacity):
+    """The fewest bins, by trying all."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= sizes[i]:
+                place(i + 1, [*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_small_sets_beside_all_packings():
+    rng = random.Random(5)
+    better = wrong = 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(2, 12) for _ in range(rng.randint(4, 10))), reverse=True)
+        bins = packing.best_fit(sizes, 20)
+        before = sum(1 for b in bins.items if b)
+        packing.improve(bins, sizes)
+        after = sum(1 for b in bins.items if b)
+        assert sorted(i for b in bins.items for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) + bins.free[k] == 20 >= sum(sizes[i] for i in b) for k, b in enumerate(bins.items))
+        assert packing.fewest_bins(sizes, 20) <= fewest(sizes, 20) <= after <= before
+        better, wrong = better + (after < before), wrong + (after > fewest(sizes, 20))
+    assert wrong <= 3
+
+
+def test_hard_sets_for_best_fit():
+    """Thirds and halves that best fit over decreasing lengths puts together wrongly; the search comes to the fewest bins."""
+    sizes = sorted([6, 7, 15, 21, 34, 40, 51, 56, 68] * 8 + [516, 346, 162] * 40 + [520, 260, 244] * 40, reverse=True)
+    bins = packing.best_fit(sizes, 1024)
+    before = sum(1 for b in bins.items if b)
+    packing.improve(bins, sizes)
+    after = sum(1 for b in bins.items if b)
+    assert packing.fewest_bins(sizes, 1024) <= after <= before
+    hard = [4, 4, 4, 4, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3]  # 46 in bins of ten
+    hard = sorted(hard * 30, reverse=True)
+    bins = packing.best_fit(hard, 10)
+    before = sum(1 for b in bins.items if b)
+    packing.improve(bins, hard)
+    assert sum(1 for b in bins.items if b) < before
+    assert packing.fewest_bins([6] * 50, 10) == 50 and packing.fewest_bins([], 10) == 0 and packing.fewest_bins([6] * 50 + [4] * 60, 10) == 54
