@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-CITATION = StructType([StructField(n, k) for n, k in (("kind", StringType()), ("rule_key", StringType()), ("citation", StringType()), ("start", IntegerType()), ("stop", IntegerType()))])
+CITATION = StructType([StructField(n, k) for n, k in (("kind", StringType()), ("rule_key", StringType()), ("citation", StringType()), ("subsection", StringType()), ("start", IntegerType()), ("stop", IntegerType()))])
 PARAMETER = StructType([StructField(n, k) for n, k in (("kind", StringType()), ("value_text", StringType()), ("value_num", DoubleType()), ("unit", StringType()), ("day_type", StringType()), ("start", IntegerType()), ("stop", IntegerType()))])
 SPAN = StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])
 SPANS = ArrayType(SPAN)
@@ -20,13 +20,15 @@ UNITS = "second minute hour day week month quarter year percent foot feet inch m
 NUMBER = r"(?:\d[\d,]*(?:\.\d+)?|" + "|".join([*TENS, *NUMBERS]) + r")(?:-(?:" + "|".join(list(NUMBERS)[1:10]) + r"))?"
 FORMS = (
     ("cfr", re.compile(r"(\d+)\s+C\.?F\.?R\.?\s+(?:[Pp]arts?\s+|§+\s*)?(\d+)(?:\.(\d+)(?:\s*(?:through|to|-)\s*(?:\d+\.)?(\d+))?)?")),
-    ("iac", re.compile(r"(\d+)\s+IAC\s+(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)(?:-(\d+(?:\.\d+)?))?")),
+    ("iac", re.compile(r"(\d+)\s+IAC\s+(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)(?:-(\d+(?:\.\d+)?)((?:\([0-9A-Za-z]+\))*)(?:\s*(?:through|to|\.\.)\s*(?:\d+\s+IAC\s+)?(?:\2-\3-)?(\d+)(?![\d.]*-))?)?")),
     ("ic", re.compile(r"\bIC\s+(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)(?:-(\d+(?:\.\d+)?))?(?:-(\d+(?:\.\d+)?))?")),
     ("usc", re.compile(r"(\d+)\s+U\.?S\.?C\.?\s+(?:§+\s*)?(\d+[a-z]?)")),
-    ("standard", re.compile(r"\b(NERC|IEEE|ANSI|NESC|ASTM)\s+([A-Z]{0,4}-?\d[\w.\-]*)")),
+    ("standard", re.compile(r"\b(NERC|IEEE|ANSI|NESC|ASTM|NFPA|IEC|ISO)\s+([A-Z]{0,4}-?\d[\w.\-]*)")),
 )
-#: Ranges of sections are listed up to so many.
-RANGE = 50
+#: The states by name.
+STATES = dict(p.rsplit(" ", 1) for p in "Alabama AL,Alaska AK,Arizona AZ,Arkansas AR,California CA,Colorado CO,Connecticut CT,Delaware DE,Florida FL,Georgia GA,Hawaii HI,Idaho ID,Illinois IL,Indiana IN,Iowa IA,Kansas KS,Kentucky KY,Louisiana LA,Maine ME,Maryland MD,Massachusetts MA,Michigan MI,Minnesota MN,Mississippi MS,Missouri MO,Montana MT,Nebraska NE,Nevada NV,New Hampshire NH,New Jersey NJ,New Mexico NM,New York NY,North Carolina NC,North Dakota ND,Ohio OH,Oklahoma OK,Oregon OR,Pennsylvania PA,Rhode Island RI,South Carolina SC,South Dakota SD,Tennessee TN,Texas TX,Utah UT,Vermont VT,Virginia VA,Washington WA,West Virginia WV,Wisconsin WI,Wyoming WY".split(","))
+#: A range of more sections than this is taken for two citations, its ends.
+RANGE = 1000
 
 
 def number_of(text: str) -> float | None:
@@ -40,43 +42,54 @@ def number_of(text: str) -> float | None:
     return float(NUMBERS[ten]) if ten in NUMBERS and not one else None
 
 
+def numbers_of(low: str, high: str | None) -> list[str]:
+    """The sections of a range; both ends may be one."""
+    if not high or "." in low or int(high) <= int(low):
+        return [low]
+    return [str(n) for n in range(int(low), int(high) + 1)] if int(high) - int(low) < RANGE else [low, high]
+
+
 def find_citations(text: str) -> list[dict]:
-    """All citations in order of place; a range of federal sections is one for each; what lies in another is left out."""
+    """All citations in order of place; a range of sections is one for each; what lies in another is left out."""
     hits = [(m.start(), -m.end(), kind, m) for kind, form in FORMS for m in form.finditer(text)]
     out, reached = [], 0
     for start, stop, kind, m in sorted(hits, key=lambda h: h[:2]):
         if start < reached:
             continue
-        reached, g = -stop, m.groups()
+        reached, g, within = -stop, m.groups(), ""
         if kind == "cfr":
             rule = f"{g[0]} CFR {g[1]}"
-            names = [rule] if not g[2] else [f"{rule}.{n}" for n in range(int(g[2]), min(int(g[3] or g[2]), int(g[2]) + RANGE) + 1)] or [f"{rule}.{g[2]}"]
+            names = [f"{rule}.{n}" for n in numbers_of(g[2], g[3])] if g[2] else [rule]
         elif kind == "iac":
-            rule = f"{g[0]} IAC {g[1]}-{g[2]}"
-            names = [f"{rule}-{g[3]}" if g[3] else rule]
+            rule, within = f"{g[0]} IAC {g[1]}-{g[2]}", g[4] or ""
+            names = [f"{rule}-{n}" for n in numbers_of(g[3], g[5])] if g[3] else [rule]
         elif kind == "ic":
             rule = "IC " + "-".join(x for x in g[:2] if x)
             names = ["IC " + "-".join(x for x in g if x)]
         else:
             rule = f"{g[0]} USC {g[1]}" if kind == "usc" else f"{g[0]} {g[1]}"
             names = [rule]
-        out += [{"kind": kind, "rule_key": rule, "citation": n, "start": start, "stop": -stop} for n in names]
+        out += [{"kind": kind, "rule_key": rule, "citation": n, "subsection": within, "start": start, "stop": -stop} for n in names]
     return out
 
 
-QUANTITY = re.compile(rf"(?i)(?P<dollar>\$\s?)?\b(?P<n>{NUMBER})\b(?:\s*\((?:\d+)\))?(?P<pct>\s?%)?(?:[\s-]+(?P<day>business|calendar|working)\b)?(?:[\s-]+(?P<unit>{'|'.join(UNITS)})s?\b)?")
+#: What looks like a quantity but names something: telephone numbers, ids with letters, numbered forms and sheets, versions.
+NAMED = re.compile(r"(?i)\(?\b\d{3}\)?[-. ]\d{3}-\d{4}\b|\b\d{3}-\d{4}\b|\b1-\d{3}-\d{3}-\d{4}\b|\b[A-Z]{2,}[A-Z\d]*(?:[-_]\d+)+\b|\b(?:form|sheet|docket|cause|order|exhibit|page|figure|table|appendix)\s+(?:no\.?\s*)?[A-Z]*-?\d[\w.\-]*|\b(?:version|rev(?:ision)?\.?|v)\s*\d+(?:\.\d+)*|\b\d+(?:\.\d+){2,}\b")
+TIMES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
+QUANTITY = re.compile(rf"(?i)(?P<dollar>\$\s?)?\b(?P<n>{NUMBER})\b(?:\s*\((?:\d+)\))?(?:[\s-]+(?P<times>{'|'.join(TIMES)})\b)?(?P<pct>\s?%)?(?:[\s-]+(?P<day>business|calendar|working)\b)?(?:[\s-]+(?P<unit>{'|'.join(UNITS)})s?\b)?")
 OFTEN = re.compile(r"(?i)\b(annually|annual|monthly|quarterly|weekly|daily|semiannually|biennially)\b")
 
 
 def find_parameters(text: str) -> list[dict]:
     """Quantities that aren't part of a citation: amounts, percentages, periods, frequencies, thresholds and bare numbers."""
-    taken = [(c["start"], c["stop"]) for c in find_citations(text)]
+    taken = [(c["start"], c["stop"]) for c in find_citations(text)] + [m.span() for m in NAMED.finditer(text)]
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     out = []
     for m in QUANTITY.finditer(text):
         value = number_of(m["n"])
         if value is None or not free(m.start(), m.end()):
             continue
+        value *= TIMES.get((m["times"] or "").lower(), 1)
         unit, day = (m["unit"] or "").lower() or None, (m["day"] or "").lower() or None
         kind = "amount" if m["dollar"] else "percentage" if m["pct"] or unit == "percent" else "period" if unit in UNITS[:8] else "threshold" if unit else "number"
         unit = "dollar" if m["dollar"] else "percent" if m["pct"] else unit

@@ -92,10 +92,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def shingles(words: Column, n: int = 5) -> Column:
-    """The distinct runs of n words; a shorter text is one."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(F.array(F.array_join(words, " "))))
+def shingles(words: Column, n: int = 5, hashed: bool = False) -> Column:
+    """The distinct runs of n words (or their hashes); a shorter text is one. The words are bound once, not computed anew for every run."""
+    put = (lambda w: F.xxhash64(F.array_join(w, " "))) if hashed else (lambda w: F.array_join(w, " "))
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: put(F.slice(w, i, n)))).otherwise(F.array(put(w)))
+    return F.array_distinct(F.transform(F.array(words), runs)[0])
 
 
 def chunks(words: Column, size: int = 500, overlap: int = 50) -> Column:

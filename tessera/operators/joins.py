@@ -70,3 +70,10 @@ def reconcile(expected: DataFrame, actual: DataFrame, keys: list[str], values: l
 def neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Edges in both directions, once each, without loops."""
     return edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).unionByName(edges.select(F.col(dst).alias("node"), F.col(src).alias("other"))).where("node <> other").distinct()
+
+
+def match_in_order(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a and b one to one: of each key's rows the n-th of a with the n-th of b, as structs a and b beside the keys."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    side = lambda df, name: df.withColumn("_n", nth).select(*keys, "_n", F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+    return side(a, "a").join(side(b, "b"), [*keys, "_n"]).drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import text as T
 from tessera.operators import joins
 from tessera.registry import query
 
@@ -132,14 +133,12 @@ def either_of_two_keys(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(parts, "l_partkey", "left").join(suppliers, "l_suppkey", "left").where("by_part or by_supplier").select("l_orderkey", "l_linenumber")
 
 
-@query("C9_one_hop", """with e as (select distinct a.l_suppkey as s, b.l_suppkey as d from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey where a.l_orderkey < 300)
-select distinct d as supplier from (select s, d from e union all select d, s from e) x(s, d) where s in (1, 2, 3) and d not in (1, 2, 3)""")
+@query("C9_one_hop", """with o as (select distinct l_orderkey as k from lineitem where l_suppkey in (1, 2, 3)) select distinct l_suppkey as supplier from lineitem join o on k = l_orderkey where l_suppkey not in (1, 2, 3)""")
 def one_hop(t, spark):
-    l = t("lineitem").where("l_orderkey < 300").select("l_orderkey", "l_suppkey")
-    edges = l.join(l.withColumnRenamed("l_suppkey", "other"), "l_orderkey").where("l_suppkey < other")
-    start = [1, 2, 3]
-    hop = joins.neighbours(edges, "l_suppkey", "other").where(F.col("node").isin(start) & ~F.col("other").isin(start))
-    return hop.select(F.col("other").alias("supplier")).distinct()
+    """Suppliers that share an order with one of the first three: the orders of these, then their other suppliers."""
+    l, start = t("lineitem").select("l_orderkey", "l_suppkey"), [1, 2, 3]
+    own = l.where(F.col("l_suppkey").isin(start)).select("l_orderkey").distinct()
+    return l.where(~F.col("l_suppkey").isin(start)).join(own, "l_orderkey", "left_semi").select(F.col("l_suppkey").alias("supplier")).distinct()
 
 
 @query("C11_as_of", """select p.event_id, (select s.event_id from events s where s.user_id = p.user_id and s.event_type = 'signup' and s.ts <= p.ts order by s.ts desc, s.event_id desc limit 1) as signup_id from events p where p.event_type = 'purchase'""")
@@ -165,11 +164,11 @@ def prefix_exists(t, spark):
     return t("part").withColumn("k", F.substring("p_brand", 1, 7)).join(keys, "k", "left_semi").select("p_partkey")
 
 
-@query("C13_stitch_exact_then_part", """with x as (select l_orderkey, min(l_partkey) p from lineitem where l_orderkey < 2000 group by 1), s as (select s_suppkey k from supplier)
+@query("C13_stitch_exact_then_part", """with x as (select l_orderkey, min(l_partkey) p from lineitem group by 1), s as (select s_suppkey k from supplier)
 select l_orderkey, coalesce((select k from s where k = p), (select k from s where k = p % 50)) as target, case when exists (select 1 from s where k = p) then 'exact' else 'part' end as how from x""")
 def stitch_exact_then_part(t, spark):
     """An exact key wins; what it leaves is joined on the coarser one."""
-    x = t("lineitem").where("l_orderkey < 2000").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    x = t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
     s = t("supplier").select(F.col("s_suppkey").alias("k"))
     exact = x.join(s, x["p"] == s["k"]).select("l_orderkey", F.col("k").alias("target"), F.lit("exact").alias("how"))
     left = x.join(exact, "l_orderkey", "left_anti")
@@ -223,30 +222,30 @@ def correlated_counts(t, spark):
     return t("customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("a", F.lit(0)).alias("n_orders"), F.coalesce("b", F.lit(0)).alias("n_done"))
 
 
-@query("C26_shared_reference_pairs", """with r as (select l_partkey, s_nationkey, min(l_orderkey) as rep from lineitem join supplier on s_suppkey = l_suppkey where l_partkey < 200 group by 1, 2)
+@query("C26_shared_reference_pairs", """with r as (select l_partkey, s_nationkey, min(l_orderkey) as rep from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2)
 select a.l_partkey, a.s_nationkey as nation_a, b.s_nationkey as nation_b, a.rep as rep_a, b.rep as rep_b from r a join r b on a.l_partkey = b.l_partkey and a.s_nationkey < b.s_nationkey""")
 def shared_reference_pairs(t, spark):
     """Nations that share a part, each by its smallest order: one representative for a (part, nation), of which there are at most 25 a part."""
     s = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    r = t("lineitem").where("l_partkey < 200").join(F.broadcast(s), "l_suppkey").groupBy("l_partkey", "s_nationkey").agg(F.min("l_orderkey").alias("rep"))
+    r = t("lineitem").join(s, "l_suppkey").groupBy("l_partkey", "s_nationkey").agg(F.min("l_orderkey").alias("rep"))
     b = r.select("l_partkey", F.col("s_nationkey").alias("nation_b"), F.col("rep").alias("rep_b"))
     return r.select("l_partkey", F.col("s_nationkey").alias("nation_a"), F.col("rep").alias("rep_a")).join(b, "l_partkey").where("nation_a < nation_b")
 
 
-@query("C27_band_pairs", """select a.o_orderkey as left_key, b.o_orderkey as right_key from orders a join orders b on abs(date_diff('day', cast(a.o_orderdate as date), cast(b.o_orderdate as date))) <= 3 and a.o_custkey < b.o_custkey and a.o_orderkey < b.o_orderkey
-where a.o_custkey < 40 and b.o_custkey < 40""")
+@query("C27_band_pairs", """select a.o_orderkey as left_key, b.o_orderkey as right_key from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.o_orderpriority <> b.o_orderpriority and abs(date_diff('day', cast(a.o_orderdate as date), cast(b.o_orderdate as date))) <= 30""")
 def band_pairs(t, spark):
-    o = t("orders").where("o_custkey < 40").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
-    a = o.select(F.col("o_orderkey").alias("left_key"), F.col("o_custkey").alias("left_cust"), F.col("day").alias("left_day"))
-    b = o.select(F.col("o_orderkey").alias("right_key"), F.col("o_custkey").alias("right_cust"), F.col("day").alias("right_day"))
-    return joins.band_join(a, b, "left_day", "right_day", 3, (F.col("left_cust") < F.col("right_cust")) & (F.col("left_key") < F.col("right_key"))).select("left_key", "right_key")
+    """Orders of one customer at most 30 days apart and of different priorities."""
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    side = lambda p: o.select(*[F.col(c).alias(f"{p}_{n}") for c, n in (("o_orderkey", "key"), ("o_custkey", "cust"), ("o_orderpriority", "kind"), ("day", "day"))])
+    differ = (F.col("left_key") < F.col("right_key")) & (F.col("left_kind") != F.col("right_kind"))
+    return joins.band_join(side("left"), side("right"), "left_day", "right_day", 30, differ, F.col("left_cust") == F.col("right_cust")).select("left_key", "right_key")
 
 
-@query("C30_resolve_references", """with r as (select l_orderkey as src, l_partkey as ref, 'part' as kind from lineitem where l_orderkey < 500 union all select l_orderkey, l_suppkey + 95, 'supplier' from lineitem where l_orderkey < 500)
+@query("C30_resolve_references", """with r as (select l_orderkey as src, l_partkey as ref, 'part' as kind from lineitem union all select l_orderkey, l_suppkey + 95, 'supplier' from lineitem)
 select src, kind, ref, coalesce(p_partkey, s_suppkey) is not null as resolved from (select distinct * from r) left join part on kind = 'part' and p_partkey = ref left join supplier on kind = 'supplier' and s_suppkey = ref""")
 def resolve_references(t, spark):
     """One join for each kind of reference, and a union."""
-    l = t("lineitem").where("l_orderkey < 500")
+    l = t("lineitem")
     out = None
     for kind, ref, table, key in (("part", F.col("l_partkey"), "part", "p_partkey"), ("supplier", F.col("l_suppkey") + 95, "supplier", "s_suppkey")):
         refs = l.select(F.col("l_orderkey").alias("src"), F.lit(kind).alias("kind"), ref.alias("ref")).distinct()
@@ -279,10 +278,10 @@ def longest_prefix(t, spark):
     return cut.join(ids.withColumn("hit", F.col("id")), "id", "left").groupBy("part").agg(F.max_by("hit", F.when(F.col("hit").isNotNull(), F.length("hit"))).alias("parent"))
 
 
-@query("C41_reconcile", """with e as (select l_orderkey k, l_linenumber n, sum(l_quantity) q from lineitem where l_orderkey < 4000 group by 1, 2), a as (select k, n, case when k % 7 = 0 then q + 1 else q end q from e where k % 11 <> 0 union all select k + 100000, n, q from e where k % 13 = 0)
+@query("C41_reconcile", """with e as (select l_orderkey k, l_linenumber n, sum(l_quantity) q from lineitem group by 1, 2), a as (select k, n, case when k % 7 = 0 then q + 1 else q end q from e where k % 11 <> 0 union all select k + 100000, n, q from e where k % 13 = 0)
 select coalesce(e.k, a.k) as k, coalesce(e.n, a.n) as n, case when a.k is null then 'missing' when e.k is null then 'unexpected' else 'changed' end as state from e full join a on e.k = a.k and e.n = a.n where a.k is null or e.k is null or e.q <> a.q""")
 def reconcile(t, spark):
-    e = t("lineitem").where("l_orderkey < 4000").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.sum("l_quantity").alias("q"))
+    e = t("lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.sum("l_quantity").alias("q"))
     a = e.where("k % 11 <> 0").withColumn("q", F.when(F.col("k") % 7 == 0, F.col("q") + 1).otherwise(F.col("q"))).unionByName(e.where("k % 13 = 0").withColumn("k", F.col("k") + 100000))
     return joins.reconcile(e, a, ["k", "n"], ["q"])
 
@@ -423,11 +422,11 @@ def timeline_union(t, spark):
 @query("G2_leak_shingles", """with g as (select 'd' as side, doc_id as id, string_split(lower(text), ' ') as w from documents union all select 'b', item_id, string_split(lower(text), ' ') from benchmark),
 s as (select side, id, array_to_string(w[i:i + 5], ' ') as g from (select side, id, w, unnest(generate_series(1, len(w) - 5)) as i from g where len(w) >= 6)) select d.id as doc_id, b.id as item_id, count(distinct d.g) as n_shared from s d join s b on d.g = b.g where d.side = 'd' and b.side = 'b' group by 1, 2""")
 def leak_shingles(t, spark):
-    """Six-word runs that documents share with the benchmark, counted for each pair."""
+    """Six-word runs that documents share with the benchmark, by their hashes, counted for each pair."""
 
     def runs(df, key):
         w = df.select(key, F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 6")
-        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
+        return w.select(key, F.explode(T.shingles(F.col("w"), 6, hashed=True)).alias("g"))
 
     return runs(t("documents"), "doc_id").join(runs(t("benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
@@ -451,9 +450,9 @@ def ordered_dedupe(t, spark):
     return c.select("conv_id", F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ">").alias("roles"))
 
 
-@query("G6_links_both_ways", "with e as (select distinct l_partkey a, l_suppkey + 1000000 b from lineitem where l_orderkey < 200) select a as node, b as other from e union select b, a from e")
+@query("G6_links_both_ways", "with e as (select distinct l_partkey a, l_suppkey + 1000000 b from lineitem) select a as node, b as other from e union select b, a from e")
 def links_both_ways(t, spark):
-    e = t("lineitem").where("l_orderkey < 200").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
+    e = t("lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
     return joins.neighbours(e, "a", "b")
 
 
