@@ -36,13 +36,31 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _made.append(out)
     return out
 
 
+_made: list[DataFrame] = []
+
+
+def made_so_far() -> int:
+    """How many tables materialize() has written."""
+    return len(_made)
+
+
+def release_since(n: int, but: DataFrame) -> None:
+    """Delete what materialize() wrote after the n-th table, but for one: stages that are done need theirs no more."""
+    for df in _made[n:]:
+        if df is not but:
+            release(df)
+    _made[n:] = [but]
+
+
 def release(df: DataFrame | None) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
+        df._tessera_path = None
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -16,7 +16,9 @@ give a spanning forest, never all pairs; components are then found over all.
 
 Cases: null and empty texts have the fingerprint zero and link like any other;
 shorter texts than a shingle are one shingle; repeated doc_ids share a
-component by their fingerprints; an empty table gives an empty result.
+component by their fingerprints; a null doc_id is no group's smallest unless the
+group has no other (then its component is null); other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -89,9 +89,12 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     edge = np.concatenate([[True], g[1:] != g[:-1]])
     first = edge | np.concatenate([[True], h[1:] != h[:-1]])
     head = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    for k in [*range(rest, depth - SYMBOL + 1, SYMBOL), depth - SYMBOL]:
-        if (x[s + k] != x[s[head] + k]).any():
-            raise AssertionError("two remainders of one group have one 64-bit hash")
+    symbols = [*range(rest, depth - SYMBOL + 1, SYMBOL), depth - SYMBOL]
+    if any((x[s + k] != x[s[head] + k]).any() for k in symbols):  # two remainders with one hash: by their bytes alone
+        by = np.lexsort((*[x[s + k] for k in reversed(symbols)], g))
+        order[at], s = order[at][by], s[by]
+        new[at] = edge | np.concatenate([[True], np.any([x[s[1:] + k] != x[s[:-1] + k] for k in symbols], axis=0)])
+        return order, ~new
     new[at] = first
     # blind tries where a group has several remainders
     n_first = np.bincount(np.cumsum(edge) - 1, weights=first).astype("i8")
