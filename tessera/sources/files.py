@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,17 @@ FRONT = (r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", r"(?s)\A<!--\s*\n?(.*?)\n?\s*-
 SNIFFED = ("bigint", "double", "timestamp", "boolean")
 
 
+def landing_dir(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which the driver and all executors share; of this machine only where all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/landing/{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, typed: dict[str, str] | None = None) -> DataFrame:
     """A CSV (or CSV.GZ) with four null tokens; one pass infers the columns that are not typed.
 
