@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,21 +21,35 @@ def earliest_rows(df: DataFrame, key: str, at: str) -> DataFrame:
     return df.join(first, [key, at], "left_semi")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, carry: list[str], forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, carry: list[str], forward: bool = False, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Every left row with the last right row at or before its time (forward: the first at or after it).
 
     One union, one window by key: no row meets more than its neighbours, so that a
     key with many rows costs a sort and not a product of both sides. carry: the
-    right columns to bring, null where there is none.
+    right columns to bring, null where there is none. bucket: a rising function
+    of the time, by which keys with very many rows are split; what a bucket
+    doesn't find comes from the last row of the buckets before it, of which each
+    has one row a key.
     """
     struct = F.struct(F.col(right_at).alias("_at"), *[F.col(c) for c in carry])
+    of = bucket or (lambda _: F.lit(0))
     l = left.select(*keys, F.col(left_at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
     r = right.select(*keys, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), struct.alias("_hit"))
-    both = l.unionByName(r, allowMissingColumns=True)
+    l, r = (df.withColumn("_b", of(F.col("_t"))) for df in (l, r))
     order = [F.col("_t").desc(), F.col("_side")] if forward else [F.col("_t"), F.col("_side")]
-    w = Window.partitionBy(*keys).orderBy(*order, *[F.col(f"_hit.{c}") for c in carry]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = F.last("_hit", ignorenulls=True).over(w)
-    return both.withColumn("_last", hit).where("_side = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in carry])
+    w = Window.partitionBy(*keys, "_b").orderBy(*order, *[F.col(f"_hit.{c}") for c in carry])
+    last = F.last("_hit", ignorenulls=True)
+    found = l.unionByName(r, allowMissingColumns=True).withColumn("_last", last.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_side = 1")
+    if bucket:
+        ends = r.withColumn("_end", last.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select(*keys, "_b", "_end").distinct()
+        cells = l.select(*keys, "_b", F.lit(None).cast(ends.schema["_end"].dataType).alias("_end")).distinct().unionByName(ends).groupBy(*keys, "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if forward else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_c"), F.last("_end", ignorenulls=True).over(before).alias("_before"))
+        on = F.col("_b").eqNullSafe(F.col("_c"))
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        found = found.join(carried, on, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return found.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in carry])
 
 
 def band_join(a: DataFrame, b: DataFrame, a_day: str, b_day: str, days: int, residual: Column, on: Column | None = None) -> DataFrame:

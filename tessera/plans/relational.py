@@ -147,7 +147,7 @@ def as_of(t, spark):
     e = t("events")
     buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     ups = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup_id"))
-    return joins.as_of(buys, ups, ["user_id"], "ts", "ts", ["signup_id"]).select("event_id", "signup_id")
+    return joins.as_of(buys, ups, ["user_id"], "ts", "ts", ["signup_id"], bucket=lambda at: F.to_date(at)).select("event_id", "signup_id")
 
 
 @query("E19_as_of_forward", """select p.event_id, (select s.event_id from events s where s.user_id = p.user_id and s.event_type = 'error' and s.ts >= p.ts order by s.ts, s.event_id limit 1) as error_id from events p where p.event_type = 'click'""")
@@ -155,7 +155,7 @@ def as_of_forward(t, spark):
     e = t("events")
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
     errors = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("error_id"))
-    return joins.as_of(clicks, errors, ["user_id"], "ts", "ts", ["error_id"], forward=True).select("event_id", "error_id")
+    return joins.as_of(clicks, errors, ["user_id"], "ts", "ts", ["error_id"], forward=True, bucket=lambda at: F.to_date(at)).select("event_id", "error_id")
 
 
 @query("C12_prefix_exists", "select p_partkey from part where exists (select 1 from supplier where s_nationkey = 5 and starts_with(p_brand, concat('Brand#', cast(s_suppkey % 10 as varchar))))")

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import joins, profiling
@@ -98,3 +99,16 @@ def test_as_of_with_ties_and_hot_keys(spark):
     left = spark.createDataFrame([(1, 5), (1, 10), (2, 1), (None, 3)], "k int, t int")
     right = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 7, "c"), (3, 0, "d")], "k int, u int, v string")
     assert {(r.k, r.t): r.v for r in joins.as_of(left, right, ["k"], "t", "u", ["v"]).collect()} == {(1, 5): "b", (1, 10): "c", (2, 1): None, (None, 3): None}
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_as_of_in_buckets(spark, forward):
+    """A key of very many rows, split by time, gives what the whole window gives."""
+    import random
+
+    rng = random.Random(1)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 300), i) for i in range(300)], "k int, t int, i int")
+    right = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 300), f"v{i}") for i in range(60)], "k int, u int, v string")
+    whole, split = (joins.as_of(left, right, ["k"], "t", "u", ["v"], forward, b) for b in (None, lambda at: F.floor(at / 7)))
+    assert sorted(map(tuple, whole.select("i", "v").collect())) == sorted(map(tuple, split.select("i", "v").collect()))
+    assert whole.where("v is not null").count() > 200
