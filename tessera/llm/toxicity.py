@@ -42,7 +42,7 @@ PASSES, STEPS, BATCH, RATE, PRIOR = 4, 120, 128, 0.01, 8.0
 SLOW, FADE = 0.3, 1e-3
 EDGE = ".,;:!?\"'()[]{}|-_*#%&$<>"
 #: Words that a worker remembers, windows that are scored together, characters of texts that are read together.
-REMEMBERED, TOGETHER, CHARS_TOGETHER = 300_000, 1024, 1_000_000
+REMEMBERED, TOGETHER, CHARS_TOGETHER = 100_000, 1024, 1_000_000
 
 
 def is_held_out(doc_id) -> F.Column:
