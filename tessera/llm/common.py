@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, text: str = "text
     """Cut batches so that each holds about most_bytes of text (a single longer row stays whole)."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         for i, n in enumerate(sizes):
             if held and held + n > most_bytes:
                 yield batch.slice(start, i - start)
