@@ -10,7 +10,8 @@ page's, and what shares their section. Where markup names the article, sections
 inside it leave no blank lines, and what lies outside isn't looked at.
 
 Cases: null and empty html, and pages without text, give an empty text; very
-long and truncated pages are read whole, unclosed elements end with their parent;
+long and truncated pages are read whole, unclosed elements end with their parent,
+an unclosed quote with its tag;
 of equal peaks all stretches are kept; repeated rows each have their result, also
 those without page_id or url; an empty table gives an empty one; only ``page_id``,
 ``url`` and ``html`` are read.
