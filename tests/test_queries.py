@@ -31,5 +31,5 @@ def test_runs(spark, name):
 def test_contract(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["doc_a", "doc_b", "score"]
+    assert entry.entry(spark).columns == ["change_id", "clause_id", "match_path", "n_paths"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
