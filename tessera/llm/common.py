@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,24 +39,25 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
-    _made.append(out)
+    made = _made.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
-_made: list[DataFrame] = []
+#: The tables written by the run that this thread is in; other threads and runs have their own.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
-def made_so_far() -> int:
-    """How many tables materialize() has written."""
-    return len(_made)
-
-
-def release_since(n: int, but: DataFrame) -> None:
-    """Delete what materialize() wrote after the n-th table, but for one: stages that are done need theirs no more."""
-    for df in _made[n:]:
-        if df is not but:
-            release(df)
-    _made[n:] = [but]
+@contextmanager
+def own_tables() -> Iterator[list[DataFrame]]:
+    """A list of what materialize() writes inside; of a run within a run each has its own."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 def release(df: DataFrame | None) -> None:

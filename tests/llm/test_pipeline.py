@@ -33,3 +33,25 @@ def test_queries_return_their_columns(spark):
     for name, columns in want.items():
         df = Q.QUERIES[name](spark, SF)
         assert df.columns[: len(columns)] == columns and df.count() == n, name
+
+
+def test_a_run_releases_only_its_own_tables(spark, monkeypatch):
+    """Tables that other queries write meanwhile, in this thread or another, can still be read."""
+    import threading
+
+    from tessera.llm import common
+
+    others = []
+
+    def stage(spark, docs, sf_dir):
+        other = threading.Thread(target=lambda: others.append(common.materialize(spark.range(7))))
+        other.start()
+        other.join()
+        with common.own_tables():
+            others.append(common.materialize(spark.range(5)))
+        return common.materialize(docs.where("doc_id % 2 = 0"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("last", lambda spark, docs, sf_dir: docs)])
+    before = common.materialize(spark.range(3))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and before.count() == 3 and sorted(x.count() for x in others) == [5, 5, 7, 7]
