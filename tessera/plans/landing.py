@@ -8,8 +8,9 @@ from tessera.functions import grammar as G
 from tessera.functions import text as T
 from tessera.operators import joins, profiling
 from tessera.registry import query
-from tessera.sources import files
+from tessera.sources import files, landed
 from tessera.streaming import ingest as S
+from tessera.streaming import versions as V
 
 
 @query("A2_xml_sections", "select 'sec ' || p_partkey as citation, p_name as heading, 'size ' || p_size || chr(10) || p_brand as body from part where p_size % 3 <> 0")
@@ -279,3 +280,108 @@ def ui_diff(t, spark):
     text = lambda c: F.concat(F.lit("within "), F.col(c).cast("string"), F.lit(" days of notice"))
     s = t("orders").select("o_orderkey", F.explode(T.word_diff(text("o_custkey"), text("o_orderkey"))).alias("s"))
     return s.where("s.op <> 'equal'").select("o_orderkey", "s.op", "s.text")
+
+
+#: Lineitems as snapshots of their parts: two landings, the ones numbered 7 late in the second.
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y%m%d'))"
+SNAPSHOTS = f"select l_partkey, l_shipdate as taken, {LINE_ID} as id, l_returnflag || l_linestatus || (l_quantity > 25) as body, case when l_linenumber = 7 or l_shipdate >= timestamp '1998-01-01' then 2 else 1 end as landing from lineitem"
+STITCH_DAYS = 60
+
+
+def line_id():
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")], F.date_format("l_shipdate", "yyyyMMdd"))
+
+
+def section_snapshots(t):
+    late = (F.col("l_linenumber") == 7) | (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp"))
+    return t("lineitem").select(F.lit("cfr").alias("source_system"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("citation"), line_id().alias("record_id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.concat("l_returnflag", "l_linestatus", (F.col("l_quantity") > 25).cast("string")).alias("body"), F.when(late, 2).otherwise(1).alias("landing"))
+
+
+@query("K2_state_by_key", f"""with r as ({SNAPSHOTS}), o as (select *, row_number() over (partition by l_partkey order by landing, taken, id) as i from r),
+p as (select *, arg_max(body, (taken, i)) over w as old, max(taken) over w as old_at from o window w as (partition by l_partkey order by i rows between unbounded preceding and 1 preceding)),
+s as (select *, case when old is null then 'new' when old = body then 'unchanged' else 'changed' end as state from p)
+select 'part ' || l_partkey as citation, id as record_id, taken as taken_at, state, old_at as prior_at, cast(count_if(state <> 'unchanged') over (partition by l_partkey order by i) as bigint) as n_versions from s""")
+def state_by_key(t, spark):
+    """Two landings taken by a stream that is started anew for the second: what is known of a key is one row of state."""
+    root = files.landing_dir(spark)
+    rows = section_snapshots(t)
+    for n in (1, 2):
+        rows.where(f"landing = {n}").drop("landing").write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(rows.drop("landing").schema).parquet(f"{root}/landing")
+        V.take(V.changes(stream), f"{root}/changes", f"{root}/cursor")
+    return spark.read.parquet(f"{root}/changes").select("citation", "record_id", F.col("at").cast("timestamp_ntz").alias("taken_at"), "state", F.col("prior_at").cast("timestamp_ntz").alias("prior_at"), "n_versions")
+
+
+@query("K4_interval_stitch", f"select {LINE_ID} as section_id, o_orderkey as action_id from lineitem left join orders on o_orderkey = l_orderkey and l_shipdate >= o_orderdate - interval 7 days and l_shipdate <= o_orderdate + interval {STITCH_DAYS} days")
+def interval_stitch(t, spark):
+    """Sections that land before half of their actions: two streams joined within an interval, by a watermark."""
+    root = files.landing_dir(spark)
+    sections = t("lineitem").select(line_id().alias("section_id"), F.col("l_orderkey").alias("citation"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    actions = t("orders").select(F.col("o_orderkey").alias("action_id"), F.col("o_orderkey").alias("citation"), F.col("o_orderdate").cast("timestamp").alias("published"))
+    sections.write.parquet(f"{root}/sections")
+    for late in (False, True):
+        actions.where((F.xxhash64("action_id") % 2 == 0) == F.lit(late)).write.mode("append").parquet(f"{root}/actions")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for name, df in (("sections", sections), ("actions", actions))]
+        V.take(V.stitched(*streams, late="4000 days", after=STITCH_DAYS), f"{root}/links", f"{root}/cursor")
+    links = spark.read.parquet(f"{root}/links").select("section_id", "action_id")
+    return sections.select("section_id").join(links, "section_id", "left")
+
+
+#: Documents as raw records of seven sources and one that has no normaliser, by their source's number. Short ones lack their key, have no such agency or a day that is none.
+SYSTEMS = ("cfr", "iac", "federal_register", "iurc_rulemakings", "idem_rulemakings", "iurc_gaos", "iurc_investigations", "broken", "cfr")
+LANDED = f"""d as (select case cast(substring(source, 4) as int) % 9 {' '.join(f"when {i} then '{s}'" for i, s in enumerate(SYSTEMS))} end as s, n_chars >= 200 as ok, cast(doc_id as varchar) as k, lang from documents),
+r as (select s as source_system, null as error, case s when 'cfr' then '18 CFR ' || lang || '.' || k when 'iac' then '170 IAC ' || k else k end as key,
+case s when 'federal_register' then case when lang = 'en' then 'interim_final_rule' else 'final_rule' end when 'iurc_rulemakings' then 'proposed_rule' when 'idem_rulemakings' then 'rulemaking' when 'iurc_gaos' then 'order' when 'iurc_investigations' then case when lang = 'fr' then 'commission_investigation' else 'order' end end as action_type,
+case when s = 'iac' then 'repealed' when s in ('cfr', 'federal_register', 'iurc_gaos') then 'approved' else 'in_progress' end as status from d where s <> 'broken' and ok
+union all select s, case when s = 'cfr' then 'ValueError' else 'KeyError' end, null, null, null from d where not ok and s in ('cfr', 'iac'))"""
+
+
+def raw_pages(t, spark) -> str:
+    """The folder of the landed documents."""
+    number = F.expr("cast(substring(source, 4) as int) % 9")
+    doc, day, first = F.col("doc_id").cast("string"), F.lit("2024-05-06"), F.substring("text", 1, 60)
+    ok = F.col("n_chars") >= 200
+    of = {
+        "cfr": {"title_number": F.lit(18), "part": F.col("lang"), "section_number": doc, "heading": first, "body_text": F.col("text"), "amendment_date": F.when(ok, day).otherwise("soon")},
+        "iac": {"citation": F.when(ok, F.concat(F.lit("170 IAC "), doc)), "heading": F.lit("x (Repealed)"), "snapshot_date": day},
+        "federal_register": {"document_number": doc, "title": first, "type": F.lit("Rule"), "action": F.when(F.col("lang") == "en", "Interim final rule."), "publication_date": day, "agencies": F.array(F.struct(F.when(ok, "environmental-protection-agency").otherwise("other").alias("slug")))},
+        "iurc_rulemakings": {"rm_number": F.when(ok, doc), "lsa_number": F.concat(F.lit("24 "), doc), "date_published": day},
+        "idem_rulemakings": {"lsa_id": F.when(ok, doc), "rule_heading": first, "pdf_type": F.lit("final_rule")},
+        "iurc_gaos": {"gao_id": F.when(ok, doc), "title": first},
+        "iurc_investigations": {"cause_number": F.when(ok, doc), "date_filed": F.lit("5/6/2024"), "is_investigation": F.col("lang") == "fr"},
+    }
+    raw = F.coalesce(*[F.when(F.col("source_system") == s, F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))) for s, fields in of.items()], F.lit("{}"))
+    path = files.landing_dir(spark)
+    docs = t("documents").withColumn("source_system", F.get(F.array(*[F.lit(x) for x in SYSTEMS]), number)).select("source_system", raw.alias("value"))
+    docs.write.option("maxRecordsPerFile", 2000).partitionBy("source_system").text(path)
+    return path
+
+
+def told_error():
+    return F.coalesce(F.nullif(F.regexp_extract("error", r"^(\w+Error):", 1), F.lit("")), F.col("error"))
+
+
+@query("A11_landed_records", f"with {LANDED} select *, count(*) as n from r group by all union all select 'broken', 'no normaliser for broken', null, null, null, 1")
+def landed_records(t, spark):
+    """Every source's records as canonical rows, by the data source; what is wrong is a row of its own and stops nothing else. A source without normaliser has a row a page."""
+    landed.register(spark)
+    rows = spark.read.format("landed_pages").load(raw_pages(t, spark))
+    n = F.when(F.first(F.col("page").isNotNull() & F.col("position").isNull()), F.lit(1).cast("long")).otherwise(F.count("*"))
+    return rows.groupBy("source_system", told_error().alias("error"), "key", "action_type", "status").agg(n.alias("n"))
+
+
+@query("A12_isolated_stream", f"with {LANDED} select source_system, case when source_system = 'iac' then 0 else count(*) end as n_while_down, count(*) as n, count(error) as n_errors from r group by 1")
+def isolated_stream(t, spark):
+    """Taken twice by a stream from its cursor: first while one source is down, then when it is well; the others are taken once."""
+    landed.register(spark)
+    path, out = raw_pages(t, spark), files.landing_dir(spark)
+    landed.mark_down(spark, f"{path}/source_system=iac")
+    for name in ("n_while_down", "n"):
+        stream = spark.readStream.format("landed_pages").load(path).where("position is not null").select("source_system", "error")
+        V.take(stream, f"{out}/rows", f"{out}/cursor")
+        got = spark.read.parquet(f"{out}/rows").groupBy("source_system").agg(F.count("*").alias(name), F.count("error").alias("n_errors"))
+        if name == "n_while_down":
+            got.drop("n_errors").write.parquet(f"{out}/first")
+            landed.mark_well(spark, f"{path}/source_system=iac")
+    first = spark.read.parquet(f"{out}/first")
+    return got.join(first, "source_system", "left").select("source_system", F.coalesce("n_while_down", F.lit(0)).alias("n_while_down"), "n", "n_errors")
