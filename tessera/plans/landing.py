@@ -8,7 +8,7 @@ from tessera.functions import grammar as G
 from tessera.functions import text as T
 from tessera.operators import joins, profiling
 from tessera.registry import query
-from tessera.sources import files, landed
+from tessera.sources import files, landed, markdown
 from tessera.streaming import ingest as S
 from tessera.streaming import versions as V
 
@@ -385,3 +385,30 @@ def isolated_stream(t, spark):
             landed.mark_well(spark, f"{path}/source_system=iac")
     first = spark.read.parquet(f"{out}/first")
     return got.join(first, "source_system", "left").select("source_system", F.coalesce("n_while_down", F.lit(0)).alias("n_while_down"), "n", "n_errors")
+
+
+def as_markdown(docs):
+    """Documents as Markdown (doc_id RPL-DOC-<n>): of their sentences, by length, some are headings, some follow a clause's marker, some are rows of a table or stand in a fence."""
+    key = F.col("key")
+    sentences = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), r"(?<=[.!?]) ")
+
+    def line(s, i):
+        n, m = F.length(s), (F.length(s) % 11)
+        local = F.when(n % 4 == 0, F.concat((n % 9).cast("string"), F.lit("."), (i % 5).cast("string"))).otherwise((n % 9).cast("string"))
+        table = F.concat(F.lit("<!-- table: "), key, F.lit(":T"), (n % 3).cast("string"), F.lit(" -->\n\n| ID | Words |\n|---|---|\n| "), i.cast("string"), F.lit(" | "), s, F.lit(" |\n| "), (n % 7).cast("string"), F.lit(" | again |"))
+        return (
+            F.when(m < 2, F.concat(F.repeat(F.lit("#"), (n % 3 + 1).cast("int")), F.lit(" "), F.substring(s, 1, 30)))
+            .when(m < 5, F.concat(F.lit("<!-- clause: "), key, F.lit(":"), local, F.lit(" -->\n"), s))
+            .when(m == 5, table)
+            .when(m == 6, F.concat(F.lit("```\n"), s, F.when(n % 5 > 0, F.lit("\n```")).otherwise("")))
+            .otherwise(s)
+        )
+
+    named = docs.select(F.concat(F.lit("RPL-DOC-"), F.col("doc_id").cast("string")).alias("key"), "text")
+    return named.select(key.alias("doc_id"), F.array_join(F.transform(sentences, line), "\n").alias("text"))
+
+
+@query("E15_segments")
+def segments(t, spark):
+    """The clauses and table rows of all documents, by one scan of each document's lines."""
+    return markdown.segments(as_markdown(t("documents")))
