@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
-from tessera.operators import profiling
+from tessera.operators import inclusion, profiling
 from tessera.registry import query
 
 
@@ -93,6 +93,34 @@ def primary_keys(t, spark):
     return spark.createDataFrame([(n, profiling.primary_key(t(n))) for n in ("customer", "orders", "events", "lineitem")], "table_name string, key_name string")
 
 
+#: Every table, and its columns that hold lists and so no plain values.
+PLAIN = {name: "" for name in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()} | {"embeddings": "exclude (embedding)"}
+INVERTED = f"""v as (select distinct t || '.' || name as col, value as v from ({" union all ".join(f"select '{n}' as t, name, value from (unpivot (select columns(*)::varchar from (select * {x} from {n})) on columns(*) into name name value value)" for n, x in PLAIN.items())})),
+n as (select col, count(*) as n from v group by 1), m as (select a.col as child, b.col as parent, count(*) as n_matched from v a join v b on a.v = b.v where split_part(a.col, '.', 1) <> split_part(b.col, '.', 1) group by 1, 2)"""
+
+
+@query("C34_inclusions", f"with {INVERTED} select child, parent, n as n_values, n_matched, round(n_matched / n, 6) as ratio from m join n on col = child where n_matched >= 0.9 * n")
+def inclusions(t, spark):
+    """All pairs of columns of different tables of which one holds nine tenths or more of the other's values."""
+    return inclusion.inclusions({name: t(name) for name in PLAIN}).select("child", "parent", "n_values", "n_matched", "ratio")
+
+
+@query("C34_foreign_keys", "select * from (select 'orders.o_custkey' as child, 'customer.c_custkey' as parent, (select count(*) from (select distinct o_custkey k from orders) join customer on c_custkey = k) / (select count(distinct o_custkey) from orders) as r union all select 'lineitem.l_partkey', 'part.p_partkey', (select count(*) from (select distinct l_partkey k from lineitem) join part on p_partkey = k) / (select count(distinct l_partkey) from lineitem) union all select 'lineitem.l_suppkey', 'supplier.s_suppkey', (select count(*) from (select distinct l_suppkey k from lineitem) join supplier on s_suppkey = k) / (select count(distinct l_suppkey) from lineitem) union all select 'lineitem.l_orderkey', 'orders.o_orderkey', (select count(*) from (select distinct l_orderkey k from lineitem) join orders on o_orderkey = k) / (select count(distinct l_orderkey) from lineitem) union all select 'customer.c_nationkey', 'nation.n_nationkey', (select count(*) from (select distinct c_nationkey k from customer) join nation on n_nationkey = k) / (select count(distinct c_nationkey) from customer) union all select 'supplier.s_nationkey', 'nation.n_nationkey', (select count(*) from (select distinct s_nationkey k from supplier) join nation on n_nationkey = k) / (select count(distinct s_nationkey) from supplier) union all select 'nation.n_regionkey', 'region.r_regionkey', (select count(*) from (select distinct n_regionkey k from nation) join region on r_regionkey = k) / (select count(distinct n_regionkey) from nation)) where r >= 0.9")
+def foreign_keys(t, spark):
+    """Of the inclusions those in a unique key that the column is named after."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    return inclusion.foreign_keys(inclusion.inclusions({n: t(n) for n in names})).select("child", "parent", F.col("ratio").alias("r"))
+
+
+@query("C35_clause_columns", f"""with ids as (select distinct l_suppkey as doc_id, cast(l_partkey as varchar) as id from lineitem), v as (select distinct name as col, value as v from (unpivot (select columns(*)::varchar from orders) on columns(*) into name name value value)),
+s as (select col, count(*) as n, count_if(regexp_full_match(v, '(\d+(\.\d+){{0,2}}[a-z]?|App-[A-Z]\.\d+|S\d+\.\d+)')) as k from v group by 1), h as (select col, doc_id, count(*) as m from v join ids on v = id group by 1, 2)
+select 'orders.' || col as col, doc_id, round(k / n, 6) as shaped, round(m / n, 6) as known from s join h using (col) where k >= 0.9 * n and m >= 0.05 * n""")
+def clause_columns(t, spark):
+    """Columns of orders shaped like clause ids, with the suppliers (as documents) whose parts (as clauses) are a twentieth of their values or more."""
+    ids = t("lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("local_id"))
+    return inclusion.reference_columns("orders", t("orders"), ids, known=0.05)
+
+
 @query("C34_fk_discovery", """select * from (select 'o_custkey' as child, 'c_custkey' as parent, count(*) as n_values, count(c_custkey) as n_matched, round(count(c_custkey) / count(*), 6) as ratio from (select distinct o_custkey k from orders) left join customer on k = c_custkey
 union all select 'l_partkey', 'p_partkey', count(*), count(p_partkey), round(count(p_partkey) / count(*), 6) from (select distinct l_partkey k from lineitem) left join part on k = p_partkey
 union all select 'l_suppkey', 's_suppkey', count(*), count(s_suppkey), round(count(s_suppkey) / count(*), 6) from (select distinct l_suppkey k from lineitem) left join supplier on k = s_suppkey)""")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import grammar as G
 from tessera.functions import text as T
-from tessera.operators import engine, joins, profiling
+from tessera.operators import engine, joins, profiling, similar
 from tessera.registry import query
 
 
@@ -106,6 +106,27 @@ def restates(t, spark):
     return g.select(*keys, F.col("p_partkey").alias("a")).join(g.select(*keys, F.col("p_partkey").alias("b")), keys).where("a < b").select("a", "b")
 
 
+#: Embeddings as the clauses of parts of the same number, ten to a document; what they cite are hundreds of orders, small parts cite none.
+RESTATED = """c as (select vec_id as k, vec_id // 10 as doc, cast(embedding as double[]) as v, p_size <= 15 as bare, p_brand, p_size from embeddings join part on p_partkey = vec_id),
+sec as (select distinct l_partkey as k, l_orderkey // 10 as s from lineitem join c on k = l_partkey where not bare), sig as (select k, p_brand as sig from c union all select k, 'size ' || p_size from c),
+ok as (select sig from sig group by 1 having count(*) <= 200), li as (select k as a, k + 1 as b from c where p_size > 40)"""
+
+
+@query("C31_restates_by_cosine", f"""with {RESTATED}, p as (select a.k as a, b.k as b, min(a.sig) as sig from sig a join sig b using (sig) join ok using (sig) join c x on x.k = a.k join c y on y.k = b.k where a.k < b.k and (exists (select 1 from sec s join sec t on s.s = t.s where s.k = a.k and t.k = b.k)
+or (((x.bare or not exists (select 1 from sec where sec.k = a.k)) or (y.bare or not exists (select 1 from sec where sec.k = b.k))) and (x.doc = y.doc or exists (select 1 from li where li.a = a.k and li.b = b.k)))) group by 1, 2),
+d as (select a, b, sig, list_cosine_similarity(x.v, y.v) as score from p join c x on x.k = a join c y on y.k = b) select a as from_id, b as to_id, round(score, 6) as score, sig as signature from d where score >= 0.1 union all select b, a, round(score, 6), sig from d where score >= 0.1""")
+def restates_by_cosine(t, spark):
+    """Clauses with one parameter, in one section, document or link, whose vectors are alike."""
+    c = t("embeddings").join(t("part"), F.col("vec_id") == F.col("p_partkey")).select(F.col("vec_id").alias("clause_id"), "p_brand", "p_size", "embedding")
+    cited = t("lineitem").select(F.col("l_partkey").alias("clause_id"), F.expr("l_orderkey div 10").alias("s")).groupBy("clause_id").agg(F.collect_set("s").alias("cited"))
+    none = F.array().cast("array<bigint>")
+    clauses = c.join(cited, "clause_id", "left").select("clause_id", F.expr("clause_id div 10").alias("doc_id"), F.when(F.col("p_size") <= 15, none).otherwise(F.coalesce("cited", none)).alias("sections"), F.col("embedding").alias("vec"))
+    params = c.select("clause_id", F.explode(F.array("p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string")))).alias("signature"))
+    links = c.where("p_size > 40").select(F.col("clause_id").alias("from_id"), (F.col("clause_id") + 1).alias("to_id"))
+    found = similar.restates(clauses, params, links, least=0.1)
+    return found.select("from_id", "to_id", F.round("score", 6).alias("score"), "signature")
+
+
 @query("C35_reference_columns", "select 'l_orderkey' as column_name, round(count_if(regexp_matches(cast(l_orderkey as varchar), '^[0-9]+$')) / count(*), 6) as shaped, round(count(o_orderkey) / count(*), 6) as known from lineitem left join orders on o_orderkey = l_orderkey")
 def reference_columns(t, spark):
     o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("hit"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators import similar
+from tessera.operators.stages import kept
 from tessera.registry import query
 
 
@@ -87,23 +89,21 @@ def near_pairs(t, spark):
     """Documents of one source that are 0.8 alike by five-word shingles: pairs of classes (first documents), and each other document of a class with its first.
 
     A class is all documents with one set of shingles, so copies cost a row each.
-    Of n shingles in order of how many classes have them, two sets that are 0.8
-    alike share one of the first n - ceil(0.8 n) + 1: classes meet by these only,
-    and only where their sizes allow it.
     """
-    d = t("documents").where("text is not null").select("doc_id", "source", T.shingles(F.split(F.lower("text"), " "), hashed=True).alias("g"))
-    d = d.select("doc_id", "source", "g", F.size("g").alias("n"), F.xxhash64(F.array_sort("g")).alias("set"))
-    classes = d.groupBy("source", "set", "n").agg(F.min("doc_id").alias("rep"))
-    members = d.select("doc_id", "source", "set", "n").join(classes, ["source", "set", "n"]).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("score"))
-    sets = d.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    flat = sets.select("doc_id", "source", "n", F.explode("g").alias("s")).withColumn("df", F.count("*").over(Window.partitionBy("source", "s")))
-    ranked = flat.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s")))
-    prefix = ranked.where("df > 1 and r <= n - (4 * n + 4) div 5 + 1").select("source", "s", "doc_id", "n")
-    a, b = prefix.withColumnsRenamed({"doc_id": "doc_a", "n": "n_a"}), prefix.withColumnsRenamed({"doc_id": "doc_b", "n": "n_b"})
-    pairs = a.join(b, ["source", "s"]).where("doc_a < doc_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").select("doc_a", "doc_b").distinct()
-    left, right = sets.select(F.col("doc_id").alias("doc_a"), F.col("g").alias("ga")), sets.select(F.col("doc_id").alias("doc_b"), F.col("g").alias("gb"))
-    scored = pairs.join(left, "doc_a").join(right, "doc_b").withColumn("j", T.jaccard(F.col("ga"), F.col("gb")))
-    return scored.where("j >= 0.8").select("doc_a", "doc_b", F.round("j", 6).alias("score")).unionByName(members)
+    sets = kept(similar.shingle_sets(t("documents").where("text is not null"), "source", "doc_id", F.split(F.lower("text"), " ")))
+    firsts = kept(similar.classes(sets))
+    members = sets.join(firsts, ["block", "same", "n"]).where("key <> first").select(F.col("first").alias("doc_a"), F.col("key").alias("doc_b"), F.lit(1.0).alias("score"))
+    reps = sets.join(firsts.select("block", F.col("first").alias("key")), ["block", "key"], "left_semi")
+    return similar.similar(reps).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("score", 6).alias("score")).unionByName(members)
+
+
+@query("I5_best_of_source", """with w as (select doc_id, source, string_split(lower(text), ' ') as w from documents where text is not null), g as (select distinct doc_id, source, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, source, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w)),
+n as (select doc_id, count(*) as n from g group by 1), p as (select a.doc_id as a, b.doc_id as b, count(*) as s from g a join g b on a.g = b.g and a.source = b.source and a.doc_id <> b.doc_id group by 1, 2),
+j as (select a, b, s / (x.n + y.n - s) as j from p join n x on x.doc_id = a join n y on y.doc_id = b) select a as citation, arg_min(b, (-j, b)) as old_citation, round(max(j), 6) as score from j where j >= 0.8 group by 1""")
+def best_of_source(t, spark):
+    """For every document the other one of its source that is most alike: sections under a new number, if any."""
+    sets = kept(similar.shingle_sets(t("documents").where("text is not null"), "source", "doc_id", F.split(F.lower("text"), " ")))
+    return similar.best_of_others(sets, sets).select(F.col("key").alias("citation"), F.col("other").alias("old_citation"), F.round("score", 6).alias("score"))
 
 
 @query("E14_chunks", """with w as (select doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) as n from documents) select doc_id, cast(i as integer) as chunk, cast(least(500, n - i * 450) as integer) as n_words from (select doc_id, n, unnest(generate_series(0, cast(greatest(ceil((n - 500) / 450), 0) as bigint))) as i from w where n > 0)""")
