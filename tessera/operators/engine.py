@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators import similar
+from tessera.operators.stages import kept
 
 # Vocabularies, in order of priority where order counts.
 PATHS = ("direct_section", "direct_rule", "register_hop", "value_echo")
@@ -17,7 +20,7 @@ REPEALED = ("repealed", "expired")
 VERDICTS = ("action_required", "optional_relaxed", "update_citation", "review", "info")
 #: What an approved document's finding may become if the law was there first.
 STALE_ELIGIBLE = ("parameter_change", "required_content_change", "new_obligation")
-MIN_CONFIDENCE, RENUMBER_ALIKE = 0.6, 0.8
+MIN_CONFIDENCE, RENUMBER_ALIKE = 0.6, Fraction(4, 5)
 
 
 def path_rank(path: Column) -> Column:
@@ -47,19 +50,10 @@ def classify(changes: DataFrame) -> DataFrame:
     return df.withColumn("change_class", kind).withColumn("rule_key", F.coalesce(T.rule_key(F.col("citation")), F.col("citation")))
 
 
-def renumbered(new: DataFrame, old: DataFrame, least: float = RENUMBER_ALIKE) -> DataFrame:
-    """The old section that each new one is a renumbering of: most alike by five-word shingles within (block), another citation.
-
-    Sections meet by their shingles, so only those that share one are compared.
-    """
-    cut = lambda df, p: df.select("block", F.col("citation").alias(f"{p}_citation"), T.shingles(F.split(F.lower("text"), r"\s+")).alias(f"{p}_s"))
-    n, o = cut(new, "new"), cut(old, "old")
-    meet = n.select("block", "new_citation", F.explode("new_s").alias("s")).join(o.select("block", "old_citation", F.explode("old_s").alias("s")), ["block", "s"])
-    shared = meet.where("new_citation <> old_citation").groupBy("block", "new_citation", "old_citation").agg(F.count("*").alias("k"))
-    sized = shared.join(n.select("block", "new_citation", F.size("new_s").alias("x")), ["block", "new_citation"]).join(o.select("block", "old_citation", F.size("old_s").alias("y")), ["block", "old_citation"])
-    score = F.col("k") / (F.col("x") + F.col("y") - F.col("k"))
-    best = Window.partitionBy("block", "new_citation").orderBy(F.desc("score"), "old_citation")
-    return sized.withColumn("score", score).where(F.col("score") >= least).withColumn("n", F.row_number().over(best)).where("n = 1").select("block", "new_citation", "old_citation", "score")
+def renumbered(new: DataFrame, old: DataFrame, least: Fraction = RENUMBER_ALIKE) -> DataFrame:
+    """The old section that each new one is a renumbering of: most alike by five-word shingles within (block), another citation."""
+    sets = [similar.shingle_sets(df, "block", "citation", F.split(F.lower("text"), r"\s+")) for df in (new, old)]
+    return similar.best_of_others(*sets, least).select("block", F.col("key").alias("new_citation"), F.col("other").alias("old_citation"), "score")
 
 
 def in_footprint(changes: DataFrame, citations: DataFrame) -> DataFrame:
@@ -84,34 +78,64 @@ def value_matches(p: str, v: str) -> Column:
     return same_unit & days & (F.abs(c(f"{p}.value_num") - c(f"{v}.old_value_num")) <= 1e-9)
 
 
+#: What a path's row has.
+PATH = ("change_id", "clause_pk", "clause_id", "doc_id", "path", "via_clause_id", "link_type", "value", "cited")
+
+
+def direct_paths(changes: DataFrame, clauses: DataFrame, citations: DataFrame) -> DataFrame:
+    """Paths of the clauses that cite a change's section (direct_section) or its rule (direct_rule), with wide: whether the change reaches further.
+
+    Sections and rules are keys of one join, a row for each clause and key.
+    """
+    ch = changes.where(F.col("change_class").isin(*OPEN_CLASSES)).withColumn("wide", ~F.col("change_class").isin(*SECTION_ONLY))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key"))
+    asked = ch.select("change_id", "citation", "wide", F.explode(F.array_compact(F.array(key("s", "s1_section_id"), F.when(F.col("wide"), key("r", "rule_key"))))).alias("k")).select("change_id", "citation", "wide", "k.*")
+    resolved = citations.select("clause_pk", "raw", F.when(F.col("status") == "resolved", key("s", "section_id")).when(F.col("status") == "resolved_rule", key("r", "rule_key")).alias("k")).where("k.key is not null")
+    cited = resolved.select("clause_pk", "raw", "k.*").groupBy("clause_pk", "kind", "key").agg(F.min("raw").alias("raw")).join(clauses.select("clause_pk", "clause_id", "doc_id"), "clause_pk")
+    value = F.when(F.col("kind") == "s", F.col("citation")).otherwise(F.col("raw"))
+    path = F.when(F.col("kind") == "s", "direct_section").otherwise("direct_rule")
+    none = F.lit(None).cast("string")
+    return asked.join(cited, ["kind", "key"]).select("change_id", "clause_pk", "clause_id", "doc_id", path.alias("path"), none.alias("via_clause_id"), none.alias("link_type"), value.alias("value"), value.alias("cited"), "wide", "citation")
+
+
+def hop_paths(direct: DataFrame, clauses: DataFrame, links: DataFrame) -> DataFrame:
+    """Paths over one link from a direct clause; links in both directions."""
+    start = direct.where("wide").select("change_id", "clause_pk", F.col("clause_id").alias("via_clause_id"), "citation").distinct()
+    ends = links.where("other_pk <> clause_pk").join(clauses.select(F.col("clause_pk").alias("other_pk"), "clause_id", "doc_id"), "other_pk")
+    return start.join(ends, "clause_pk").select("change_id", F.col("other_pk").alias("clause_pk"), "clause_id", "doc_id", F.lit("register_hop").alias("path"), "via_clause_id", "link_type", F.col("citation").alias("value"), F.col("citation").alias("cited"))
+
+
+def echo_paths(direct: DataFrame, changes: DataFrame, clauses: DataFrame, params: DataFrame) -> DataFrame:
+    """Paths of the clauses in a direct clause's document, or that cite the rule, which state a changed value.
+
+    They meet by document or clause and by the value, rounded (to both sides,
+    where the tolerance lies across), so that a document of many clauses doesn't
+    meet with all values of many changes.
+    """
+    rounded = lambda x: F.array_distinct(F.array(F.round(x - 1e-9, 6), F.round(x + 1e-9, 6)))
+    place = lambda doc, clause: F.explode(F.array_compact(F.array(F.concat(F.lit("d"), doc), clause))).alias("place")
+    clause = F.concat(F.lit("c"), F.col("clause_pk").cast("string"))
+    where = direct.where("wide").select("change_id", "citation", place(F.col("doc_id").cast("string"), F.when(F.col("path") == "direct_rule", clause))).distinct()
+    values = changes.select("change_id", F.explode("value_changes").alias("v")).select("change_id", "v", F.explode(rounded(F.col("v.old_value_num"))).alias("at"))
+    usable = params.where("value_num is not null and (kind <> 'number' or unit is not null)").join(clauses.select("clause_pk", "clause_id", "doc_id"), "clause_pk")
+    stated = usable.select("clause_pk", "clause_id", "doc_id", F.struct("value_num", "unit", "day_type", "value_text").alias("p"), place(F.col("doc_id").cast("string"), clause)).withColumn("at", F.round("p.value_num", 6))
+    met = where.join(values, "change_id").join(stated, ["place", "at"]).where(value_matches("p", "v"))
+    none = F.lit(None).cast("string")
+    return met.select("change_id", "clause_pk", "clause_id", "doc_id", F.lit("value_echo").alias("path"), none.alias("via_clause_id"), none.alias("link_type"), F.col("p.value_text").alias("value"), F.col("citation").alias("cited")).distinct()
+
+
 def candidates(changes: DataFrame, clauses: DataFrame, citations: DataFrame, links: DataFrame, params: DataFrame) -> DataFrame:
-    """One row for each change and clause with its best path and all paths: four joins and a union.
+    """One row for each change and clause with its best path and all paths.
 
     changes: change_id, change_class, s1_section_id, citation, rule_key, value_changes;
-    links in both directions; clauses are the eligible ones.
+    links in both directions; clauses are the eligible ones. The direct paths, from
+    which the others start, are written once.
     """
-    ch = changes.where(F.col("change_class").isin(*OPEN_CLASSES))
-    eligible = clauses.select("clause_pk", "clause_id", "doc_id")
-    cited = citations.join(eligible, "clause_pk")
-    row = lambda df, path, via=F.lit(None), link=F.lit(None), value=F.lit(None), of=F.lit(None): df.select("change_id", "clause_pk", F.lit(path).alias("path"), via.cast("string").alias("via_clause_id"), link.cast("string").alias("link_type"), value.cast("string").alias("value"), of.cast("string").alias("cited"))
-    section = row(ch.join(cited.where("status = 'resolved'").withColumnRenamed("section_id", "s1_section_id").drop("rule_key").dropDuplicates(["clause_pk", "s1_section_id"]), "s1_section_id"), "direct_section", value=F.col("citation"), of=F.col("citation"))
-    wide = ch.where(~F.col("change_class").isin(*SECTION_ONLY))
-    rules = cited.where("status = 'resolved_rule'").groupBy("clause_pk", "rule_key").agg(F.min("raw").alias("raw"))
-    rule = row(wide.join(rules, "rule_key"), "direct_rule", value=F.col("raw"), of=F.col("raw"))
-    direct = section.unionByName(rule).select("change_id", "clause_pk").distinct().join(eligible, "clause_pk")
-    hops = direct.select("change_id", "clause_pk", F.col("clause_id").alias("via")).join(links, "clause_pk").where("other_pk <> clause_pk").select("change_id", F.col("other_pk").alias("clause_pk"), "via", "link_type").join(eligible.select("clause_pk"), "clause_pk", "left_semi")
-    hop = row(hops.join(wide.select("change_id", "citation"), "change_id"), "register_hop", F.col("via"), F.col("link_type"), F.col("citation"), F.col("citation"))
-    # parameters meet changed values of changes that their document or their rule is in
-    docs = direct.select("change_id", "doc_id").distinct()
-    usable = params.where("value_num is not null and (kind <> 'number' or unit is not null)").join(eligible, "clause_pk")
-    near = usable.join(docs, "doc_id").select("change_id", "clause_pk", F.struct("value_num", "unit", "day_type", "value_text").alias("p"))
-    ruled = usable.join(rules.select("clause_pk", "rule_key"), "clause_pk").join(wide.select("change_id", "rule_key"), "rule_key").select("change_id", "clause_pk", F.struct("value_num", "unit", "day_type", "value_text").alias("p"))
-    values = wide.select("change_id", "citation", F.explode("value_changes").alias("v"))
-    echo = row(near.unionByName(ruled).distinct().join(values, "change_id").where(value_matches("p", "v")), "value_echo", value=F.col("p.value_text"), of=F.col("citation"))
-    paths = section.unionByName(rule).unionByName(hop).unionByName(echo).withColumn("rank", path_rank(F.col("path")))
+    direct = kept(direct_paths(changes, clauses, citations))
+    paths = direct.select(*PATH).unionByName(hop_paths(direct, clauses, links)).unionByName(echo_paths(direct, changes, clauses, params)).withColumn("rank", path_rank(F.col("path")))
     entry = F.struct("rank", "via_clause_id", "link_type", "value", "path")
-    found = paths.groupBy("change_id", "clause_pk").agg(F.min_by("path", "rank").alias("match_path"), F.min_by("cited", "rank").alias("cited_citation"), F.array_sort(F.collect_list(entry)).alias("path_detail"))
-    return found.join(eligible, "clause_pk").withColumn("candidate_id", F.sha2(F.concat_ws("|", "change_id", "clause_pk"), 256))
+    found = paths.groupBy("change_id", "clause_pk").agg(F.min_by("path", "rank").alias("match_path"), F.min_by("cited", "rank").alias("cited_citation"), F.array_sort(F.collect_list(entry)).alias("path_detail"), F.first("clause_id").alias("clause_id"), F.first("doc_id").alias("doc_id"))
+    return found.withColumn("candidate_id", F.sha2(F.concat_ws("|", "change_id", "clause_pk"), 256))
 
 
 def verdict_of(kind: Column, direction: Column, needs_review: Column) -> Column:

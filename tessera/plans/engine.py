@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import engine
+from tessera.operators.stages import kept
 from tessera.registry import query
 
 #: The same tables for the oracle.
@@ -56,7 +57,7 @@ def tables(t):
 def stages(t):
     """(changes, clauses, citations, candidates, findings) of the rules."""
     ch, cl, ci, li, pa = tables(t)
-    found = engine.candidates(ch, cl, ci, li, pa).withColumn("skip_reason", F.when(F.col("clause_pk") % 11 == 0, "fragment"))
+    found = kept(engine.candidates(ch, cl, ci, li, pa).withColumn("skip_reason", F.when(F.col("clause_pk") % 11 == 0, "fragment")))
     ruled = engine.decide_by_rules(found, ch, cl, pa)
     return ch, cl, ci, found, ruled.where("finding_type is not null").withColumn("needs_review", F.lit(False)).withColumn("finding_id", F.col("candidate_id"))
 
@@ -66,8 +67,9 @@ def eligible_citations(t):
     return ci.join(cl.select("clause_pk"), "clause_pk", "left_semi")
 
 
-def by_path(t, path):
-    return engine.candidates(*tables(t)).where(F.exists("path_detail", lambda e: e["path"] == path)).select("change_id", "clause_id")
+def direct(t):
+    ch, cl, ci, *_ = tables(t)
+    return engine.direct_paths(ch, cl, ci)
 
 
 @query("C6_footprint", f"with {TABLES}, {FOOT} select change_id, coalesce(n, 0) as cited_clause_count, n is not null as in_footprint from ch left join foot using (change_id)")
@@ -89,23 +91,24 @@ def cited_by_eligible(t, spark):
 
 @query("C7_direct_section", f"with {PATHS} select change_id, clause_id from sec join cl using (clause_pk)")
 def direct_section(t, spark):
-    return by_path(t, "direct_section")
+    return direct(t).where("path = 'direct_section'").select("change_id", "clause_id")
 
 
 @query("C8_direct_rule", f"with {PATHS} select change_id, clause_id from rul join cl using (clause_pk)")
 def direct_rule(t, spark):
-    return by_path(t, "direct_rule")
+    return direct(t).where("path = 'direct_rule'").select("change_id", "clause_id")
 
 
 @query("C9_register_hop", f"with {PATHS} select change_id, clause_id, via from hop join cl using (clause_pk)")
 def register_hop(t, spark):
-    e = engine.candidates(*tables(t)).select("change_id", "clause_id", F.explode("path_detail").alias("e")).where("e.path = 'register_hop'")
-    return e.select("change_id", "clause_id", F.col("e.via_clause_id").alias("via"))
+    _, cl, _, li, _ = tables(t)
+    return engine.hop_paths(direct(t), cl, li).select("change_id", "clause_id", F.col("via_clause_id").alias("via"))
 
 
 @query("C10_value_echo", f"with {PATHS} select change_id, clause_id from ech join cl using (clause_pk)")
 def value_echo(t, spark):
-    return by_path(t, "value_echo")
+    ch, cl, _, _, pa = tables(t)
+    return engine.echo_paths(kept(direct(t)), ch, cl, pa).select("change_id", "clause_id").distinct()
 
 
 @query("M3_candidates", f"with {PATHS} select change_id, clause_id, {NAMES} as match_path, n_paths from cand")
@@ -116,7 +119,7 @@ def candidates(t, spark):
 @query("M4_rules", f"with {RULES} select change_id, clause_id, rule, case when rule in ('R1', 'R2') then 'stale_citation' when rule = 'R3' then 'parameter_change' end as finding_type, case rule when 'R1' then '(repealed)' when 'R2' then citation when 'R3' then (old_value + 1) || ' days' end as to_text, case rule when 'R1' then citation when 'R2' then coalesce(renumbered_from, citation) when 'R3' then value_text end as from_text from ruled")
 def rules(t, spark):
     ch, cl, ci, li, pa = tables(t)
-    found = engine.candidates(ch, cl, ci, li, pa).withColumn("skip_reason", F.when(F.col("clause_pk") % 11 == 0, "fragment"))
+    found = kept(engine.candidates(ch, cl, ci, li, pa).withColumn("skip_reason", F.when(F.col("clause_pk") % 11 == 0, "fragment")))
     return engine.decide_by_rules(found, ch, cl, pa).select("change_id", "clause_id", "rule", "finding_type", "to_text", "from_text")
 
 
