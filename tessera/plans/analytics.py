@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
-from tessera.operators import inclusion, profiling
+from tessera.operators import inclusion, profiling, retrieval
 from tessera.registry import query
 
 
@@ -327,3 +327,34 @@ def event_windows(t, spark):
 def sessions(t, spark):
     """Sessions with gaps of 30 minutes at least."""
     return t("events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n")).select("user_id", "start", "n")
+
+
+def neighbours_sql(where: str) -> str:
+    return f"""with s as (select q.vec_id as query, e.vec_id as key, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 10) as score from embeddings q, embeddings e where q.vec_id % 100 = 0 and q.vec_id <> e.vec_id and {where})
+select query, key, round(score, 6) as score, cast(row_number() over (partition by query order by score desc, key) as int) as rank from s qualify rank <= 10"""
+
+
+def vectors_and_queries(t):
+    v = t("embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), "label")
+    return v, v.where("key % 100 = 0").withColumnRenamed("key", "query")
+
+
+@query("F5_all_neighbours", neighbours_sql("true"))
+def all_neighbours(t, spark):
+    """The ten nearest of every hundredth vector, against all in blocks."""
+    v, q = vectors_and_queries(t)
+    return retrieval.dense_top(v, q).select("query", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("J3_filtered_neighbours", neighbours_sql("e.label in (1, 2)"))
+def filtered_neighbours(t, spark):
+    """The same among the vectors of two labels, a filter that goes before the search."""
+    v, q = vectors_and_queries(t)
+    return retrieval.dense_top(v.where("label in (1, 2)"), q).select("query", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("F5_index_neighbours")
+def index_neighbours(t, spark):
+    """The same by an inverted file whose lists and probes are fitted on a bounded sample."""
+    v, q = vectors_and_queries(t)
+    return retrieval.index_top(retrieval.vector_index(v, ("label",)), q).select("query", "key", F.round("score", 6).alias("score"), "rank")

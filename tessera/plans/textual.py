@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
-from tessera.operators import similar
+from tessera.operators import retrieval, similar
 from tessera.operators.stages import kept
 from tessera.registry import query
 
@@ -121,6 +121,27 @@ def sparse_tf(t, spark):
     return df.join(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", "df", F.round(F.ln(F.col("n") / F.col("df")), 6).alias("idf"))
 
 
+TERMS = """w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) >= 2) as w from documents), u as (select doc_id, len(w) as n, unnest(w) as term from w),
+tf as (select doc_id, term, count(*) / max(n) as tf from u group by 1, 2), df as (select term, ln(1 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf group by 1)"""
+
+
+@query("J4_sparse_topk", f"""with {TERMS}, s as (select q.doc_id as query, d.doc_id as key, round(sum(q.tf * d.tf * idf), 10) as score from tf q join tf d on q.term = d.term and q.doc_id <> d.doc_id join df on df.term = q.term where q.doc_id % 100 = 0 group by 1, 2)
+select query, key, round(score, 6) as score, cast(row_number() over (partition by query order by score desc, key) as int) as rank from s qualify rank <= 10""")
+def sparse_topk(t, spark):
+    """The ten documents most like every hundredth one by their terms, from an inverted index over all."""
+    vectors = retrieval.sparse(t("documents"), "doc_id", "text", hashed=False)
+    index = retrieval.sparse_index(vectors, t("documents").count())
+    found = retrieval.sparse_top(index, index.vectors.where("key % 100 = 0").withColumnRenamed("key", "query"))
+    return found.select("query", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("J4_sparse_vectors")
+def sparse_vectors(t, spark):
+    """Every document's vector over hashed terms."""
+    v = retrieval.sparse(t("documents"), "doc_id", "text")
+    return v.groupBy(F.col("key").alias("doc_id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("vector"))
+
+
 @query("J5_payload", "select l_orderkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as flags, count(distinct l_partkey) as n_parts from lineitem group by 1")
 def payload(t, spark):
     return t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.countDistinct("l_partkey").alias("n_parts"))
