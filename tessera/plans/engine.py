@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import engine
+from tessera.operators import engine, whatif
 from tessera.operators.stages import kept
 from tessera.registry import query
 
@@ -283,3 +283,27 @@ def cached(t, spark):
     prompts = t("orders").select("o_orderkey", F.lit("s").alias("system"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("user"), F.lit("{}").alias("schema"), "o_orderpriority", "o_orderstatus")
     cache = prompts.where("o_orderstatus = 'F'").select(F.sha2(F.concat_ws("\n", "system", "user", "schema"), 256).alias("prompt_sha256"), F.concat(F.lit("answer "), "o_orderpriority").alias("answer")).distinct()
     return engine.cached_answers(prompts, cache).select("o_orderkey", "answer")
+
+
+#: One order in a hundred customers' is edited: even ones are repealed, of the others the value is half as much again.
+EDITED = RULES.replace("ch as (select", "ch0 as (select", 1).replace("\ncl as (", """
+ed as (select o_orderkey as change_id from orders where o_custkey % 100 = 0),
+ch as (select ch0.* replace (case when ed.change_id is null then change_class when ed.change_id % 2 = 0 then 'repealed' else 'substantive' end as change_class), case when ed.change_id % 2 = 1 then greatest(cast(round_even(old_value * 1.5, 0) as bigint), old_value + 1) else old_value + 1 end as new_value from ch0 left join ed using (change_id)),
+cl as (""", 1).replace("old_value, value_text, case", "old_value, new_value, value_text, case", 1).replace("case when cand.clause_pk % 11 = 0 then 'R4' when", "case when", 1)
+DECIDED = "change_id, clause_id, rule, case rule when 'R1' then '(repealed)' when 'R2' then citation when 'R3' then new_value || ' days' end as to_text"
+
+
+def scenario(t):
+    """(the base run's decisions, edits, what they are joined with)."""
+    ch, cl, ci, li, pa = tables(t)
+    base = whatif.decided(ch, cl, ci, li, pa)
+    edited = ch.join(t("orders").where("o_custkey % 100 = 0").select(F.col("o_orderkey").alias("change_id")), "change_id", "left_semi")
+    edits = whatif.repeals(edited.where("change_id % 2 = 0")).unionByName(whatif.text_edits(edited.where("change_id % 2 = 1")))
+    return ch, base, edits, (cl, ci, li, pa)
+
+
+@query("M1_scenario", f"with {EDITED} select {DECIDED} from ruled")
+def edited_run(t, spark):
+    """A run's decisions after some of the law is edited: what the edits reach is decided anew, the rest stands."""
+    _, base, edits, more = scenario(t)
+    return whatif.what_if(base, edits, *more).select("change_id", "clause_id", "rule", "to_text")

@@ -8,7 +8,8 @@ from pyspark.sql.types import BooleanType
 
 from tessera.functions import grammar as G
 from tessera.functions import text as T
-from tessera.operators import engine, joins, profiling
+from tessera.functions import values as V
+from tessera.operators import engine, joins, profiling, scoring
 from tessera.registry import query
 
 #: Numbers of each order that its texts name, for Spark and the oracle.
@@ -116,6 +117,16 @@ def value_replaced(t, spark):
     return written(t, "file within %d days, or %d days before", "s", "s").select("k", F.replace("text", days(F.col("s")), days(F.col("s") + 5)).alias("text"))
 
 
+@query("H13_nearest_value", f"""select k, case st when 'F' then format('Within {{}} days, or within {{}} days of notice, {{}}-{{}} stays', s, n, s, s) when 'O' then format('In 1{{}} days or {{}} hours, not {{}}.5 or {{}} days', s, s, s, n) end as text from (select o.k, o.s, st, greatest(cast(round_even(o.s * 1.5, 0) as bigint), o.s + 1) as n from {O}) q""")
+def nearest_value(t, spark):
+    """Of several places of a number the one nearest to a position gets the new value; numbers that are part of others stay."""
+    f = lambda form, n: F.format_string(form, *["s"] * n)
+    text = F.when(F.col("st") == "F", f("Within %d days, or within %d days of notice, %d-%d stays", 4)).when(F.col("st") == "O", f("In 1%d days or %d hours, not %d.5 or %d days", 4)).otherwise(f("No such number, only 1%d and %d-1", 2))
+    near = F.when(F.col("st") == "F", F.lit(28)).otherwise(F.lit(60))
+    hit = V.replaced(text, F.col("s"), V.changed_value(F.col("s")), near)
+    return orders(t).select("k", hit.alias("hit")).select("k", "hit.text")
+
+
 @query("H15_sentence_window", "select doc_id, case when instr(text, ' the ') > 0 then sha256(substring(text, greatest(1, instr(text, ' the ') - 80), least(instr(text, ' the ') + 84, length(text)) - greatest(1, instr(text, ' the ') - 80) + 1)) end as digest from documents")
 def sentence_window(t, spark):
     """The text within 80 characters around the first place of a word."""
@@ -229,6 +240,24 @@ def greedy_matches(t, spark):
     return joins.match_in_order(rows.where("want"), rows.where("not want"), ["l_orderkey", "clause"], ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", F.col("a.l_linenumber").alias("expected"), F.col("b.l_linenumber").alias("found"), "a.l_partkey")
 
 
+def findings(t):
+    """Returned lineitems as expected findings and the others as found ones: the order is the document, the supplier the section, part and line the clause."""
+    l = t("lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    clause = F.concat_ws(".", (F.col("l_partkey") % 4).cast("string"), (F.col("l_linenumber") % 3).cast("string"))
+    citation = F.format_string("170 IAC 4-1-%d", F.col("l_suppkey") % 3)
+    of = l.select(F.col("l_orderkey").alias("doc_id"), "id", F.col("l_linenumber").alias("ordinal"), citation.alias("citation"), clause.alias("clause"), "l_returnflag", "l_partkey", "l_tax")
+    expected = of.where("l_returnflag = 'R'").select("doc_id", F.col("id").alias("finding_id"), "ordinal", F.concat("citation", F.lit("(a)")).alias("citation"), F.array("clause", F.concat((F.col("l_partkey") % 4).cast("string"), F.lit(".9"))).alias("acceptable_clause_ids"), (F.col("l_tax") > 0.03).alias("parent_tolerance"))
+    parent = F.when(F.col("l_partkey") % 5 == 0, F.substring_index("clause", ".", 1)).otherwise(F.col("clause"))
+    system = of.where("l_returnflag <> 'R'").select("doc_id", F.col("id").alias("system_id"), "ordinal", "citation", parent.alias("clause_id"))
+    return expected, system
+
+
+@query("C39_scored_findings")
+def scored_findings(t, spark):
+    """Expected findings with the found ones that they take, in order, parents of a clause tolerated where that is said."""
+    return scoring.matches(*findings(t))
+
+
 @query("E16_preceding_tokens", f"select k, case st when 'F' then 'calendar' when 'O' then 'business' end as qualifier from {O}")
 def preceding_tokens(t, spark):
     """The last qualifier among the six words before a quantity."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import grammar as G
+from tessera.functions import tables
 from tessera.functions import text as T
 from tessera.operators import joins, profiling
 from tessera.registry import query
@@ -412,3 +413,13 @@ def as_markdown(docs):
 def segments(t, spark):
     """The clauses and table rows of all documents, by one scan of each document's lines."""
     return markdown.segments(as_markdown(t("documents")))
+
+
+@query("L9_word_windows", """with u as (select conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from conversations), f as (select conv_id, turn, unnest(w) as word, generate_subscripts(w, 1) as j from u),
+p as (select *, row_number() over (partition by conv_id order by turn, j) - 1 as pos, count(*) over (partition by conv_id) as n from f), c as (select conv_id, n, unnest(generate_series(0, cast(greatest(ceil((n - 50) / 40), 0) as bigint))) as chunk from (select distinct conv_id, n from p))
+select c.conv_id, cast(chunk as int) as chunk, min(turn) as first_turn, cast(count(*) as int) as n_words, sha256(string_agg(word, ' ' order by pos)) as digest from c join p on p.conv_id = c.conv_id and pos >= chunk * 40 and pos < chunk * 40 + 50 group by 1, 2""")
+def word_windows(t, spark):
+    """A table function over a partitioned table: windows of words that run on from one turn to the next."""
+    tables.register(spark)
+    found = spark.sql("select * from word_windows(table({t}), size => 50, overlap => 10)", t=t("conversations").select("conv_id", "turn", "text"))
+    return found.select("conv_id", "chunk", "first_turn", "n_words", F.sha2("words", 256).alias("digest"))

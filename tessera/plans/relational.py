@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
-from tessera.operators import joins
+from tessera.operators import calendars, joins
 from tessera.registry import query
 
 DAY = "cast(o_orderdate as date)"
@@ -158,6 +158,20 @@ def as_of_forward(t, spark):
     return joins.as_of(clicks, errors, ["user_id"], "ts", "ts", ["error_id"], forward=True, bucket=lambda at: F.to_date(at)).select("event_id", "error_id")
 
 
+#: Times of day at which reports are due, on business days and on others.
+DUE, DUE_OFF = ["08:00:00", "12:00:00", "16:00:00"], ["10:00:00", "14:00:00"]
+HOLIDAY = "(strftime(d, '%m-%d') in ('01-01', '07-04', '11-11', '12-25', '12-26') or (month(d) in (1, 2) and isodow(d) = 1 and ceil(day(d) / 7) = 3) or (month(d) = 5 and isodow(d) = 1 and day(d) > 24) or (month(d) = 9 and isodow(d) = 1 and day(d) <= 7) or (month(d) = 11 and isodow(d) = 4 and ceil(day(d) / 7) = 4) or (month(d) = 11 and isodow(d) = 5 and ceil((day(d) - 1) / 7) = 4))"
+
+
+@query("E19_reporting_slots", f"""with c as (select cast(d as date) as d from generate_series(timestamp '2023-12-31', timestamp '2024-12-31', interval 1 day) t(d)), b as (select d, isodow(d) >= 6 or {HOLIDAY} as off from c),
+s as (select d, d + cast(x as time) as slot from b, unnest(case when off then ['10:00:00', '14:00:00'] else ['08:00:00', '12:00:00', '16:00:00'] end) u(x))
+select event_id, min(slot) as due from events join s on slot > ts and slot <= ts + interval 2 day group by 1""")
+def reporting_slots(t, spark):
+    """When an event must be reported: at the next slot of its day, business days and days off having their own, else at the first of the next day."""
+    days = calendars.calendar(spark, "2023-12-31", "2024-12-31", DUE, DUE_OFF)
+    return calendars.next_slot(t("events").select("event_id", "ts"), "ts", days).select("event_id", F.col("next_slot").cast("timestamp_ntz").alias("due"))
+
+
 @query("C12_prefix_exists", "select p_partkey from part where exists (select 1 from supplier where s_nationkey = 5 and starts_with(p_brand, concat('Brand#', cast(s_suppkey % 10 as varchar))))")
 def prefix_exists(t, spark):
     keys = t("supplier").where("s_nationkey = 5").select(F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 10).cast("string")).alias("k")).distinct()
