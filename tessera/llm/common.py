@@ -22,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of a row group of tables between stages.
+ROW_GROUP = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset and all run in one process, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+
+    Row groups are small, as writers and readers of long binary values hold them whole.
+    """
     path = f"{shared_dir(df.sparkSession)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     made = _made.get()
