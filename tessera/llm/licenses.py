@@ -1,21 +1,26 @@
 """License scans by conditional compression.
 
-Within REACH of a license cue, whatever the line breaks, each template is held
-against the places that share pairs of words with it. What a template is alike
-enough to is compressed once plainly and once with the template as a zstandard
-raw-content dictionary, and is confirmed if that saves enough bytes. All
-confirmed notices that don't overlap are returned, with their exact wording
-differences: the words of the template that the notice lacks and the words that
-it has in their place.
-
-Cases: null and empty texts have no notices; texts are read whole; repeated rows each have their result; an empty table
-gives an empty result; only ``doc_id`` and ``text`` are read.
+Blocks of words are placed where a template shares pairs of words with what lies
+within REACH of a license cue, whatever the line breaks; places that overlap are
+one block. Every block is compressed once plainly and once with each template as
+a zstandard raw-content dictionary. All (block, template) are ranked by the bytes
+that the template saves. In that order a winner is confirmed by its wording: the
+longest runs of words that both have, in order. What a confirmed notice leaves
+of a block is ranked again, so all notices that don't overlap are returned, with
+their exact differences: the words of the template that the notice lacks and the
+words that it has in their place.
+
+Cases: null and empty texts have no notices; texts are read whole; of templates
+that save equally much the first by name goes first, and of equal places the
+earlier one; repeated rows each have their result; an empty table gives an empty
+result; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import difflib
 import functools
+import heapq
 import itertools
 import re
 from collections.abc import Iterator
@@ -30,8 +35,8 @@ from tessera.llm.common import texts_of
 CUE = r"(?i)licen[cs]e|copyright|warranty|redistribut|permission is hereby|spdx|all rights reserved|public domain|creative commons"
 #: Characters on either side of a cue, more than twice the longest template's.
 REACH = 1500
-#: The share of bytes a template must save, the share of words alike, and the share of a template's word pairs that make a place worth comparing.
-MIN_SAVED, MIN_ALIKE, MIN_PAIRS = 0.25, 0.8, 0.2
+#: The share of a notice's bytes a template must save, the share of words alike, the share of a template's word pairs that make a place worth comparing, and the bytes that a template must save of a block.
+MIN_SAVED, MIN_ALIKE, MIN_PAIRS, MIN_BYTES = 0.25, 0.8, 0.2, 6
 
 # Public license notices.
 TEMPLATES: dict[str, str] = {
@@ -56,9 +61,19 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work and dedicated it to the public domain under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MIT-warranty": "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
 }
 
+# Ids that a file's SPDX line may name.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+TEMPLATES |= {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+
 RESULT = "doc_id long, block int, start int, stop int, license_id string, plain_bytes int, template_bytes int, saved double, alike double, lacks string, adds string"
 
 
@@ -79,18 +94,34 @@ def pairs_of_templates() -> dict[tuple[str, str], list[tuple[str, int]]]:
     return found
 
 
+LEVEL = 9
+
+
 @functools.cache
 def compressors() -> dict[str, tuple]:
-    """For each template a compressor that has it as raw dictionary; "" has none."""
+    """For each template a compressor that has its words as raw dictionary, and the words; "" has none."""
     import zstandard as z
 
-    made = {"": (z.ZstdCompressor(level=9, write_content_size=False), [])}
+    made = {"": (z.ZstdCompressor(level=LEVEL, write_content_size=False), [])}
     for name, template in TEMPLATES.items():
-        raw = z.ZstdCompressionDict(template.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-        made[name] = (z.ZstdCompressor(level=9, dict_data=raw, write_content_size=False, write_dict_id=False), words_of(template))
+        words = words_of(template)
+        raw = z.ZstdCompressionDict(" ".join(words).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=LEVEL)
+        made[name] = (z.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False), words)
     return made
 
 
+def size(words: list[str], name: str = "") -> int:
+    """Bytes of these words, compressed with a template or plainly."""
+    return len(compressors()[name][0].compress(" ".join(words).encode()))
+
+
+def ranked(words: list[str]) -> list[tuple[int, str]]:
+    """(minus the bytes saved, template) of every template that saves enough of these words, the one that saves most first."""
+    plain = size(words)
+    return sorted((n - plain, name) for name in TEMPLATES if plain - (n := size(words, name)) >= MIN_BYTES)
+
+
 def regions(text: str, cue: re.Pattern) -> Iterator[tuple[int, int]]:
     """(start, stop) of what lies within REACH of cues, overlapping ones as one."""
     start = stop = -1
@@ -121,51 +152,85 @@ def best_match(theirs: list[str], mine: list[str]) -> tuple[float, list] | None:
     return (alike(match), match) if match else None
 
 
-def candidates(words: list[str]) -> Iterator[tuple[int, float, str, list, int]]:
-    """(words kept, likeness, template, matching runs, first word of the place) of whatever is alike enough."""
+def places(words: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """For each template the stretches (low, high) of words where it may be, with room on both sides."""
     offsets: dict[str, list[int]] = {}
     pairs = pairs_of_templates()
     for i, pair in enumerate(itertools.pairwise(words)):
         for name, at in pairs.get(pair, ()):
             offsets.setdefault(name, []).append(i - at)
+    out: dict[str, list[tuple[int, int]]] = {}
     for name, found in offsets.items():
-        theirs = compressors()[name][1]
-        slack, least = len(theirs) // 4 + 3, MIN_PAIRS * (len(theirs) - 1)
+        n = len(compressors()[name][1])
+        slack, least = n // 4 + 3, MIN_PAIRS * (n - 1)
         found.sort()
         cuts = [0, *[i for i in range(1, len(found)) if found[i] - found[i - 1] > slack], len(found)]
         for a, b in itertools.pairwise(cuts):
-            if b - a < least:
-                continue
-            todo = [(max(0, found[a] - slack), min(len(words), found[b - 1] + len(theirs) + slack))]
-            while todo:
-                low, high = todo.pop()
-                if high - low < len(theirs) // 2 or not (best := best_match(theirs, words[low:high])) or best[0] < MIN_ALIKE:
-                    continue
-                alike, match = best
-                yield sum(m.size for m in match), alike, name, match, low
-                todo += [(low, low + match[0].b), (low + match[-1].b + match[-1].size, high)]
+            if b - a >= least:
+                out.setdefault(name, []).append((max(0, found[a] - slack), min(len(words), found[b - 1] + n + slack)))
+    return out
+
+
+def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(stretches):
+        if out and low < out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def confirmed(name: str, words: list[str], low: int, high: int, own: list[tuple[int, int]]) -> tuple[float, list, int] | None:
+    """(likeness, matching runs, first word) of a template in a block, where its wording is alike enough and saves enough; own: the places found for it."""
+    theirs, best = compressors()[name][1], None
+    for a, b in [(max(a, low), min(b, high)) for a, b in own if a < high and b > low] or [(low, high)]:
+        if b - a < len(theirs) // 2 or not (found := best_match(theirs, words[a:b])) or found[0] < MIN_ALIKE:
+            continue
+        first, end = a + found[1][0].b, a + found[1][-1].b + found[1][-1].size
+        if 1 - size(words[first:end], name) / size(words[first:end]) >= MIN_SAVED and (not best or found[0] > best[0]):
+            best = (*found, a)
+    return best
 
 
 def notices(text: str) -> list[tuple]:
-    """(start, stop, license, plain size, size with it, share saved, likeness, words lacked, words added) of the notices of a region, those with the most words of a template first where some overlap."""
+    """(start, stop, license, plain size, size with it, share saved, likeness, words lacked, words added) of the notices of a region."""
     spots = [m.span() for m in WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in spots]
-    made, taken, out = compressors(), bytearray(len(words)), []
-    for _, alike, name, match, low in sorted(candidates(words), key=lambda c: (-c[0], -c[1], c[2], c[4])):
-        first, end = low + match[0].b, low + match[-1].b + match[-1].size
-        if any(taken[first:end]):
+    own = places(words)
+    queue: list[tuple[int, str, int, int]] = []
+    seen: set[tuple[int, int]] = set()
+    taken, out = bytearray(len(words)), []
+
+    def put(low: int, high: int) -> None:
+        if high > low and (low, high) not in seen:
+            seen.add((low, high))
+            for saved, name in ranked(words[low:high]):
+                heapq.heappush(queue, (saved, name, low, high))
+
+    for low, high in merged([p for found in own.values() for p in found]):
+        put(low, high)
+    while queue:
+        _, name, low, high = heapq.heappop(queue)
+        if any(taken[low:high]):  # what is left of it is ranked anew
+            edges = [low - 1, *(i for i in range(low, high) if taken[i]), high]
+            for a, b in itertools.pairwise(edges):
+                put(a + 1, b)
             continue
-        start, stop = spots[first][0], spots[end - 1][1]
-        data = text[start:stop].encode()
-        plain, size = len(made[""][0].compress(data)), len(made[name][0].compress(data))
-        if 1 - size / plain < MIN_SAVED:
+        if not (found := confirmed(name, words, low, high, own.get(name, []))):
             continue
+        alike, match, at = found
+        first, end = at + match[0].b, at + match[-1].b + match[-1].size
         taken[first:end] = b"\1" * (end - first)
+        plain, with_it = size(words[first:end]), size(words[first:end], name)
         held = {w for m in match for w in range(m.a, m.a + m.size)}
-        has = {low + i for m in match for i in range(m.b, m.b + m.size)}
-        lacks = " ".join(w for i, w in enumerate(made[name][1]) if i not in held)
+        has = {at + i for m in match for i in range(m.b, m.b + m.size)}
+        lacks = " ".join(w for i, w in enumerate(compressors()[name][1]) if i not in held)
         adds = " ".join(words[i] for i in range(first, end) if i not in has)
-        out.append((start, stop, name, plain, size, 1 - size / plain, alike, lacks, adds))
+        out.append((spots[first][0], spots[end - 1][1], name, plain, with_it, 1 - with_it / plain, alike, lacks, adds))
+        put(low, first)
+        put(end, high)
     return sorted(out)
 
 

@@ -257,3 +257,48 @@ def test_fingerprints_compare_at_any_size():
         left, right = sketches.fingerprints(sketches.sets_of([a, b]))
         assert sketches.likeness_of(left, right) == (1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1)
         assert sketches.likeness_of(left, left) == 1
+
+
+def test_licenses_are_ranked_by_what_they_save():
+    """Every template with words changed: of those whose wording fits, the one that saves most wins."""
+    rng, changed = random.Random(8), 0
+    for name, template in licenses.TEMPLATES.items():
+        for share in (0, 0.05, 0.1):
+            words = [w if rng.random() >= share else rng.choice(["zebra", "the", "quickly", "of"]) for w in licenses.words_of(template)]
+            plain = licenses.size(words)
+            order = sorted(licenses.TEMPLATES, key=lambda t: (licenses.size(words, t) - plain, t))
+            fits = [t for t in order if (m := licenses.best_match(licenses.words_of(licenses.TEMPLATES[t]), words)) and m[0] >= licenses.MIN_ALIKE and plain - licenses.size(words, t) >= licenses.MIN_BYTES]
+            got = licenses.notices(" ".join(words))
+            if not fits:
+                assert not got or len(words) < 12 or got[0][6] >= licenses.MIN_ALIKE
+                continue
+            best = max(got, key=lambda n: n[1] - n[0])
+            assert best[2] == fits[0], (name, share, best[2], fits[:3])
+            changed += share > 0
+    assert changed > 30
+
+
+def test_every_template_is_found_in_prose():
+    for name, template in licenses.TEMPLATES.items():
+        text = "some words before it, " * 20 + template + " and other words that follow, " * 20
+        found = [n for n in licenses.notices(text)]
+        assert [n[2] for n in found] == [name] and found[0][6] == 1 and not found[0][7] and not found[0][8]
+        assert licenses.words_of(text[found[0][0] : found[0][1]]) == licenses.words_of(template)
+
+
+def test_equal_savings_go_by_name(monkeypatch):
+    twins = {"b-twin": licenses.TEMPLATES["ISC"], "a-twin": licenses.TEMPLATES["ISC"]}
+    monkeypatch.setattr(licenses, "TEMPLATES", twins)
+    licenses.compressors.cache_clear()
+    licenses.pairs_of_templates.cache_clear()
+    try:
+        assert [n[2] for n in licenses.notices(twins["b-twin"] + " word " + twins["b-twin"])] == ["a-twin", "a-twin"]
+    finally:
+        licenses.compressors.cache_clear()
+        licenses.pairs_of_templates.cache_clear()
+
+
+def test_warranty_and_file_lines(spark):
+    text = "// SPDX-License-Identifier: Apache-2.0\n" + licenses.TEMPLATES["MIT"].upper() + "\n\n" + licenses.TEMPLATES["MIT-warranty"].upper().replace(" ", "\n")
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [r.license_id for r in got] == ["SPDX-Apache-2.0", "MIT", "MIT-warranty"]
