@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import grammar as G
 from tessera.functions import text as T
+from tessera.operators import clauses as C
 from tessera.operators import engine, joins, profiling, similar
 from tessera.registry import query
 
@@ -320,3 +321,97 @@ select doc_id, count(*) as n from x where g in (select g from s) group by 1 havi
 def leaks(t, spark):
     runs = lambda df, *k: df.select(*k, F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 6").select(*k, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
     return runs(t("documents"), "doc_id").join(runs(t("benchmark")).distinct(), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+#: Parts as clauses of documents of forty: numbered sections, rules, rows of registers, forms and definitions; what they say is one of thirteen wordings around the part's name.
+K, N = "p_partkey", "(p_partkey % 40)"
+UNIT_FIELDS = {
+    "doc_id": f"concat('RPL-CS-PRO-', cast({K} div 40 as string))",
+    "local_id": f"case when {N} < 25 then cast({N} + 1 as string) when {N} < 30 then concat('R', cast({N} as string), '.1') when {N} < 33 then concat('OBL-', lpad(cast({K} % 5000 as string), 4, '0'), '-', lpad(cast({N} as string), 4, '0')) when {N} < 36 then concat('RRS-AB-', lpad(cast({K} % 700 as string), 3, '0')) else concat('App-A.F', cast({N} as string)) end",
+    "unit_kind": f"case when {N} < 25 then 'section' when {N} < 30 then 'tariff_subrule' when {N} < 36 then 'register_row' else 'form_field' end",
+    "section_kind": "case p_size % 7 when 0 then 'definitions' when 1 then 'approval' when 2 then 'front_matter' else 'procedure' end",
+    "heading": f"case when {N} >= 36 then concat('Form CS-F-', lpad(cast({K} % 600 as string), 3, '0')) when p_size % 7 = 0 then concat('Defined ', p_type, 's') else 'What is done here' end",
+    "sheet_no": f"case when {N} between 25 and 29 then cast({K} % 300 as string) end",
+    "n_citations": "p_size % 3",
+    "cells": f"case when {N} between 30 and 35 then concat('Rule 2', cast({K} % 10 as string), '; CS-F-', lpad(cast({K} % 600 as string), 3, '0'), ', RPL-CS-PRO-', cast({K} div 80 as string), ' ;; ', p_name) end",
+    "text_raw": f"""case p_size % 13
+        when 0 then concat('For ', p_name, ' see RPL-CS-PRO-', cast({K} div 80 as string), ', which says more.')
+        when 1 then concat('As RPL-CS-PRO-', cast({K} div 80 as string), ':', cast({K} % 25 + 1 as string), ' says, ', p_name, ' stay.')
+        when 2 then concat('Under §', cast({K} % 30 + 1 as string), ' of this, ', p_name)
+        when 3 then concat(p_name, ' are on Sheet No. ', cast({K} % 320 as string))
+        when 4 then concat('Sheets Nos. ', cast({K} % 300 as string), '-', cast({K} % 300 + 3 as string), ' hold ', p_name)
+        when 5 then concat('Rule ', cast({K} % 8 + 24 as string), ' of the tariff: ', p_name)
+        when 6 then concat('File form CS-F-', lpad(cast({K} * 7 % 650 as string), 3, '0'), ' for ', p_name)
+        when 7 then concat('Keep ', p_name, ' by RRS-AB-', lpad(cast({K} * 3 % 700 as string), 3, '0'), '.')
+        when 8 then concat('OBL-', lpad(cast({K} * 3 % 5000 as string), 4, '0'), '-', lpad(cast({K} % 3 + 30 as string), 4, '0'), ' binds ', p_name)
+        when 9 then concat('Internal performance target: ', p_name)
+        when 10 then concat('Company position: ', p_name, ', RPL-XX-PRO-1 and Rules 9')
+        when 11 then concat('**', p_name, 's** means what §1 says')
+        else concat('"', p_name, '" is plain') end""",
+}
+
+
+def duck(expression: str) -> str:
+    return expression.replace(" div ", " // ").replace("as string)", "as varchar)")
+
+
+UNITS = f"""u0 as (select p_partkey as k, p_name, p_type, p_size, p_partkey % 40 as m, {", ".join(f"{duck(e)} as {n}" for n, e in UNIT_FIELDS.items())} from part), u as (select *, doc_id || ':' || local_id as clause_id from u0)"""
+#: What each wording refers to, in SQL by itself: (type, target) by the wording's number, and the parts of list cells.
+REFERRED = """r as (select clause_id, doc_id, unit_kind, k, 0 as n, 'references_doc' as t, 'RPL-CS-PRO-' || k // 80 as x from u where p_size % 13 in (0, 1)
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', 'RPL-CS-PRO-' || k // 80 || ':' || (k % 25 + 1) from u where p_size % 13 = 1
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', doc_id || ':' || (k % 30 + 1) from u where p_size % 13 = 2
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', doc_id || ':1' from u where p_size % 13 = 11
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_tariff', 'sheet:' || k % 320 from u where p_size % 13 = 3
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_tariff', 'sheet:' || k % 300 || '-' || (k % 300 + 3) from u where p_size % 13 = 4
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_tariff', 'rule:' || (k % 8 + 24) from u where p_size % 13 = 5
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_form', 'CS-F-' || lpad((k * 7 % 650)::varchar, 3, '0') from u where p_size % 13 = 6
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_record_series', 'RRS-AB-' || lpad((k * 3 % 700)::varchar, 3, '0') from u where p_size % 13 = 7
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_obligation', 'OBL-' || lpad((k * 3 % 5000)::varchar, 4, '0') || '-' || lpad((k % 3 + 30)::varchar, 4, '0') from u where p_size % 13 = 8
+union all select clause_id, doc_id, unit_kind, k, 2, 'references_tariff', 'rule:2' || k % 10 from u where m between 30 and 35
+union all select clause_id, doc_id, unit_kind, k, 3, 'references_form', 'CS-F-' || lpad((k % 600)::varchar, 3, '0') from u where m between 30 and 35
+union all select clause_id, doc_id, unit_kind, k, 4, 'references_doc', 'RPL-CS-PRO-' || k // 80 from u where m between 30 and 35
+union all select clause_id, doc_id, unit_kind, k, 5, 'references_doc', p_name from u where m between 30 and 35),
+refs as (select clause_id, doc_id, unit_kind, t as ref_type, x as target, min(n) as n from r group by all)"""
+
+
+def company_units(t):
+    df = t("part").select("p_partkey", *[F.expr(e).alias(n) for n, e in UNIT_FIELDS.items()])
+    cells = F.when(F.col("cells").isNotNull(), F.create_map(F.lit("reference_list"), F.col("cells"))).otherwise(F.lit(None).cast("map<string,string>"))
+    return df.select("doc_id", "local_id", F.concat_ws(":", "doc_id", "local_id").alias("clause_id"), F.col("p_partkey").alias("ordinal"), "unit_kind", "section_kind", F.array("heading").alias("heading_path"), "text_raw", cells.alias("row_cells"), "sheet_no", "n_citations")
+
+
+def company_references(t):
+    units = company_units(t)
+    registered = units.select("doc_id").distinct()
+    return units, registered, C.references(units, registered)
+
+
+@query("H16_found_references", f"with {UNITS}, {REFERRED} select clause_id, ref_type, target from refs")
+def found_references(t, spark):
+    """What clauses of thirteen wordings, and list cells of registers, refer to."""
+    return company_references(t)[2].select("clause_id", "ref_type", "target")
+
+
+@query("C30_resolved_references", f"""with {UNITS}, {REFERRED}, e as (select refs.*, case when target like 'sheet:%-%' then 'sheet:' || i else target end as asked from refs, unnest(case when target like 'sheet:%-%' then generate_series(cast(regexp_extract(target, '(\d+)-', 1) as int), cast(regexp_extract(target, '-(\d+)', 1) as int)) else [0] end) v(i)),
+x as (select 'references_doc' as t, doc_id as y, null as c, doc_id as d from (select distinct doc_id from u) union all select 'references_clause', clause_id, clause_id, null from u union all select 'references_tariff', 'sheet:' || sheet_no, clause_id, null from u where sheet_no is not null
+union all select 'references_tariff', 'rule:' || m, clause_id, null from u where m between 25 and 29 union all select 'references_form', f, arg_min(clause_id, (doc_id, k)), null from (select *, regexp_extract(case when m >= 36 then heading when p_size % 13 = 6 then text_raw end, 'CS-F-[0-9]+') as f from u where m >= 36 or p_size % 13 = 6) group by f
+union all select case when m < 33 then 'references_obligation' else 'references_record_series' end, local_id, arg_max(clause_id, (doc_id, k)), null from u where m between 30 and 35 group by 1, 2),
+h as (select e.*, c, d from e join x on t = ref_type and y = asked), b as (select clause_id, ref_type, target, c, d from h qualify row_number() over (partition by clause_id, ref_type, c order by n, asked, d) = 1)
+select clause_id, ref_type, target, c as to_clause_id, d as to_doc_id from b union all select clause_id, ref_type, target, null, null from refs where not exists (select 1 from h where h.clause_id = refs.clause_id and h.ref_type = refs.ref_type and h.target = refs.target)""")
+def resolved_references(t, spark):
+    """References of all seven kinds with the clauses or documents that they mean; the others with none."""
+    units, registered, refs = company_references(t)
+    return C.resolved(refs, C.targets(units, registered)).select("clause_id", "ref_type", "target", "to_clause_id", "to_doc_id")
+
+
+@query("H17_ordered_roles", f"""with {UNITS} select clause_id, role, case when section_kind in ('approval') then false when role = 'boilerplate' then false else true end as assessable from (select *, case when p_size % 13 = 9 then 'internal_target' when p_size % 13 = 10 then 'company_position' when m >= 36 then 'template_field' when section_kind = 'definitions' or p_size % 13 = 11 then 'definition' when section_kind in ('approval', 'front_matter') then 'boilerplate' when m between 30 and 35 then case when n_citations > 0 then 'regulatory_restatement' else 'internal_procedure' end end as role from u)""")
+def ordered_roles(t, spark):
+    """The first of seven rules that holds for a clause."""
+    return C.role(company_units(t)).select("clause_id", "role", "assessable")
+
+
+@query("H19_terms", f"""with {UNITS}, d as (select *, case when p_size % 13 = 11 then p_name || 's' when p_size % 13 = 12 then p_name when section_kind = 'definitions' and (m >= 36 or p_size % 7 = 0) then heading end as term from u where section_kind = 'definitions' or (p_size % 13 = 11 and m < 36))
+select clause_id as definition_clause_id, term, case when term like '%ss' or not term like '%s' then lower(term) else lower(term[:-2]) end as term_norm, n_citations > 0 as cites_regulatory_definition from d where term is not null""")
+def found_terms(t, spark):
+    """Terms that clauses define: bold, quoted, or by the heading alone."""
+    return C.terms(C.role(company_units(t))).select("definition_clause_id", "term", "term_norm", "cites_regulatory_definition")
