@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from tessera.functions.values import ONES
+from tessera.functions.values import TENS as TEN_WORDS
+
 CITATION = StructType([StructField(n, k) for n, k in (("kind", StringType()), ("rule_key", StringType()), ("citation", StringType()), ("subsection", StringType()), ("start", IntegerType()), ("stop", IntegerType()))])
 PARAMETER = StructType([StructField(n, k) for n, k in (("kind", StringType()), ("value_text", StringType()), ("value_num", DoubleType()), ("unit", StringType()), ("day_type", StringType()), ("start", IntegerType()), ("stop", IntegerType()))])
 SPAN = StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])
 SPANS = ArrayType(SPAN)
 
 # How citations and quantities are written.
-NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
-UNITS = "second minute hour day week month quarter year percent foot feet inch mile meter pound gallon volt kilovolt kv kw kwh mw mwh".split()
+NUMBERS = {w: i for i, w in enumerate(ONES)}
+TENS = {w: 10 * (i + 2) for i, w in enumerate(TEN_WORDS)}
+UNITS = ["second", "minute", "hour", "day", "week", "month", "quarter", "year", "percent", "foot", "feet", "inch", "mile", "meter", "pound", "gallon", "volt", "kilovolt", "kv", "kw", "kwh", "mw", "mwh"]
 NUMBER = r"(?:\d[\d,]*(?:\.\d+)?|" + "|".join([*TENS, *NUMBERS]) + r")(?:-(?:" + "|".join(list(NUMBERS)[1:10]) + r"))?"
 FORMS = (
     ("cfr", re.compile(r"(\d+)\s+C\.?F\.?R\.?\s+(?:[Pp]arts?\s+|§+\s*)?(\d+)(?:\.(\d+)(?:\s*(?:through|to|-)\s*(?:\d+\.)?(\d+))?)?")),
@@ -26,7 +31,58 @@ FORMS = (
     ("standard", re.compile(r"\b(NERC|IEEE|ANSI|NESC|ASTM|NFPA|IEC|ISO)\s+([A-Z]{0,4}-?\d[\w.\-]*)")),
 )
 #: The states by name.
-STATES = dict(p.rsplit(" ", 1) for p in "Alabama AL,Alaska AK,Arizona AZ,Arkansas AR,California CA,Colorado CO,Connecticut CT,Delaware DE,Florida FL,Georgia GA,Hawaii HI,Idaho ID,Illinois IL,Indiana IN,Iowa IA,Kansas KS,Kentucky KY,Louisiana LA,Maine ME,Maryland MD,Massachusetts MA,Michigan MI,Minnesota MN,Mississippi MS,Missouri MO,Montana MT,Nebraska NE,Nevada NV,New Hampshire NH,New Jersey NJ,New Mexico NM,New York NY,North Carolina NC,North Dakota ND,Ohio OH,Oklahoma OK,Oregon OR,Pennsylvania PA,Rhode Island RI,South Carolina SC,South Dakota SD,Tennessee TN,Texas TX,Utah UT,Vermont VT,Virginia VA,Washington WA,West Virginia WV,Wisconsin WI,Wyoming WY".split(","))
+STATES = {
+    "Alabama": "AL",
+    "Alaska": "AK",
+    "Arizona": "AZ",
+    "Arkansas": "AR",
+    "California": "CA",
+    "Colorado": "CO",
+    "Connecticut": "CT",
+    "Delaware": "DE",
+    "Florida": "FL",
+    "Georgia": "GA",
+    "Hawaii": "HI",
+    "Idaho": "ID",
+    "Illinois": "IL",
+    "Indiana": "IN",
+    "Iowa": "IA",
+    "Kansas": "KS",
+    "Kentucky": "KY",
+    "Louisiana": "LA",
+    "Maine": "ME",
+    "Maryland": "MD",
+    "Massachusetts": "MA",
+    "Michigan": "MI",
+    "Minnesota": "MN",
+    "Mississippi": "MS",
+    "Missouri": "MO",
+    "Montana": "MT",
+    "Nebraska": "NE",
+    "Nevada": "NV",
+    "New Hampshire": "NH",
+    "New Jersey": "NJ",
+    "New Mexico": "NM",
+    "New York": "NY",
+    "North Carolina": "NC",
+    "North Dakota": "ND",
+    "Ohio": "OH",
+    "Oklahoma": "OK",
+    "Oregon": "OR",
+    "Pennsylvania": "PA",
+    "Rhode Island": "RI",
+    "South Carolina": "SC",
+    "South Dakota": "SD",
+    "Tennessee": "TN",
+    "Texas": "TX",
+    "Utah": "UT",
+    "Vermont": "VT",
+    "Virginia": "VA",
+    "Washington": "WA",
+    "West Virginia": "WV",
+    "Wisconsin": "WI",
+    "Wyoming": "WY",
+}
 #: A range of more sections than this is taken for two citations, its ends.
 RANGE = 1000
 
@@ -80,11 +136,40 @@ QUANTITY = re.compile(rf"(?i)(?P<dollar>\$\s?)?\b(?P<n>{NUMBER})\b(?:\s*\((?:\d+
 OFTEN = re.compile(r"(?i)\b(annually|annual|monthly|quarterly|weekly|daily|semiannually|biennially)\b")
 
 
+#: Without any of these a text has no parameter.
+MAYBE = re.compile(rf"(?i)\d|\b(?:{'|'.join([*TENS, *NUMBERS])})|\b(?:annual|month|quarter|week|daily|semiannual|biennial)")
+
+
+class Spans:
+    """Stretches of a text that are taken; overlapping ones are one, so that a place is looked up and not searched for."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for a, z in sorted(spans):
+            if self.stops and a < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], z)
+            else:
+                self.starts.append(a)
+                self.stops.append(z)
+
+    def free(self, a: int, z: int) -> bool:
+        i = bisect_left(self.starts, z)
+        return i == 0 or self.stops[i - 1] <= a
+
+    def add(self, a: int, z: int) -> None:
+        """One that is free."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.stops.insert(i, z)
+
+
 def find_parameters(text: str) -> list[dict]:
     """Quantities that aren't part of a citation: amounts, percentages, periods, frequencies, thresholds and bare numbers."""
-    taken = [(c["start"], c["stop"]) for c in find_citations(text)] + [m.span() for m in NAMED.finditer(text)]
-    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
-    out = []
+    if not text or not MAYBE.search(text):
+        return []
+    taken = Spans([(c["start"], c["stop"]) for c in find_citations(text)] + [m.span() for m in NAMED.finditer(text)])
+    free, out = taken.free, []
     for m in QUANTITY.finditer(text):
         value = number_of(m["n"])
         if value is None or not free(m.start(), m.end()):
@@ -94,7 +179,7 @@ def find_parameters(text: str) -> list[dict]:
         kind = "amount" if m["dollar"] else "percentage" if m["pct"] or unit == "percent" else "period" if unit in UNITS[:8] else "threshold" if unit else "number"
         unit = "dollar" if m["dollar"] else "percent" if m["pct"] else unit
         out.append({"kind": kind, "value_text": m.group(0).strip(), "value_num": value, "unit": unit, "day_type": day, "start": m.start(), "stop": m.end()})
-        taken.append((m.start(), m.end()))
+        taken.add(m.start(), m.end())
     for m in OFTEN.finditer(text):
         if free(m.start(), m.end()):
             out.append({"kind": "frequency", "value_text": m.group(0), "value_num": None, "unit": m.group(0).lower(), "day_type": None, "start": m.start(), "stop": m.end()})
@@ -126,14 +211,19 @@ def locate(text: str, quote: str, least: int = 8) -> tuple[int, int] | None:
     return None if i < 0 else (at[i], at[i + len(q) - 1] + 1)
 
 
-@F.pandas_udf(ArrayType(CITATION))
-def citations(text: pd.Series) -> pd.Series:
-    return pd.Series([find_citations(t or "") for t in text])
+def arrow_type(struct: StructType) -> pa.DataType:
+    kinds = {StringType(): pa.string(), IntegerType(): pa.int32(), DoubleType(): pa.float64()}
+    return pa.list_(pa.struct([(f.name, kinds[f.dataType]) for f in struct.fields]))
+
+
+@F.arrow_udf(ArrayType(CITATION))
+def citations(text: pa.Array) -> pa.Array:
+    return pa.array([find_citations(t) if t else [] for t in text.to_pylist()], arrow_type(CITATION))
 
 
-@F.pandas_udf(ArrayType(PARAMETER))
-def parameters(text: pd.Series) -> pd.Series:
-    return pd.Series([find_parameters(t or "") for t in text])
+@F.arrow_udf(ArrayType(PARAMETER))
+def parameters(text: pa.Array) -> pa.Array:
+    return pa.array([find_parameters(t) if t else [] for t in text.to_pylist()], arrow_type(PARAMETER))
 
 
 @F.pandas_udf(SPAN)

@@ -93,3 +93,27 @@ def match_in_order(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     side = lambda df, name: df.withColumn("_n", nth).select(*keys, "_n", F.struct(*[c for c in df.columns if c not in keys]).alias(name))
     return side(a, "a").join(side(b, "b"), [*keys, "_n"]).drop("_n")
+
+
+def tree(ids: DataFrame, key: str) -> DataFrame:
+    """(key, parent_id, depth) of dotted ids: the longest prefix that is an id too, and how many prefixes are."""
+    parts = F.split(key, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    asked = ids.select(key, F.explode_outer(F.when(F.size(parts) > 1, above)).alias("above"))
+    there = ids.select(F.col(key).alias("above"), F.lit(1).alias("there")).distinct()
+    found = asked.join(there, "above", "left").where("there is not null or above is null or true")
+    hit = F.when(F.col("there").isNotNull(), F.col("above"))
+    return found.groupBy(key).agg(F.max_by(hit, F.when(F.col("there").isNotNull(), F.length("above"))).alias("parent_id"), F.count("there").alias("depth"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """df with each row's place in a whole order, from 1: rows are dealt to partitions by ranges of the order, counted there, and each partition starts behind those before it. Only one count a partition meets in one task."""
+    from tessera.operators.stages import kept
+
+    parts = df.sparkSession.sparkContext.defaultParallelism if df.sparkSession.conf.get("spark.sql.shuffle.partitions", None) is None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_k"))
+    ahead = F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_own") + F.col("_ahead")).drop("_part", "_own", "_ahead")

@@ -70,8 +70,8 @@ def refuse(sql: str) -> str | None:
     return next((f"contains {w}" for w in BANNED if re.search(rf"(?i)\b{w}\b", bare)), None)
 
 
-def run_check(spark: SparkSession, sql: str, args: dict | None = None, sample: int = SAMPLE, timeout_s: float = 30.0) -> dict:
-    """Count and sample the violations that a SELECT finds; parameters are bound, never spliced in."""
+def run_check(spark: SparkSession, sql: str, args: dict | None = None, sample: int = SAMPLE, timeout_s: float = 30.0, **tables: DataFrame) -> dict:
+    """Count and sample the violations that a SELECT finds; parameters are bound, never spliced in. tables: what the SQL names in braces, so that runs of one session don't share views."""
     import threading
 
     if why := refuse(sql):
@@ -81,7 +81,7 @@ def run_check(spark: SparkSession, sql: str, args: dict | None = None, sample: i
     spark.addTag(tag)
     timer.start()
     try:
-        found = spark.sql(sql, args=args or {})
+        found = spark.sql(sql, args=args or {}, **tables)
         n, rows = found.count(), [r.asDict() for r in found.limit(sample).collect()]
         return {"status": "violations" if n else "ok", "reason": None, "n": n, "sample": rows, "seconds": time.time() - began}
     except Exception as e:  # a broken check is a result, not the end of the run

@@ -280,17 +280,15 @@ def half_even(t, spark):
 @query("L1_parameterised_check", "select count(*) as n_violations from lineitem where l_quantity > 45 and l_discount >= 0.05")
 def parameterised_check(t, spark):
     """A check's SQL with bound parameters."""
-    t("lineitem").createOrReplaceTempView("_checked")
-    why = profiling.refuse(sql := "select count(*) as n_violations from _checked where l_quantity > :most and l_discount >= :least")
+    why = profiling.refuse(sql := "select count(*) as n_violations from {checked} where l_quantity > :most and l_discount >= :least")
     if why:
         raise ValueError(why)
-    return spark.sql(sql, args={"most": 45, "least": 0.05})
+    return spark.sql(sql, args={"most": 45, "least": 0.05}, checked=t("lineitem"))
 
 
 @query("L3_check_run", "select 'violations' as status, count(*) as n from lineitem where l_quantity > 49")
 def check_run(t, spark):
-    t("lineitem").createOrReplaceTempView("_checked")
-    found = profiling.run_check(spark, "select * from _checked where l_quantity > :most", {"most": 49})
+    found = profiling.run_check(spark, "select * from {checked} where l_quantity > :most", {"most": 49}, checked=t("lineitem"))
     return spark.createDataFrame([(found["status"], found["n"])], "status string, n long")
 
 

@@ -201,16 +201,20 @@ def hashed_embedding(t, spark):
     return v.select("doc_id", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("embedding"))
 
 
-@query("N1_neighbours", "with e as (select distinct l_suppkey a, l_partkey % 20 + 1000 b from lineitem) select a as node, b as other from e where a = 5 union select b, a from e where a = 5")
+@query("N1_neighbours", "with e as (select distinct l_suppkey a, l_partkey % 20 + 1000 b from lineitem) select a as node, b as other from e where a <> b union select b, a from e where a <> b")
 def neighbours(t, spark):
-    e = t("lineitem").where("l_suppkey = 5").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 20 + 1000).alias("b"))
+    """Every node's neighbours, in both directions."""
+    e = t("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 20 + 1000).alias("b"))
     return joins.neighbours(e, "a", "b")
 
 
-@query("N2_typed_neighbours", "select l_returnflag as type, count(distinct l_suppkey) as n from lineitem join (select distinct l_orderkey k from lineitem where l_suppkey = 5) on l_orderkey = k where l_suppkey <> 5 group by 1")
+@query("N2_typed_neighbours", "select a.l_suppkey as node, b.l_returnflag as type, count(distinct b.l_suppkey) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey group by 1, 2")
 def typed_neighbours(t, spark):
-    l = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
-    return l.where("l_suppkey <> 5").join(l.where("l_suppkey = 5").select("l_orderkey").distinct(), "l_orderkey", "left_semi").groupBy(F.col("l_returnflag").alias("type")).agg(F.countDistinct("l_suppkey").alias("n"))
+    """How many others share an order with each supplier, by the type of their line."""
+    l = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct()
+    own = l.select("l_orderkey", F.col("l_suppkey").alias("node")).distinct()
+    pairs = own.join(l, "l_orderkey").where("node <> l_suppkey").select("node", F.col("l_returnflag").alias("type"), "l_suppkey").distinct()
+    return pairs.groupBy("node", "type").agg(F.count("*").alias("n"))
 
 
 @query("L10_cache_misses", "select count(distinct o_orderpriority || o_orderstatus) as n_prompts, count(distinct case when o_orderstatus = 'F' then null else o_orderpriority || o_orderstatus end) as n_misses from orders")
@@ -238,8 +242,7 @@ def fallback(t, spark):
 
 @query("A28_named_view", "select count(*) as n from orders")
 def named_view(t, spark):
-    t("orders").createOrReplaceTempView("_named")
-    return spark.sql("select count(*) as n from _named")
+    return spark.sql("select count(*) as n from {orders}", orders=t("orders"))
 
 
 @query("A25_chunk_points", """with w as (select doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) as n from documents) select doc_id * 1000 + i as point_id from (select doc_id, unnest(generate_series(0, cast(greatest(ceil((n - 500) / 450), 0) as bigint))) as i from w where n > 0)""")
@@ -319,7 +322,12 @@ def within_tolerance(t, spark):
 @query("O9_leaks", """with g as (select item_id, string_split(lower(text), ' ') w from benchmark), s as (select distinct array_to_string(w[i:i + 5], ' ') as g from (select w, unnest(generate_series(1, len(w) - 5)) i from g where len(w) >= 6)), d as (select doc_id, string_split(lower(text), ' ') w from documents), x as (select distinct doc_id, array_to_string(w[i:i + 5], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 5)) i from d where len(w) >= 6))
 select doc_id, count(*) as n from x where g in (select g from s) group by 1 having count(*) >= 3""")
 def leaks(t, spark):
-    runs = lambda df, *k: df.select(*k, F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 6").select(*k, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
+    """Documents that share three or more six-word runs with the benchmark, by their hashes."""
+
+    def runs(df, *key):
+        w = df.select(*key, F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 6")
+        return w.select(*key, F.explode(T.shingles(F.col("w"), 6, hashed=True)).alias("g"))
+
     return runs(t("documents"), "doc_id").join(runs(t("benchmark")).distinct(), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 3")
 
 
@@ -392,7 +400,7 @@ def found_references(t, spark):
     return company_references(t)[2].select("clause_id", "ref_type", "target")
 
 
-@query("C30_resolved_references", f"""with {UNITS}, {REFERRED}, e as (select refs.*, case when target like 'sheet:%-%' then 'sheet:' || i else target end as asked from refs, unnest(case when target like 'sheet:%-%' then generate_series(cast(regexp_extract(target, '(\d+)-', 1) as int), cast(regexp_extract(target, '-(\d+)', 1) as int)) else [0] end) v(i)),
+@query("C30_resolved_references", rf"""with {UNITS}, {REFERRED}, e as (select refs.*, case when target like 'sheet:%-%' then 'sheet:' || i else target end as asked from refs, unnest(case when target like 'sheet:%-%' then generate_series(cast(regexp_extract(target, '(\d+)-', 1) as int), cast(regexp_extract(target, '-(\d+)', 1) as int)) else [0] end) v(i)),
 x as (select 'references_doc' as t, doc_id as y, null as c, doc_id as d from (select distinct doc_id from u) union all select 'references_clause', clause_id, clause_id, null from u union all select 'references_tariff', 'sheet:' || sheet_no, clause_id, null from u where sheet_no is not null
 union all select 'references_tariff', 'rule:' || m, clause_id, null from u where m between 25 and 29 union all select 'references_form', f, arg_min(clause_id, (doc_id, k)), null from (select *, regexp_extract(case when m >= 36 then heading when p_size % 13 = 6 then text_raw end, 'CS-F-[0-9]+') as f from u where m >= 36 or p_size % 13 = 6) group by f
 union all select case when m < 33 then 'references_obligation' else 'references_record_series' end, local_id, arg_max(clause_id, (doc_id, k)), null from u where m between 30 and 35 group by 1, 2),

@@ -10,6 +10,7 @@ from tessera.functions import grammar as G
 from tessera.functions import text as T
 from tessera.functions import values as V
 from tessera.operators import engine, joins, profiling, scoring
+from tessera.operators.stages import spread
 from tessera.registry import query
 
 #: Numbers of each order that its texts name, for Spark and the oracle.
@@ -57,7 +58,7 @@ def citation_spans(t, spark):
 @query("H11_parameters", f"select k, 'period' as kind, cast(s as double) as value_num, 'day' as unit, 'business' as day_type from {O} union all select k, 'amount', cast(a as double), 'dollar', null from {O} union all select k, 'percentage', cast(d as double), 'percent', null from {O} union all select k, 'frequency', null, 'annually', null from {O}")
 def parameters(t, spark):
     df = written(t, "File within %d business days under %d IAC %d-%d-%d, or pay $%d or %d%% of dues, reported annually.", "s", "a", "b", "c", "d", "a", "d")
-    return df.select("k", F.explode(G.parameters("text")).alias("p")).select("k", "p.kind", "p.value_num", "p.unit", "p.day_type")
+    return spread(df.select("k", "text")).select("k", F.explode(G.parameters("text")).alias("p")).select("k", "p.kind", "p.value_num", "p.unit", "p.day_type")
 
 
 @query("H11_excluded_numbers", f"select k, cast(d * 1000 as double) as value_num from {O}")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import calendars, joins
+from tessera.operators.stages import kept
 from tessera.registry import query
 
 DAY = "cast(o_orderdate as date)"
@@ -204,11 +205,11 @@ def action_chains(t, spark):
 
 
 @query("C19_role_playing_star", """select l.l_orderkey, l.l_linenumber, cn.n_name as customer_nation, sn.n_name as supplier_nation from lineitem l join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
-join supplier on s_suppkey = l_suppkey join nation cn on cn.n_nationkey = c_nationkey join nation sn on sn.n_nationkey = s_nationkey where l_shipdate >= timestamp '2001-06-01'""")
+join supplier on s_suppkey = l_suppkey join nation cn on cn.n_nationkey = c_nationkey join nation sn on sn.n_nationkey = s_nationkey""")
 def role_playing_star(t, spark):
     n = t("nation").select("n_nationkey", "n_name")
     cn, sn = (F.broadcast(n.select(F.col("n_nationkey").alias(f"{p}_nationkey"), F.col("n_name").alias(name))) for p, name in (("c", "customer_nation"), ("s", "supplier_nation")))
-    l = t("lineitem").where("l_shipdate >= timestamp_ntz'2001-06-01'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    l = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     s = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(sn, "s_nationkey")
     c = t("customer").select("c_custkey", "c_nationkey").join(cn, "c_nationkey")
@@ -507,11 +508,19 @@ def mark_stale(t, spark):
 union all select n.n_nationkey, t.path || '/' || lpad(cast(n.n_nationkey as varchar), 4, '0'), t.depth + 1 from nation n join t on n.n_nationkey // 2 = t.id and n.n_nationkey > 1) select id, path, depth from t""")
 def depth_first_tree(t, spark):
     """A tree by parent = key / 2, each node with its path, which sorts depth first."""
-    t("nation").createOrReplaceTempView("_tree_nodes")
-    return spark.sql("""with recursive t(id, path, depth) as (select n_nationkey, lpad(cast(n_nationkey as string), 4, '0'), 0 from _tree_nodes where n_nationkey = 1
-        union all select n.n_nationkey, concat(t.path, '/', lpad(cast(n.n_nationkey as string), 4, '0')), t.depth + 1 from _tree_nodes n join t on n.n_nationkey div 2 = t.id where n.n_nationkey > 1) select id, path, depth from t""")
+    return spark.sql("""with recursive t(id, path, depth) as (select n_nationkey, lpad(cast(n_nationkey as string), 4, '0'), 0 from {nodes} where n_nationkey = 1
+        union all select n.n_nationkey, concat(t.path, '/', lpad(cast(n.n_nationkey as string), 4, '0')), t.depth + 1 from {nodes} n join t on n.n_nationkey div 2 = t.id where n.n_nationkey > 1) select id, path, depth from t""", nodes=t("nation"))
 
 
 @query("N4_parent_depth", "select n_nationkey as id, floor(log2(n_nationkey)) as depth from nation where n_nationkey >= 1")
 def parent_depth(t, spark):
     return t("nation").where("n_nationkey >= 1").select(F.col("n_nationkey").alias("id"), F.floor(F.log2("n_nationkey")).cast("double").alias("depth"))
+
+
+@query("N4_clause_tree", """with i as (select p_partkey as k, array_to_string(string_split(cast(p_partkey as varchar), ''), '.') as id from part)
+select c.id, max(p.id) as parent_id, count(p.id) as depth from i c left join i p on starts_with(c.id, p.id || '.') group by 1""")
+def clause_tree(t, spark):
+    """Numbered clauses ("1.2.7") under the nearest one that is there, with their depth; a parent is looked up among a clause's own prefixes."""
+    digits = F.filter(F.split(F.col("p_partkey").cast("string"), ""), lambda d: d != "")
+    ids = kept(t("part").select(F.array_join(digits, ".").alias("id")))
+    return joins.tree(ids, "id")

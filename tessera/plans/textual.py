@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
-from tessera.operators import retrieval, similar
+from tessera.operators import joins, retrieval, similar
 from tessera.operators.stages import kept
 from tessera.registry import query
 
@@ -149,12 +149,9 @@ def payload(t, spark):
 
 @query("F4_natural_sort", "select c_custkey, row_number() over (order by lpad(cast(c_nationkey as varchar), 12, '0'), c_custkey) as n from customer")
 def natural_sort(t, spark):
-    """Places in a numeric-aware order: each row's place among those of its key, after all rows of smaller keys (one row a key is in the last window)."""
+    """Places in a numeric-aware order, numbered by ranges."""
     c = t("customer").select("c_custkey", T.natural_key(F.col("c_nationkey").cast("string")).alias("key"))
-    ahead = F.sum("k").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = c.groupBy("key").agg(F.count("*").alias("k")).select("key", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    own = c.withColumn("own", F.row_number().over(Window.partitionBy("key").orderBy("c_custkey")))
-    return own.join(offsets, "key").select("c_custkey", (F.col("own") + F.col("ahead")).alias("n"))
+    return joins.numbered(c, [F.col("key"), F.col("c_custkey")]).select("c_custkey", "n")
 
 
 @query("A7_continuation_lines", """with l as (select doc_id, i, lines[i] as line from (select doc_id, string_split(text, chr(10)) as lines, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents)),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import latest_per_key, upsert
+from tessera.operators.stages import kept
 
 RECORD = "source_system string, citation string, snapshot_date date, body string, status string"
 STATUSES = ("approved", "proposed", "repealed", "withdrawn")
@@ -37,8 +38,10 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> di
     def put(batch: DataFrame, n: int) -> None:
         good, bad = validated(batch)
         good = latest_per_key(good, ["source_system", "citation"], [F.desc("snapshot_date"), F.desc("body")])
-        stored = read_store(batch.sparkSession, store, schema).where(F.col("version") < n)
-        found = changed(good, stored)
+        good = kept(good)
+        keys = good.select("source_system", "citation").distinct()
+        stored = read_store(batch.sparkSession, store, schema).where(F.col("version") < n).join(keys, ["source_system", "citation"], "left_semi")
+        found = kept(changed(good, stored))
         found.where("state <> 'unchanged'").write.mode("overwrite").parquet(f"{store}/version={n}")
         bad.write.mode("overwrite").parquet(f"{store}_rejected/version={n}")
         for r in found.groupBy("state").count().collect():
