@@ -13,6 +13,8 @@ however large the table) and answers with quotas; rows find their place by
 their rank within their arc. An arc holds about 1/(shards x vnodes) of all rows
 whatever the texts are; a doc_id that is repeated without end would make its
 arc as long, so the checksum of the text is part of the place where ``salted``.
+Only wholly equal rows (one doc_id and one text) share a place, and so are ranked
+by one task.
 
 Cases: null texts count as empty; equal rows are separate rows, each with a
 slot of its own; an empty table gives an empty result; a null doc_id is hashed
