@@ -184,6 +184,24 @@ def finalize(judged: DataFrame) -> DataFrame:
     return df.withColumn("verdict", verdict_of(F.col("finding_type"), F.col("direction"), F.col("needs_review"))).withColumn("severity", severity_of(F.col("finding_type"), F.col("severity")))
 
 
+def with_evidence(findings: DataFrame, clause_texts: DataFrame, section_texts: DataFrame) -> DataFrame:
+    """findings with quotes_verified: what a rule says the clause has stands in the clause's text, and what it says the law has stands in the section's; of repeals and renumberings only the first is a quote.
+
+    clause_texts: clause_pk, text; section_texts: change_id, text (after the change).
+    """
+    df = findings.join(clause_texts.select("clause_pk", F.col("text").alias("_clause")), "clause_pk", "left").join(section_texts.select("change_id", F.col("text").alias("_section")), "change_id", "left")
+    stands = lambda text, part: F.coalesce(F.contains(T.squeeze(F.lower(text)), T.squeeze(F.lower(part))), F.lit(False))
+    law = (F.col("finding_type") == "stale_citation") | stands(F.col("_section"), F.col("to_text"))
+    return df.withColumn("quotes_verified", stands(F.col("_clause"), F.col("from_text")) & law).drop("_clause", "_section")
+
+
+def downgrade(findings: DataFrame) -> DataFrame:
+    """Findings of rules whose evidence isn't verified are informational and go to review."""
+    weak = ~F.coalesce(F.col("quotes_verified"), F.lit(False))
+    df = findings.withColumn("needs_review", weak).withColumn("finding_type", F.when(weak, "informational").otherwise(F.col("finding_type")))
+    return df.withColumn("verdict", verdict_of(F.col("finding_type"), F.col("direction"), F.col("needs_review"))).withColumn("severity", severity_of(F.col("finding_type"), F.col("severity")))
+
+
 def propagate(findings: DataFrame, cands: DataFrame) -> DataFrame:
     """(finding_id, parent_id): a hop's finding hangs on that of the first clause in its paths that has one."""
     hops = findings.where("match_path = 'register_hop'").join(cands.select("candidate_id", F.posexplode("path_detail").alias("at", "e")), "candidate_id").where("e.path = 'register_hop' and e.via_clause_id is not null")

@@ -61,3 +61,14 @@ def reference_columns(table: str, df: DataFrame, ids: DataFrame, shaped: float =
     asked = values.join(F.broadcast(form), "col")
     hits = asked.join(ids.select("doc_id", F.xxhash64(F.col("local_id").cast("string")).alias("v")).distinct(), "v").groupBy("col", "doc_id", "n_values", "n_shaped").agg(F.count("*").alias("n_known"))
     return hits.where(F.col("n_known") >= known * F.col("n_values")).select("col", "doc_id", F.round(F.col("n_shaped") / F.col("n_values"), 6).alias("shaped"), F.round(F.col("n_known") / F.col("n_values"), 6).alias("known"))
+
+
+def primary_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, key_name): of every table the first column named like a key that is unique and never null, or null; from the one pass over all values and a count of each table."""
+    named = {name: [c for c in df.columns if c.lower().endswith(KEY_SUFFIXES)] for name, df in tables.items()}
+    values = values_of({name: df.select(*named[name]) for name, df in tables.items() if named[name]})
+    sizes = reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")) for name, df in tables.items()])
+    place = F.create_map(*[F.lit(x) for name, columns in named.items() for i, c in enumerate(columns) for x in (f"{name}.{c}", i)]) if any(named.values()) else F.lit(None)
+    counts = values.groupBy("col").agg(F.sum("n").alias("held"), F.max("n").alias("most")).where("most = 1").withColumn("table_name", F.substring_index("col", ".", 1)).withColumn("place", place[F.col("col")])
+    keys = counts.join(sizes, "table_name").where("held = n_rows").groupBy("table_name").agg(F.min_by(F.substring_index("col", ".", -1), "place").alias("key_name"))
+    return sizes.select("table_name").join(keys, "table_name", "left")

@@ -88,9 +88,20 @@ def top_values(t, spark):
     return profiling.top_values(t("customer"), ["c_mktsegment", "c_name"])
 
 
-@query("D14_primary_keys", "select * from (values ('customer', 'c_custkey'), ('orders', 'o_orderkey'), ('events', 'event_id'), ('lineitem', null)) x(table_name, key_name)")
+def key_sql(table: str, columns: tuple[str, ...]) -> str:
+    """The first of these columns that has as many values as the table has rows."""
+    tests = " ".join(f"when count(distinct {c}) = count(*) and count(*) > 0 then '{c}'" for c in columns)
+    return f"select '{table}' as table_name, {f'case {tests} end' if columns else 'cast(null as varchar)'} as key_name from {table}"
+
+
+#: The columns of every table that are named like keys.
+KEYED = {"region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey"), "part": ("p_partkey",), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"), "events": ("event_id", "user_id"), "documents": ("doc_id",), "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",), "conversations": ("conv_id",)}
+
+
+@query("D14_primary_keys", " union all ".join(key_sql(n, c) for n, c in KEYED.items()))
 def primary_keys(t, spark):
-    return spark.createDataFrame([(n, profiling.primary_key(t(n))) for n in ("customer", "orders", "events", "lineitem")], "table_name string, key_name string")
+    """Every table's key, if it has one."""
+    return inclusion.primary_keys({n: t(n) for n in KEYED})
 
 
 #: Every table, and its columns that hold lists and so no plain values.

@@ -221,6 +221,21 @@ def downgraded(t, spark):
     return f.select("change_id", "clause_id", F.when(weak, "informational").otherwise(F.col("finding_type")).alias("finding_type"), engine.verdict_of(F.when(weak, F.lit("informational")).otherwise(F.col("finding_type")), F.col("direction"), weak).alias("verdict"))
 
 
+#: What clauses say: of large parts in other words, of some types with another citation than the one that is found.
+CLAUSE_TEXT = "case when p_size % 3 = 0 then concat('Under rule ', cast(p_partkey as string), ' within  About ', cast(p_size as string), ' Days') when p_type = 'STANDARD' then 'Nothing of the kind' else concat('Report ', p_name, ' about ', cast(p_size as string), ' days, as sec ', cast(p_partkey as string), ' says') end"
+
+
+@query("M5_evidence", f"""with {RULES}, q as (select find.*, case when p_size % 3 = 0 then 'under rule ' || p_partkey || ' within about ' || p_size || ' days' when p_type = 'STANDARD' then 'nothing of the kind' else 'report ' || lower(p_name) || ' about ' || p_size || ' days, as sec ' || p_partkey || ' says' end as said,
+lower(case rule when 'R1' then citation when 'R2' then coalesce(renumbered_from, citation) else find.value_text end) as quote, rule in ('R1', 'R2') or change_id % 4 <> 0 as in_law from find join part on p_partkey = clause_pk),
+v as (select *, contains(said, quote) and in_law as ok from q) select change_id, clause_id, ok as quotes_verified, case when ok then finding_type else 'informational' end as finding_type, case when ok then verdict else 'review' end as verdict from v""")
+def evidence(t, spark):
+    """Findings of rules, downgraded where their quotes don't stand in the clause's or the section's text."""
+    ch, *_, f = stages(t)
+    said = t("part").select(F.col("p_partkey").alias("clause_pk"), F.expr(CLAUSE_TEXT).alias("text"))
+    law = ch.select("change_id", F.when(F.col("change_id") % 4 == 0, "as it was").otherwise(F.col("s2_bare")).alias("text"))
+    return engine.downgrade(engine.with_evidence(f, said, law)).select("change_id", "clause_id", "quotes_verified", "finding_type", "verdict")
+
+
 @query("M6_post_rules", """with j as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag = 'R' as weak, l_linestatus = 'F' and l_shipdate <= o_orderdate + interval 30 day as old from lineitem join orders on o_orderkey = l_orderkey), k as (select *, l_quantity < 10 as unsure from j)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when weak or unsure then 'informational' when old then 'stale_at_approval' else 'required_content_change' end as finding_type, case when weak or unsure then 'review' when l_suppkey % 2 = 0 then 'optional_relaxed' else 'action_required' end as verdict, case when weak or unsure then 'low' else 'high' end as severity from k""")
 def post_rules(t, spark):
