@@ -202,6 +202,25 @@ def downgrade(findings: DataFrame) -> DataFrame:
     return df.withColumn("verdict", verdict_of(F.col("finding_type"), F.col("direction"), F.col("needs_review"))).withColumn("severity", severity_of(F.col("finding_type"), F.col("severity")))
 
 
+NO_CHANGE = "the obligation doesn't change"
+
+
+def radar_rules(answers: DataFrame, known: list[str]) -> DataFrame:
+    """answers (obligation_changed, applicable, reason, attribute_basis, quote_s2, s2_text) after code's rules: a basis is what the company has of the named attributes, once each in their order; without a changed obligation nothing applies; a yes without a basis is unclear; a quote is verified, not verified, or there is none."""
+    basis = F.array_intersect(F.array_distinct(F.coalesce("attribute_basis", F.array().cast("array<string>"))), F.array(*[F.lit(k) for k in known]))
+    changed = F.coalesce("obligation_changed", F.lit(False))
+    quote = F.nullif(F.trim("quote_s2"), F.lit(""))
+    df = answers.withColumn("attribute_basis", basis).withColumn("quote_s2", quote)
+    applicable = F.when(~changed, "no").when((F.col("applicable") == "yes") & (F.size("attribute_basis") == 0), "unclear").otherwise(F.col("applicable"))
+    verified = F.when(F.col("quote_s2").isNotNull(), F.coalesce(T.quoted(F.col("s2_text"), F.col("quote_s2")), F.lit(False)))
+    return df.withColumn("applicable", applicable).withColumn("reason", F.when(~changed, NO_CHANGE).otherwise(F.col("reason"))).withColumn("quote_verified", verified)
+
+
+def last_reviews(log: DataFrame) -> DataFrame:
+    """(finding_id, review, n_reviews, reviewed_at) of a log that is only appended to: finding_id, review, at, review_id; the last entry counts, of one time the larger id."""
+    return log.groupBy("finding_id").agg(F.max_by("review", F.struct("at", "review_id")).alias("review"), F.count("*").alias("n_reviews"), F.max("at").alias("reviewed_at"))
+
+
 def propagate(findings: DataFrame, cands: DataFrame) -> DataFrame:
     """(finding_id, parent_id): a hop's finding hangs on that of the first clause in its paths that has one."""
     hops = findings.where("match_path = 'register_hop'").join(cands.select("candidate_id", F.posexplode("path_detail").alias("at", "e")), "candidate_id").where("e.path = 'register_hop' and e.via_clause_id is not null")

@@ -91,6 +91,30 @@ def run_check(spark: SparkSession, sql: str, args: dict | None = None, sample: i
         spark.removeTag(tag)
 
 
+def validate_checks(spark: SparkSession, checks: list[dict], values: DataFrame, **tables: DataFrame) -> list[dict]:
+    """(name, status, n, reason) of proposed checks, held against tables that are known to be right: a check is valid if all its parameters are bound by a document's values and it finds nothing.
+
+    checks: name, sql with :parameters and the tables in braces, bindings (parameter:
+    name of a value), a few at a time; values: name, value (number). Parameters
+    that no value binds, refused SQL and errors leave a check unbound, refused or
+    an error; none stops the others.
+    """
+    wanted = sorted({v for c in checks for v in c["bindings"].values()})
+    held = {r["name"]: r["value"] for r in values.where(F.col("name").isin(wanted)).groupBy("name").agg(F.min("value").alias("value")).collect()}  # a row a binding
+    out = []
+    for c in checks:
+        asked = set(re.findall(r"(?<!:):([A-Za-z_]\w*)", c["sql"]))
+        args = {p: held.get(v) for p, v in c["bindings"].items()}
+        missing = sorted(asked - {p for p, v in args.items() if v is not None})
+        if missing:
+            out.append({"name": c["name"], "status": "unbound", "n": None, "reason": f"no value for {', '.join(missing)}"})
+            continue
+        found = run_check(spark, c["sql"], {p: args[p] for p in asked}, **tables)
+        status = {"ok": "valid", "violations": "invalid"}.get(found["status"], found["status"])
+        out.append({"name": c["name"], "status": status, "n": found["n"], "reason": found["reason"]})
+    return out
+
+
 def assert_empty(name: str, violations: DataFrame) -> DataFrame:
     """(check, n_violations, passed) of one assertion."""
     return violations.agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("check_name"), "n_violations", (F.col("n_violations") == 0).alias("passed"))

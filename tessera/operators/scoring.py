@@ -54,3 +54,18 @@ def scores(expected: DataFrame, system: DataFrame, matched: DataFrame, must_not_
     n = n.join(system.join(must_not, ["doc_id", "clause_id"]).agg(F.count("*").alias("n_wrongly_flagged")))  # five tables of one row each
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return n.select("n_expected", "n_system", "n_matched", share("n_matched", "n_system").alias("precision"), share("n_matched", "n_expected").alias("recall"), "n_wrongly_flagged", share("n_wrongly_flagged", "n_forbidden").alias("false_positive_rate"))
+
+
+def agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many keys each of two extractions has, how many both, and precision, recall and F1 of b against a."""
+    x, y = a.select(*keys).distinct().withColumn("_a", F.lit(1)), b.select(*keys).distinct().withColumn("_b", F.lit(1))
+    n = x.join(y, keys, "full_outer").agg(F.count("_a").alias("n_a"), F.count("_b").alias("n_b"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"))
+    part = lambda over: F.when(F.col(over) > 0, F.col("n_both") / F.col(over)).otherwise(0.0)
+    return n.select("n_a", "n_b", "n_both", part("n_b").alias("precision"), part("n_a").alias("recall"), F.when(F.col("n_a") + F.col("n_b") > 0, 2 * F.col("n_both") / (F.col("n_a") + F.col("n_b"))).otherwise(0.0).alias("f1"))
+
+
+def scorecard(expected: DataFrame, rollup: DataFrame) -> DataFrame:
+    """One row: documents with an expected status, how many have it, those flagged in vain and those missed. A document that the run doesn't know counts as cleared."""
+    both = expected.select("doc_id", F.col("status").alias("want")).join(rollup.select("doc_id", F.col("status").alias("got")), "doc_id", "left").withColumn("got", F.coalesce("got", F.lit("cleared")))
+    flagged = lambda c: F.col(c) == "flagged"
+    return both.agg(F.count("*").alias("n_docs"), F.count_if(F.col("want") == F.col("got")).alias("n_agree"), F.count_if(flagged("got") & ~flagged("want")).alias("n_in_vain"), F.count_if(~flagged("got") & flagged("want")).alias("n_missed")).withColumn("share", F.when(F.col("n_docs") > 0, F.round(F.col("n_agree") / F.col("n_docs"), 6)).otherwise(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import engine, whatif
+from tessera.operators import engine, scoring, whatif
 from tessera.operators.stages import kept
 from tessera.registry import query
 
@@ -322,3 +322,54 @@ def edited_run(t, spark):
     """A run's decisions after some of the law is edited: what the edits reach is decided anew, the rest stands."""
     _, base, edits, more = scenario(t)
     return whatif.what_if(base, edits, *more).select("change_id", "clause_id", "rule", "to_text")
+
+
+@query("M9_radar_code_rules", """with o as (select o_orderkey as k, o_orderkey % 50 + 2 as n, o_orderstatus <> 'P' as changed, substring(o_orderpriority, 1, 1) as p, o_custkey % 5 as c from orders),
+b as (select *, case when c = 0 then [] when c = 1 then ['voltage'] when c = 2 then ['county', 'voltage'] when c = 3 then ['county'] else null end as basis from o)
+select k, case when not changed then 'no' when p in ('1', '2') and (basis is null or len(basis) = 0) then 'unclear' when p in ('1', '2') then 'yes' when p = '3' then 'unclear' else 'no' end as applicable, array_to_string(coalesce(basis, []), ',') as basis, case k % 4 when 1 then true when 3 then false end as quote_verified from b""")
+def radar_code_rules(t, spark):
+    """What code makes of a model's answers: attributes that the company has, forced no, unclear yes, quotes in three states."""
+    n = F.expr("o_orderkey % 50 + 2")
+    basis = F.expr("case o_custkey % 5 when 0 then array('unknown') when 1 then array('voltage', 'unknown', 'voltage') when 2 then array('county', 'none', 'voltage', 'county') when 3 then array('county') end")
+    quote = F.expr("case o_orderkey % 4 when 1 then concat('FILE  within ', cast(o_orderkey % 50 + 2 as string), ' days') when 2 then '  ' when 3 then 'file in good time' end")
+    applicable = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "yes").when(F.substring("o_orderpriority", 1, 1) == "3", "unclear").otherwise("no")
+    answers = t("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") != "P").alias("obligation_changed"), applicable.alias("applicable"), F.lit("as it says").alias("reason"), basis.alias("attribute_basis"), quote.alias("quote_s2"), F.concat(F.lit("Each shall file within "), n.cast("string"), F.lit(" days.")).alias("s2_text"))
+    return engine.radar_rules(answers, ["voltage", "county"]).select("k", "applicable", F.array_join("attribute_basis", ",").alias("basis"), "quote_verified")
+
+
+REVIEWS = "rv as (select user_id as change_id, case event_type when 'purchase' then 'accepted' when 'error' then 'rejected' else 'opened' end as review, ts, event_id from events where event_type in ('purchase', 'error', 'view'))"
+
+
+def review_log(t):
+    """Events as reviews of the change that has their user's number."""
+    kind = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "error", "rejected").otherwise("opened")
+    return t("events").where("event_type in ('purchase', 'error', 'view')").select(F.col("user_id").alias("finding_id"), kind.alias("review"), F.col("ts").alias("at"), F.col("event_id").alias("review_id"))
+
+
+@query("M14_last_reviews", f"with {REVIEWS} select change_id as finding_id, arg_max(review, (ts, event_id)) as review, count(*) as n_reviews, max(ts) as reviewed_at from rv group by 1")
+def last_reviews(t, spark):
+    """The last entry of a log of reviews that is only appended to."""
+    return engine.last_reviews(review_log(t))
+
+
+@query("D11_reviewed_findings", f"with {RULES}, {REVIEWS} select doc_id, count(*) as n_findings, count_if(change_id in (select change_id from rv where review <> 'opened')) as n_reviewed from find group by 1")
+def reviewed_findings(t, spark):
+    """How many of a document's findings somebody has accepted or rejected."""
+    *_, f = stages(t)
+    done = review_log(t).where("review <> 'opened'").select(F.col("finding_id").alias("change_id"), F.lit(True).alias("done")).distinct()
+    return f.join(done, "change_id", "left").groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.count("done").alias("n_reviewed"))
+
+
+@query("D39_document_scorecard", f"with {RULES}, w as (select 'D' || (p_partkey // 10) as doc_id, case when max(p_retailprice) > 1500 then 'flagged' else 'cleared' end as want from part group by 1), g as (select distinct doc_id from find), b as (select want, g.doc_id is not null as got from w left join g using (doc_id)) select count(*) as n_docs, count_if((want = 'flagged') = got) as n_agree, count_if(got and want <> 'flagged') as n_in_vain, count_if(not got and want = 'flagged') as n_missed, round(count_if((want = 'flagged') = got) / count(*), 6) as share from b")
+def document_scorecard(t, spark):
+    """Documents with a dear part should be flagged: how many are."""
+    *_, found, f = stages(t)
+    want = t("part").groupBy(F.concat(F.lit("D"), F.expr("p_partkey div 10").cast("string")).alias("doc_id")).agg(F.when(F.max("p_retailprice") > 1500, "flagged").otherwise("cleared").alias("status"))
+    return scoring.scorecard(want, engine.rollup_documents(found, f))
+
+
+@query("D21_citation_scores", "with a as (select distinct l_partkey, l_suppkey from lineitem where l_returnflag = 'R'), b as (select distinct l_partkey, l_suppkey from lineitem where l_linestatus = 'F'), i as (select count(*) as n from a join b using (l_partkey, l_suppkey)) select (select count(*) from a) as n_a, (select count(*) from b) as n_b, n as n_both, n / (select count(*) from b) as precision, n / (select count(*) from a) as recall, 2 * n / ((select count(*) from a) + (select count(*) from b)) as f1 from i")
+def citation_scores(t, spark):
+    """Parts and suppliers as clauses and what they cite, as two readers find them."""
+    l = t("lineitem")
+    return scoring.agreement(l.where("l_returnflag = 'R'"), l.where("l_linestatus = 'F'"), ["l_partkey", "l_suppkey"])

@@ -423,3 +423,45 @@ def word_windows(t, spark):
     tables.register(spark)
     found = spark.sql("select * from word_windows(table({t}), size => 50, overlap => 10)", t=t("conversations").select("conv_id", "turn", "text"))
     return found.select("conv_id", "chunk", "first_turn", "n_words", F.sha2("words", 256).alias("digest"))
+
+
+@query("A18_sniffed_files", "select 'obl' as kind, 'row_id' as key_column, true as is_register, count(distinct p_size % 3) as n from part where p_size % 3 = 0 union all select 'other', 'row_id', false, 1 union all select 'plain', 'p_partkey', false, 1")
+def sniffed_files(t, spark):
+    """Registers among CSV files, by their header and first row."""
+    path = files.landing_dir(spark)
+    p = t("part")
+    key = F.concat(F.lit("OBL-"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("-1"))
+    for kind, df in {"obl": p.select(key.alias("row_id"), "p_name"), "other": p.select(F.col("p_name").alias("row_id"), "p_size"), "plain": p.select("p_partkey", key.alias("row_id"))}.items():
+        df.coalesce(1).write.csv(f"{path}/{kind}", header=True, quoteAll=kind == "other")
+    found = files.sniff_registers(spark, path)
+    return found.groupBy(F.regexp_extract("path", r"/(obl|other|plain)/", 1).alias("kind"), "key_column", "is_register").agg(F.count("*").alias("n"))
+
+
+@query("K3_streamed_once", "select event_id, event_type from events")
+def streamed_once(t, spark):
+    """Immutable events that land twice, the second time with half of them again: each is taken once."""
+    root = files.landing_dir(spark)
+    e = t("events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for part in ("event_id % 3 > 0", "event_id % 2 = 0 or event_id % 3 = 0"):
+        e.where(part).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(e.schema).parquet(f"{root}/landing")
+        V.take(S.distinct_events(stream, "event_id", "ts", "400 days"), f"{root}/taken", f"{root}/cursor")
+    return spark.read.parquet(f"{root}/taken").select("event_id", "event_type")
+
+
+@query("L4_validated_checks", """with m as (select max(l_quantity) as q, max(l_discount) as d, max(l_tax) as t from lineitem) select 'quantity' as name, 'valid' as status, 0 as n from m union all select 'discount', 'invalid', count_if(l_discount > 0.05) from lineitem union all select 'tax', 'unbound', null union all select 'drop', 'refused', null union all select 'broken', 'error', null
+union all select 'window', case when count_if(l_quantity > m.q or l_discount > m.d) = 0 then 'valid' else 'invalid' end, count_if(l_quantity > m.q or l_discount > m.d) from lineitem, m""")
+def validated_checks(t, spark):
+    """Proposed checks with the values of a document, held against data that is known to be right."""
+    l = t("lineitem")
+    stated = l.agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d")).select(F.explode(F.array(F.struct(F.lit("largest quantity").alias("name"), F.col("q").alias("value")), F.struct(F.lit("largest discount").alias("name"), F.col("d").alias("value")), F.struct(F.lit("usual discount").alias("name"), F.lit(0.05).alias("value")))).alias("v")).select("v.*")
+    proposed = [
+        {"name": "quantity", "sql": "select * from {lines} where l_quantity > :most", "bindings": {"most": "largest quantity"}},
+        {"name": "discount", "sql": "select * from {lines} where l_discount > :most", "bindings": {"most": "usual discount"}},
+        {"name": "tax", "sql": "select * from {lines} where l_tax > :most", "bindings": {"most": "largest tax"}},
+        {"name": "drop", "sql": "drop table lines", "bindings": {}},
+        {"name": "broken", "sql": "select nothing from {lines}", "bindings": {}},
+        {"name": "window", "sql": "select * from {lines} where l_quantity > :a or l_discount > :b", "bindings": {"a": "largest quantity", "b": "largest discount"}},
+    ]
+    found = profiling.validate_checks(spark, proposed, stated, lines=l)
+    return spark.createDataFrame([(r["name"], r["status"], r["n"]) for r in found], "name string, status string, n long")

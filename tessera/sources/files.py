@@ -53,6 +53,20 @@ def read_register(spark: SparkSession, path: str, key: str) -> DataFrame:
     return raw.select(F.coalesce(F.nullif(F.trim(F.col(f"`{key}`")), F.lit("")), missing).alias("clause_id"), cells.alias("row_cells"), lines.alias("text"))
 
 
+#: Ids of registers' rows.
+REGISTER_ID = r"^(OBL|EVT|RRS)-[A-Z0-9]+-\d+$"
+
+
+def sniff_registers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key_column, first_id, is_register) of every CSV file below a path: a register's first column ends in _id and its first value is a register's id. Only a file's first block is looked at."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").where("block = 0").withColumn("at", F.monotonically_increasing_id())
+    heads = lines.groupBy("path").agg(F.min("at").alias("first"), F.min_by("value", "at").alias("header"))
+    rows = lines.join(heads, "path").where("at > first").groupBy("path", "header").agg(F.min_by("value", "at").alias("row"))
+    cell = lambda c: F.regexp_replace(F.trim(F.substring_index(c, ",", 1)), '^"|"$', "")
+    found = heads.select("path", "header").join(rows.select("path", "row"), "path", "left").select("path", cell("header").alias("key_column"), cell("row").alias("first_id"))
+    return found.withColumn("is_register", F.lower("key_column").endswith("_id") & F.coalesce(F.col("first_id").rlike(REGISTER_ID), F.lit(False)))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Texts with front matter of any of three styles: (path, meta map, body, body_start in characters)."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
