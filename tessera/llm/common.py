@@ -78,13 +78,13 @@ def release(df: DataFrame | None) -> None:
 
 
 #: Groups that a task takes one after the other. Each task writes files, and each file in a local folder forks the executor for a moment.
-GROUPS_A_TASK = 8
+GROUPS_A_TASK = 16
 
 
 def by_group(df: DataFrame, key: str, groups: int):
     """Grouped by key, in as many tasks as the number of groups asks for: a task's share stays the same at every size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(groups // GROUPS_A_TASK, min(groups, 4 * cores)), key).groupBy(key)
+    return df.repartition(max(groups // GROUPS_A_TASK, min(groups, 2 * cores)), key).groupBy(key)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
