@@ -119,6 +119,72 @@ def natural_key(c: Column, width: int = 12) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
 
 
+# What words before a quantity say of it.
+QUALIFIERS = (("not\\s+less\\s+than", "at_least"), ("not\\s+more\\s+than", "not_more_than"), ("no\\s+later\\s+than", "not_more_than"), ("at\\s+least", "at_least"), ("prior\\s+to", "prior_to"), ("within\\b", "within"), ("after\\b", "after"), ("exactly\\b", "exactly"))
+DATES = r"[A-Z][a-z]{2,8}\.? \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}"
+
+
+def qualifier(text: Column, start: Column, tokens: int = 6) -> Column:
+    """What the last qualifier among the six tokens before a place (in characters, from 0) says; a phrase that begins before them isn't one."""
+    before = F.split(F.trim(F.substring(text, F.lit(1), start)), r"\s+")
+    window = F.array_join(F.slice(before, F.greatest(F.size(before) - tokens + 1, F.lit(1)), F.lit(tokens)), " ")
+    last = F.regexp_extract(window, "(?is)^.*(" + "|".join(p for p, _ in QUALIFIERS) + ")", 1)
+    return F.when(last != "", F.coalesce(*[F.when(last.rlike("(?i)^" + p + ("$" if not p.endswith("b") else "")), name) for p, name in QUALIFIERS]))
+
+
+def last_date(text: Column) -> Column:
+    """The last date that stands in a text, in any of three forms; months by name or abbreviated."""
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(DATES), F.lit(0)), F.lit(-1))
+    named = F.regexp_replace(last, r"^([A-Z][a-z]{2})[a-z]*\.? ", "$1 ")
+    return F.coalesce(F.try_to_timestamp(named, F.lit("MMM d, yyyy")), F.try_to_timestamp(last, F.lit("M/d/yyyy")), F.try_to_timestamp(last, F.lit("yyyy-MM-dd"))).cast("date")
+
+
+def greedy_spans(spans: Column) -> Column:
+    """Of spans (structs with start and stop) those that don't overlap, taken by start, then the longer one first."""
+    rank = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["stop"]).alias("shorter"), s.alias("span")))
+    none = F.slice(spans, 1, 0)
+    step = lambda a, r: F.when((F.size(a) == 0) | (F.try_element_at(a, F.lit(-1))["stop"] <= r["start"]), F.concat(a, F.array(r["span"]))).otherwise(a)
+    return F.aggregate(F.array_sort(rank), none, step)
+
+
+def rendered_diff(segments: Column, edge: int = 300) -> Column:
+    """A word diff as text: [-deleted-] {+inserted+}; of long equal runs only both ends stay."""
+    text = lambda s: F.when(s["op"] == "delete", F.concat(F.lit("[-"), s["text"], F.lit("-]"))).when(s["op"] == "insert", F.concat(F.lit("{+"), s["text"], F.lit("+}"))).when(F.length(s["text"]) > 2 * edge, F.concat(F.left(s["text"], F.lit(edge)), F.lit(" ... "), F.right(s["text"], F.lit(edge)))).otherwise(s["text"])
+    return F.when(F.size(segments) > 0, F.array_join(F.transform(segments, text), " ")).otherwise("(no word diff)")
+
+
+WINDOWS = StructType([StructField("old", StringType()), StructField("new", StringType())])
+
+
+def around_hunks(old: str, new: str, most: int, window: int) -> tuple[str, str]:
+    """Both texts; what is longer than ``most`` only within ``window`` characters of what differs (its start, if nothing of it does), "..." between."""
+    import difflib
+    import re
+
+    if len(old) <= most and len(new) <= most:
+        return old, new
+    x, y = ([m for m in re.finditer(r"\w+|[^\w\s]", t)] for t in (old, new))
+    ops = [o for o in difflib.SequenceMatcher(None, [m[0] for m in x], [m[0] for m in y], autojunk=False).get_opcodes() if o[0] != "equal"]
+
+    def cut(text: str, tokens: list, runs: list[tuple[int, int]]) -> str:
+        if len(text) <= most:
+            return text
+        merged: list[list[int]] = []
+        for a, b in ((max(0, tokens[i].start() - window), min(len(text), tokens[j - 1].end() + window)) for i, j in runs if j > i):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        return ("..." if merged and merged[0][0] else "") + "\n...\n".join(text[a:b] for a, b in merged) if merged else text[:most]
+
+    return cut(old, x, [o[1:3] for o in ops]), cut(new, y, [o[3:5] for o in ops])
+
+
+@F.pandas_udf(WINDOWS)
+def hunk_windows(old: pd.Series, new: pd.Series, most: pd.Series, window: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([around_hunks(a or "", b or "", int(m), int(w)) for a, b, m, w in zip(old, new, most, window, strict=True)], columns=["old", "new"])
+
+
 @F.pandas_udf(SEGMENTS)
 def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Segments that are equal, deleted or inserted, by difflib over words and signs; neighbours of one kind are one."""

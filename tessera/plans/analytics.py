@@ -123,7 +123,7 @@ def foreign_keys(t, spark):
     return inclusion.foreign_keys(inclusion.inclusions({n: t(n) for n in names})).select("child", "parent", F.col("ratio").alias("r"))
 
 
-@query("C35_clause_columns", f"""with ids as (select distinct l_suppkey as doc_id, cast(l_partkey as varchar) as id from lineitem), v as (select distinct name as col, value as v from (unpivot (select columns(*)::varchar from orders) on columns(*) into name name value value)),
+@query("C35_clause_columns", rf"""with ids as (select distinct l_suppkey as doc_id, cast(l_partkey as varchar) as id from lineitem), v as (select distinct name as col, value as v from (unpivot (select columns(*)::varchar from orders) on columns(*) into name name value value)),
 s as (select col, count(*) as n, count_if(regexp_full_match(v, '(\d+(\.\d+){{0,2}}[a-z]?|App-[A-Z]\.\d+|S\d+\.\d+)')) as k from v group by 1), h as (select col, doc_id, count(*) as m from v join ids on v = id group by 1, 2)
 select 'orders.' || col as col, doc_id, round(k / n, 6) as shaped, round(m / n, 6) as known from s join h using (col) where k >= 0.9 * n and m >= 0.05 * n""")
 def clause_columns(t, spark):

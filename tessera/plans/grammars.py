@@ -268,6 +268,43 @@ def preceding_tokens(t, spark):
     return df.select("k", F.get(F.reverse(F.filter(before, lambda w: w.isin("business", "calendar", "working"))), 0).alias("qualifier"))
 
 
+#: A qualifier by the order's number, fillers between it and the quantity, and for every third order an earlier one.
+PHRASES = ("not less than", "Not more than", "no later  than", "at least", "prior to", "within", "AFTER", "exactly", "thereabout")
+MEANS = ("at_least", "not_more_than", "not_more_than", "at_least", "prior_to", "within", "after", "exactly", None)
+PICKED = "array(" + ", ".join(f"'{p}'" for p in PHRASES) + ")"
+SAID = "case when {a} + array_length(string_split(trim(regexp_replace({p}, ' +', ' ', 'g')), ' ')) <= 6 then {m} end"
+
+
+@query("E16_qualifiers", f"""with o as (select o_orderkey as k, cast(o_orderkey % 9 as int) as i, cast(o_custkey % 6 as int) as a from orders), l as (select *, list_value({", ".join(f"'{p}'" for p in PHRASES)})[i + 1] as p, list_value({", ".join(f"'{m}'" if m else "null" for m in MEANS)})[i + 1] as m from o)
+select k, coalesce({SAID.format(a="a", p="p", m="m")}, case when k % 3 = 0 and a + len(string_split(regexp_replace(p, ' +', ' ', 'g'), ' ')) + 2 <= 6 then 'at_least' end) as qualifier from l""")
+def qualifiers(t, spark):
+    """The last of eight qualifiers among the six words before a quantity."""
+    phrase = F.get(F.expr(PICKED), (F.col("k") % 9).cast("int"))
+    df = t("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 6).cast("int").alias("a"))
+    head = F.concat(F.when(F.col("k") % 3 == 0, "It takes at least ").otherwise("It takes "), phrase, F.lit(" "), F.repeat(F.lit("some "), F.col("a")))
+    return df.withColumn("head", head).select("k", T.qualifier(F.concat("head", F.lit("30 days, within reason")), F.length("head")).alias("qualifier"))
+
+
+@query("E17_greedy_spans", f"""with s as (select k, a, b, st from {O}) select k, case st when 'F' then '0-9,9-12' when 'O' then '0-4,4-8' else '2-20' end as spans from s""")
+def greedy_spans(t, spark):
+    """Spans of several patterns by start, the longer one first, without overlaps."""
+    of = lambda *pairs: F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in pairs])
+    spans = F.when(F.col("st") == "F", of((9, 12), (0, 4), (0, 9), (8, 30), (3, 7))).when(F.col("st") == "O", of((4, 8), (0, 4), (1, 4), (7, 9))).otherwise(of((3, 4), (2, 20), (2, 3), (19, 25)))
+    kept = T.greedy_spans(spans)
+    return orders(t).select("k", F.array_join(F.transform(kept, lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias("spans"))
+
+
+@query("H22_last_dates", f"select k, case k % 5 when 4 then null else day end as day from {O}")
+def last_dates(t, spark):
+    """The last of several dates of a note, whatever their forms; a date that is none counts as none."""
+    form = lambda f: F.date_format("day", f)
+    text = F.expr("''")
+    notes = {0: ("filed Jan 5, 1980: 3 IR 4; repealed ", form("MMM d, yyyy")), 1: ("(Repealed 1/2/1990, effective ", form("M/d/yyyy")), 2: ("approved 1999-01-01; Sept. 3, 2000; ", form("yyyy-MM-dd")), 3: ("filed 2/3/1971 and ", form("MMMM d, yyyy"))}
+    for i, (note, day) in notes.items():
+        text = F.when(F.col("k") % 5 == i, F.concat(F.lit(note), day, F.lit(", 10:00 a.m.)"))).otherwise(text)
+    return orders(t).select("k", T.last_date(F.when(F.col("k") % 5 == 4, F.lit("filed Smarch 13, 2001")).otherwise(text)).alias("day"))
+
+
 @F.pandas_udf(BooleanType())
 def allowed(statement: pd.Series) -> pd.Series:
     return pd.Series([profiling.refuse(s) is None for s in statement])

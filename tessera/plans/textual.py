@@ -172,6 +172,16 @@ def word_diff(t, spark):
     return both.select("doc_a", "doc_b", F.posexplode(T.word_diff("old", "new")).alias("at", "s")).select("doc_a", "doc_b", "at", "s.op", "s.text")
 
 
+@query("I10_hunk_windows")
+def hunk_windows(t, spark):
+    """Near-duplicates as they are shown: their word diff rendered, and of long texts what lies around the differences."""
+    pairs = near_pairs(t, spark).select("doc_a", "doc_b")
+    text = lambda name, key: t("documents").select(F.col("doc_id").alias(key), F.col("text").alias(name))
+    both = pairs.join(text("old", "doc_a"), "doc_a").join(text("new", "doc_b"), "doc_b").where("old <> new")
+    w = T.hunk_windows("old", "new", F.lit(1200), F.lit(300))
+    return both.select("doc_a", "doc_b", T.rendered_diff(T.word_diff("old", "new")).alias("diff"), w.alias("w")).select("doc_a", "doc_b", "diff", "w.old", "w.new")
+
+
 @query("H3_clause_normal")
 def clause_normal(t, spark):
     return t("documents").select("doc_id", F.md5(T.clause_normal("text")).alias("digest"))

@@ -113,3 +113,33 @@ def test_diffs_beside_difflib(spark, tmp_path):
     assert {(r.doc_a, r.doc_b) for r in found} == {(1, 3)}
     assert " ".join(r.text for r in found if r.op != "insert") == " ".join(base.split())
     assert " ".join(r.text for r in found if r.op != "delete") == " ".join(texts[3].split())
+
+
+def test_windows_around_hunks():
+    from tessera.functions import text as T
+
+    old = "word " * 400 + "alpha " + "word " * 400 + "omega " + "word " * 400
+    new = old.replace("alpha", "beta").replace("omega ", "")
+    a, b = T.around_hunks(old, new, 1000, 20)
+    assert a.count("alpha") == 1 and a.count("omega") == 1 and a.startswith("...") and a.count("\n...\n") == 1 and len(a) < 120
+    assert "beta" in b and "\n...\n" not in b and len(b) < 60  # what was taken out leaves nothing to show on this side
+    assert T.around_hunks("a b", "a c", 1000, 20) == ("a b", "a c")
+    assert T.around_hunks("x " * 600, "x " * 600, 1000, 20) == (("x " * 600)[:1000],) * 2
+    assert T.around_hunks("", "y " * 600, 1000, 20)[0] == ""
+
+
+def test_rendered_diff_and_spans(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+
+    df = spark.createDataFrame([("a b c", "a x c d"), ("same", "same"), ("", "")], "o string, n string")
+    assert [r[0] for r in df.select(T.rendered_diff(T.word_diff("o", "n"))).collect()] == ["a [-b-] {+x+} c {+d+}", "same", "(no word diff)"]
+    long = spark.createDataFrame([("w " * 500 + "a", "w " * 500 + "b")], "o string, n string").select(T.rendered_diff(T.word_diff("o", "n"), 10)).first()[0]
+    assert long == "w w w w w  ...  w w w w w [-a-] {+b+}"
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in [(5, 9), (0, 3), (0, 5), (4, 6), (9, 9), (9, 11)]])
+    assert [(s.start, s.stop) for s in spark.range(1).select(T.greedy_spans(spans)).first()[0]] == [(0, 5), (5, 9), (9, 11)]
+    q = spark.createDataFrame([("no later than the 30 days", 18), ("within a b c d e f 30", 19), ("at least and not more than 5", 27), ("5", 0), ("not less than", 8)], "t string, p int")
+    assert [r[0] for r in q.select(T.qualifier(F.col("t"), F.col("p"))).collect()] == ["not_more_than", None, "not_more_than", None, None]
+    d = spark.createDataFrame([("x Jan. 3, 2001 y 2/4/2002 z",), ("Sept. 9, 1999",), ("2001-02-30",), (None,)], "t string")
+    assert [str(r[0]) for r in d.select(T.last_date(F.col("t"))).collect()] == ["2002-02-04", "1999-09-09", "None", "None"]
