@@ -8,6 +8,7 @@ from tessera.functions import grammar as G
 from tessera.functions import tables
 from tessera.functions import text as T
 from tessera.operators import joins, profiling
+from tessera.operators.stages import spread
 from tessera.registry import query
 from tessera.sources import files, landed, markdown
 from tessera.streaming import ingest as S
@@ -465,3 +466,53 @@ def validated_checks(t, spark):
     ]
     found = profiling.validate_checks(spark, proposed, stated, lines=l)
     return spark.createDataFrame([(r["name"], r["status"], r["n"]) for r in found], "name string, status string, n long")
+
+
+@query("A19_loaded_references", """select 'person' as kind, cast(c_custkey as varchar) as key, array_to_string(list_filter(['role ' || c_nationkey % 3, case when c_custkey % 2 = 0 then 'lead' end, case when c_custkey % 5 = 0 then 'deputy' end], lambda x: x is not null), '|') as value, null as num, null as flag from customer
+union all select 'attribute', 'n_' || n_nationkey, case n_nationkey % 4 when 0 then 'True' when 1 then cast(n_nationkey * 10 as varchar) when 2 then n_name else '12' end, case n_nationkey % 4 when 1 then n_nationkey * 10.0 when 3 then 12.0 end, case when n_nationkey % 4 = 0 then true end from nation""")
+def loaded_references(t, spark):
+    """People with lists in their cells, and attributes of a profile as truth values, numbers or text."""
+    path = files.landing_dir(spark)
+    roles = F.concat(F.lit(" role "), (F.col("c_nationkey") % 3).cast("string"), F.lit(" ;"), F.when(F.col("c_custkey") % 2 == 0, "lead").otherwise(" "), F.lit(";; "), F.when(F.col("c_custkey") % 5 == 0, "deputy ").otherwise(""))
+    t("customer").select("c_custkey", "c_name", roles.alias("roles")).write.csv(f"{path}/people", header=True)
+    value = F.when(F.col("n_nationkey") % 4 == 0, "yes  # as stated").when(F.col("n_nationkey") % 4 == 1, (F.col("n_nationkey") * 10).cast("string")).when(F.col("n_nationkey") % 4 == 2, F.concat(F.lit("'"), "n_name", F.lit("'"))).otherwise('"12"')
+    lines = t("nation").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  n_"), F.col("n_nationkey").cast("string"), F.lit(": "), value))), "\n").alias("body"))
+    lines.select(F.concat(F.lit("name: Somebody\napplicability_attributes:\n"), "body", F.lit("\nother:\n  key: 1\n")).alias("value")).write.text(f"{path}/profile")
+    people = files.read_people(spark, f"{path}/people").select(F.lit("person").alias("kind"), F.col("c_custkey").alias("key"), F.array_join("roles", "|").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("flag"))
+    attributes = files.read_attributes(spark, f"{path}/profile").select(F.lit("attribute").alias("kind"), "key", F.col("value_text").alias("value"), F.col("value_num").alias("num"), F.col("value_bool").alias("flag"))
+    return people.unionByName(attributes)
+
+
+@query("A29_report", "select (select count(*) from orders) as n_orders, (select count(*) from lineitem) as n_lines, (select count(distinct o_orderpriority) from orders where o_orderstatus = 'P') as n_codes, (select count(*) from orders where o_orderstatus = 'P') as n_issues, 2 as n_checks, (select count_if(l_quantity > 49) = 0 from lineitem) as passed")
+def report(t, spark):
+    """A run's counts, issues and checks as one JSON document, read back."""
+    path = files.landing_dir(spark)
+    o, l = t("orders"), t("lineitem")
+    stats = o.agg(F.lit("orders").alias("name"), F.count("*").alias("n")).unionByName(l.agg(F.lit("lines").alias("name"), F.count("*").alias("n")))
+    issues = o.where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("code"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("message"))
+    found = profiling.assert_empty("quantity", l.where("l_quantity > 49")).unionByName(profiling.assert_empty("key", o.where("o_orderkey is null")))
+    files.write_report(stats, issues, found, path)
+    r = spark.read.schema("stats map<string,long>, issues array<struct<code:string,n:long,first:string>>, checks array<struct<check_name:string,n_violations:long,passed:boolean>>, passed boolean").json(path)
+    return r.select(F.col("stats")["orders"].alias("n_orders"), F.col("stats")["lines"].alias("n_lines"), F.size("issues").cast("long").alias("n_codes"), F.aggregate("issues", F.lit(0).cast("long"), lambda a, i: a + i["n"]).alias("n_issues"), F.size("checks").alias("n_checks"), "passed")
+
+
+NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+CELL_CITED = "case p_size % 5 when 0 then format('{} IAC {}-1-{}', p_size, p_partkey % 9 + 1, p_partkey % 40 + 1) when 1 then format('{} CFR {}.{}', p_size, p_partkey % 90 + 1, p_partkey % 40 + 1) when 2 then format('IC {}-1-{}', p_partkey % 9 + 1, p_partkey % 40 + 1) end"
+
+
+@query("B24_new_citations", f"select p_partkey as clause_id, c as citation from (select p_partkey, p_size, {CELL_CITED} as c from part) where c is not null and p_partkey % 7 <> 0 union all select p_partkey, '16 USC 824' from part where p_size % 4 = 0 and p_partkey % 7 <> 0")
+def new_citations(t, spark):
+    """Citations in any cell of a register, by a key of clause, column and citation; those that are stored already are left out."""
+    n, m = F.col("p_partkey") % 9 + 1, F.col("p_partkey") % 40 + 1
+    cited = F.when(F.col("p_size") % 5 == 0, F.format_string("see %d IAC %d-1-%d, and note", "p_size", n, m)).when(F.col("p_size") % 5 == 1, F.format_string("%d C.F.R. § %d.%d", "p_size", F.col("p_partkey") % 90 + 1, m)).when(F.col("p_size") % 5 == 2, F.format_string("(IC %d-1-%d)", n, m)).otherwise(F.col("p_name"))
+    cells = F.create_map(F.lit("basis"), cited, F.lit("other"), F.when(F.col("p_size") % 4 == 0, "16 U.S.C. 824").otherwise(" "), F.lit("note"), F.lit(None).cast("string"))
+    units = t("part").select(F.col("p_partkey").alias("clause_id"), cells.alias("row_cells"))
+    stored = clause_citations(units).where("clause_id % 7 = 0").select("citation_id")
+    return clause_citations(units).join(stored, "citation_id", "left_anti").select("clause_id", "citation")
+
+
+def clause_citations(units):
+    """(citation_id, clause_id, column, citation) of all cells that hold text."""
+    cells = units.select("clause_id", F.explode("row_cells").alias("column", "cell")).where("trim(cell) <> ''")
+    found = spread(cells).select("clause_id", "column", F.explode(G.citations("cell")).alias("c")).select("clause_id", "column", F.col("c.citation").alias("citation")).distinct()
+    return found.withColumn("citation_id", files.uuid5(NAMESPACE, F.concat_ws("|", F.col("clause_id").cast("string"), "column", "citation")))

@@ -53,6 +53,43 @@ def read_register(spark: SparkSession, path: str, key: str) -> DataFrame:
     return raw.select(F.coalesce(F.nullif(F.trim(F.col(f"`{key}`")), F.lit("")), missing).alias("clause_id"), cells.alias("row_cells"), lines.alias("text"))
 
 
+def read_people(spark: SparkSession, path: str, lists: tuple[str, ...] = ("roles", "verticals")) -> DataFrame:
+    """People of a CSV; cells of these columns are lists parted by semicolons, without blanks and empty parts."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(f"`{c}`"), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return raw.select(*[parts(c).alias(c) if c in lists else F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns])
+
+
+def read_attributes(spark: SparkSession, path: str, block: str = "applicability_attributes") -> DataFrame:
+    """(path, key, value_text, value_num, value_bool) of a YAML block of plain keys: what is a truth value, else a number, else text."""
+    held = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", rf"(?m)^{block}:[ \t]*\r?\n((?:[ \t]+.*(?:\r?\n|\z)|[ \t]*(?:#.*)?\r?\n)*)", 1).alias("body"))
+    lines = held.select("path", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]+([\w.\-]+):[ \t]*(.*?)[ \t]*(?:[ \t]#.*)?\r?$"), F.lit(0))).alias("line"))
+    raw = F.regexp_extract("line", r"^[ \t]+[\w.\-]+:[ \t]*(.*?)[ \t]*(?:[ \t]#.*)?\r?$", 1)
+    quoted = raw.rlike("^(\".*\"|'.*')$")
+    text = F.when(F.col("quoted"), F.expr("substring(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))
+    truth = F.when(~F.col("quoted") & F.lower("raw").isin("true", "yes", "on"), True).when(~F.col("quoted") & F.lower("raw").isin("false", "no", "off"), False)
+    df = lines.select("path", F.regexp_extract("line", r"^[ \t]+([\w.\-]+):", 1).alias("key"), raw.alias("raw"), quoted.alias("quoted")).withColumn("value_bool", truth)
+    told = F.when(F.col("value_bool").isNotNull(), F.initcap(F.col("value_bool").cast("string"))).otherwise(text)
+    return df.withColumn("value_text", told).select("path", "key", "value_text", F.when(F.col("value_bool").isNull(), F.col("value_text").try_cast("double")).alias("value_num"), "value_bool")
+
+
+def write_report(stats: DataFrame, issues: DataFrame, checks: DataFrame, path: str, shown: int = 20) -> None:
+    """One JSON document of a run: stats (name, n) as a map, issues (code, message) counted by code with some messages, checks (check_name, n_violations, passed) and whether all passed."""
+    one = stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("stats"))
+    by_code = issues.groupBy("code").agg(F.count("*").alias("n"), F.min("message").alias("first"))
+    two = by_code.agg(F.slice(F.array_sort(F.collect_list(F.struct("code", "n", "first"))), 1, 1000).alias("issues"))
+    three = checks.agg(F.array_sort(F.collect_list(F.struct("check_name", "n_violations", "passed"))).alias("checks"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"))
+    one.join(two).join(three).coalesce(1).write.mode("overwrite").json(path)  # a row each
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (SHA-1) of a string in a namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 #: Ids of registers' rows.
 REGISTER_ID = r"^(OBL|EVT|RRS)-[A-Z0-9]+-\d+$"
 

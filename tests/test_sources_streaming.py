@@ -112,3 +112,23 @@ def test_as_of_in_buckets(spark, forward):
     whole, split = (joins.as_of(left, right, ["k"], "t", "u", ["v"], forward, b) for b in (None, lambda at: F.floor(at / 7)))
     assert sorted(map(tuple, whole.select("i", "v").collect())) == sorted(map(tuple, split.select("i", "v").collect()))
     assert whole.where("v is not null").count() > 200
+
+
+def test_name_based_ids(spark):
+    import uuid
+
+    names = ["", "a", "clause|basis|1 IAC 2-3", "é"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(files.uuid5(str(uuid.NAMESPACE_URL), F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+
+
+def test_people_attributes_and_reports(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('person_id,roles,verticals\n1," a; b ;;",\n2,,"x"\n')
+    assert [tuple(r) for r in files.read_people(spark, str(tmp_path / "p.csv")).orderBy("person_id").collect()] == [("1", ["a", "b"], []), ("2", [], ["x"])]
+    (tmp_path / "c.yaml").write_text("name: x\n\napplicability_attributes:\n  a: true\n  b: No  # why\n\n  # a note\n  c: 5.5\n  d: 'yes'\n  e: some text\nnext:\n  f: 1\n")
+    got = {r.key: (r.value_text, r.value_num, r.value_bool) for r in files.read_attributes(spark, str(tmp_path / "c.yaml")).collect()}
+    assert got == {"a": ("True", None, True), "b": ("False", None, False), "c": ("5.5", 5.5, None), "d": ("yes", None, None), "e": ("some text", None, None)}
+    checks = spark.createDataFrame([("c", 0, True)], "check_name string, n_violations long, passed boolean")
+    files.write_report(spark.createDataFrame([("n", 3)], "name string, n long"), spark.createDataFrame([("x", "m"), ("x", "l")], "code string, message string"), checks, str(tmp_path / "r"))
+    report = json.loads(next((tmp_path / "r").glob("part-*.json")).read_text())
+    assert report == {"stats": {"n": 3}, "issues": [{"code": "x", "n": 2, "first": "l"}], "checks": [{"check_name": "c", "n_violations": 0, "passed": True}], "passed": True}
