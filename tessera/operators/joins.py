@@ -106,6 +106,15 @@ def tree(ids: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.max_by(hit, F.when(F.col("there").isNotNull(), F.length("above"))).alias("parent_id"), F.count("there").alias("depth"))
 
 
+def tree_filter(nodes: DataFrame, key: str, shown: Column, found: Column) -> DataFrame:
+    """nodes of a tree by dotted ids: of those that may be shown the ones that are found, with everything above them; hit says which were found."""
+    rows = nodes.where(F.coalesce(shown, F.lit(False))).withColumn("hit", F.coalesce(found, F.lit(False)))
+    parts = F.split(key, r"\.")
+    way = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    kept = rows.where("hit").select(F.explode(way).alias(key)).distinct()
+    return rows.join(kept, key, "left_semi")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """df with each row's place in a whole order, from 1: rows are dealt to partitions by ranges of the order, counted there, and each partition starts behind those before it. Only one count a partition meets in one task."""
     from tessera.operators.stages import kept

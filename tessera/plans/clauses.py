@@ -423,3 +423,26 @@ select clause_id as definition_clause_id, term, case when term like '%ss' or not
 def found_terms(t, spark):
     """Terms that clauses define: bold, quoted, or by the heading alone."""
     return C.terms(C.role(company_units(t))).select("definition_clause_id", "term", "term_norm", "cites_regulatory_definition")
+
+
+#: The rules of roles in SQL.
+ROLE = "case when p_size % 13 = 9 then 'internal_target' when p_size % 13 = 10 then 'company_position' when m >= 36 then 'template_field' when section_kind = 'definitions' or p_size % 13 = 11 then 'definition' when section_kind in ('approval', 'front_matter') then 'boilerplate' when m between 30 and 35 then case when n_citations > 0 then 'regulatory_restatement' else 'internal_procedure' end end"
+
+
+@query("C4_assessable_clauses", f"""with {UNITS}, r as (select *, {ROLE} as role from u), e as (select * from r where section_kind <> 'approval' and (role is null or role <> 'boilerplate')), d as (select doc_id, count(*) as n, min(heading) as title from u group by 1) select clause_id, doc_id, title, n as n_clauses from e join d using (doc_id)""")
+def assessable_clauses(t, spark):
+    """Clauses that can be assessed, with their documents."""
+    units = company_units(t)
+    docs = units.groupBy("doc_id").agg(F.count("*").alias("n_clauses"), F.min(F.get("heading_path", 0)).alias("title"))
+    return C.role(units).where("assessable").join(docs, "doc_id").select("clause_id", "doc_id", "title", "n_clauses")
+
+
+@query("D18_role_agreement", f"""with {UNITS}, r as (select *, {ROLE} as got, case when m >= 36 then 'template_field' when section_kind = 'definitions' then 'definition' when p_size % 13 = 10 then 'company_position' when section_kind = 'approval' then 'boilerplate' else 'none' end as want from u)
+select want, count(*) as n, count_if(coalesce(got, 'none') = want) as n_agree, round(count_if(coalesce(got, 'none') = want) / count(*), 6) as share, count(distinct case when coalesce(got, 'none') <> want then coalesce(got, 'none') end) as n_kinds_missed from r group by 1""")
+def role_agreement(t, spark):
+    """Roles by the rules beside a reader's, by what the reader says: how many agree, and how many other roles were given."""
+    section, kind = F.col("section_kind"), F.col("unit_kind")
+    want = F.when(kind == "form_field", "template_field").when(section == "definitions", "definition").when(F.col("text_raw").startswith("Company position"), "company_position").when(section == "approval", "boilerplate").otherwise("none")
+    df = C.role(company_units(t)).select(want.alias("want"), F.coalesce("role", F.lit("none")).alias("got"))
+    agree = F.col("want") == F.col("got")
+    return df.groupBy("want").agg(F.count("*").alias("n"), F.count_if(agree).alias("n_agree"), F.round(F.count_if(agree) / F.count("*"), 6).alias("share"), F.count_distinct(F.when(~agree, F.col("got"))).alias("n_kinds_missed"))

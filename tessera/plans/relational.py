@@ -524,3 +524,21 @@ def clause_tree(t, spark):
     digits = F.filter(F.split(F.col("p_partkey").cast("string"), ""), lambda d: d != "")
     ids = kept(t("part").select(F.array_join(digits, ".").alias("id")))
     return joins.tree(ids, "id")
+
+
+@query("B21_tree_filter", """with i as (select array_to_string(string_split(cast(p_partkey as varchar), ''), '.') as id, p_size <> 13 as shown, contains(p_name, 'red') as found from part), m as (select id from i where shown and found)
+select id, found as hit from i where shown and exists (select 1 from m where m.id = i.id or starts_with(m.id, i.id || '.'))""")
+def tree_filter(t, spark):
+    """A section tree without what is hidden, down to the sections that a word is found in."""
+    digits = F.filter(F.split(F.col("p_partkey").cast("string"), ""), lambda d: d != "")
+    nodes = kept(t("part").select(F.array_join(digits, ".").alias("id"), "p_size", "p_name"))
+    return joins.tree_filter(nodes, "id", F.col("p_size") != 13, F.contains("p_name", F.lit("red"))).select("id", "hit")
+
+
+@query("D31_samples_of_groups", """with g as (select l_partkey as k, count(*) as n from lineitem where l_quantity > 30 group by 1), s as (select l_partkey as k, count(*) as m from lineitem where l_returnflag = 'R' group by 1)
+select k as l_partkey, coalesce(n, 0) as n_group, coalesce(m, 0) as n_sample, coalesce(m, 0) <= coalesce(n, 0) as is_within, round(case when n > 0 then coalesce(m, 0) / n end, 6) as share from g full join s using (k)""")
+def samples_of_groups(t, spark):
+    """Each group's sample beside the group: one aggregate has both."""
+    n = lambda c, name: F.count_if(F.expr(c)).alias(name)
+    g = t("lineitem").groupBy("l_partkey").agg(n("l_quantity > 30", "n_group"), n("l_returnflag = 'R'", "n_sample")).where("n_group + n_sample > 0")
+    return g.select("l_partkey", "n_group", "n_sample", (F.col("n_sample") <= F.col("n_group")).alias("is_within"), F.round(F.when(F.col("n_group") > 0, F.col("n_sample") / F.col("n_group")), 6).alias("share"))
