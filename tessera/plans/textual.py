@@ -187,7 +187,16 @@ def clause_normal(t, spark):
     return t("documents").select("doc_id", F.md5(T.clause_normal("text")).alias("digest"))
 
 
-@query("A4_page_sections")
+def plain_sql(x: str) -> str:
+    """The text of marked-up text: tags are spaces, references the pages' four."""
+    bare = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for name, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{name}', '{c}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+
+@query("A4_page_sections", f"""with p as (select page_id, regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->|<![^>]*>', '', 'gs') as h from pages)
+select page_id, 0 as section, '' as heading, {plain_sql("split_part(h, '<h1>', 1)")} as body from p union all select page_id, 1, {plain_sql("split_part(split_part(h, '<h1>', 2), '</h1>', 1)")}, {plain_sql("split_part(h, '</h1>', 2)")} from p where contains(h, '<h1>')""")
 def page_sections(t, spark):
     from tessera.sources.html import sections
 
