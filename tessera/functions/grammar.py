@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from tessera.functions.text import QUALIFIERS
 from tessera.functions.values import ONES
 from tessera.functions.values import TENS as TEN_WORDS
 
@@ -21,7 +22,7 @@ SPANS = ArrayType(SPAN)
 # How citations and quantities are written.
 NUMBERS = {w: i for i, w in enumerate(ONES)}
 TENS = {w: 10 * (i + 2) for i, w in enumerate(TEN_WORDS)}
-UNITS = ["second", "minute", "hour", "day", "week", "month", "quarter", "year", "percent", "foot", "feet", "inch", "mile", "meter", "pound", "gallon", "volt", "kilovolt", "kv", "kw", "kwh", "mw", "mwh"]
+UNITS = ["second", "minute", "hour", "day", "week", "month", "quarter", "year", "percent", "foot", "feet", "inch", "mile", "meter", "pound", "gallon", "volt", "kilovolt", "kv", "kw", "kwh", "mw", "mwh", "kva", "customer"]
 NUMBER = r"(?:\d[\d,]*(?:\.\d+)?|" + "|".join([*TENS, *NUMBERS]) + r")(?:-(?:" + "|".join(list(NUMBERS)[1:10]) + r"))?"
 FORMS = (
     ("cfr", re.compile(r"(\d+)\s+C\.?F\.?R\.?\s+(?:[Pp]arts?\s+|§+\s*)?(\d+)(?:\.(\d+)(?:\s*(?:through|to|-)\s*(?:\d+\.)?(\d+))?)?")),
@@ -186,6 +187,37 @@ def find_parameters(text: str) -> list[dict]:
     return sorted(out, key=lambda p: p["start"])
 
 
+QUANTITY_KIND = StructType([*PARAMETER.fields, StructField("qualifier", StringType())])
+#: What the sentence round a quantity makes of it, the first that fits.
+CONTEXTS = (("record_retention", re.compile(r"\b(?:retain|keep)\b")), ("deadline", re.compile(r"\bby\b|\bno\s+later\s+than\b|\bdue\b")), ("threshold", re.compile(r"\bor\s+more\b|\bexceeds?\b|\bgreater\s+than\b")), ("frequency", re.compile(r"\b(?:every|per|annually|each\s+year)\b")))
+QUALIFYING = tuple((re.compile(p, re.IGNORECASE), name) for p, name in QUALIFIERS)
+SENTENCE_END = re.compile(r"[.;!?]\s|\n")
+
+
+def qualifier_of(text: str, start: int, tokens: int = 6) -> str | None:
+    """What the last qualifier among the words before a place says."""
+    window = " ".join(text[max(0, start - 200) : start].split()[-tokens:])
+    found = [(m.end(), -i, name) for i, (form, name) in enumerate(QUALIFYING) for m in form.finditer(window)]
+    return max(found)[2] if found else None
+
+
+def find_quantities(text: str) -> list[dict]:
+    """find_parameters() with qualifiers, and kinds by the sentence: amounts, retention, deadlines, thresholds, frequencies, periods, numbers. Bare numbers and words of frequency aren't quantities here."""
+    out, ends = [], [m.start() for m in SENTENCE_END.finditer(text)] if text else []
+    for p in find_parameters(text):
+        if p["unit"] is None or p["value_num"] is None:
+            continue
+        i = bisect_left(ends, p["start"])
+        around = text[ends[i - 1] if i else 0 : ends[i] if i < len(ends) else len(text)].lower()
+        what = qualifier_of(text, p["start"])
+        timed = p["unit"] in UNITS[:8]
+        kind = "amount" if p["unit"] == "dollar" else next((k for k, form in CONTEXTS if form.search(around)), None)
+        if kind is None:
+            kind = "threshold" if what in ("at_least", "not_more_than") and not timed else "period" if timed else "number"
+        out.append({**p, "kind": kind, "qualifier": what})
+    return out
+
+
 def folded(text: str) -> tuple[str, list[int]]:
     """A text in the form in which quotes are compared, and each of its characters' place in the original."""
     import unicodedata
@@ -226,6 +258,11 @@ def parameters(text: pa.Array) -> pa.Array:
     return pa.array([find_parameters(t) if t else [] for t in text.to_pylist()], arrow_type(PARAMETER))
 
 
+@F.arrow_udf(ArrayType(QUANTITY_KIND))
+def quantities(text: pa.Array) -> pa.Array:
+    return pa.array([find_quantities(t) if t else [] for t in text.to_pylist()], arrow_type(QUANTITY_KIND))
+
+
 @F.pandas_udf(SPAN)
 def quote_span(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     found = [locate(t or "", q or "") or (None, None) for t, q in zip(text, quote, strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -61,6 +63,83 @@ def parameters(t, spark):
     return spread(df.select("k", "text")).select("k", F.explode(G.parameters("text")).alias("p")).select("k", "p.kind", "p.value_num", "p.unit", "p.day_type")
 
 
+#: Sentences with a number n (1 to 90) and what they say: kind, value, unit, kind of day, qualifier.
+SENTENCES = (
+    ("The utility shall respond within {n} business days.", "period", "n", "day", "business", "within"),
+    ("A {n}-day notice period applies", "period", "n", "day", None, None),
+    ("Pay a fee of ${n}.00 at once", "amount", "n", "dollar", None, None),
+    ("It covers {n},500 customers; that is all.", "number", "n * 1000 + 500", "customer", None, None),
+    ("File it no later than {n} days after", "deadline", "n", "day", None, "not_more_than"),
+    ("Give at least {n} hours of notice", "period", "n", "hour", None, "at_least"),
+    ("Retain the records for {n} years.", "record_retention", "n", "year", None, None),
+    ("Spills of {n} gallons or more are told", "threshold", "n", "gallon", None, None),
+    ("Inspect every {n} days", "frequency", "n", "day", None, None),
+    ("Not more than {n} percent may be lost", "threshold", "n", "percent", None, "not_more_than"),
+    ("The report is due within {n} calendar days", "deadline", "n", "day", "calendar", "within"),
+    ("Lines of not less than {n} kV count", "threshold", "n", "kv", None, "at_least"),
+    ("Come prior to {n} minutes; keep nothing", "period", "n", "minute", None, "prior_to"),
+    ("exactly {n} working days, 170 IAC 4-1-{n} says", "period", "n", "day", "working", "exactly"),
+    ("Call 555-{n}12 about form CS-F-{n}1 and sheet {n}", None, None, None, None, None),
+    ("After {n} months it exceeds the rest", "threshold", "n", "month", None, "after"),
+)
+
+
+def quantity_sql() -> str:
+    said = lambda x: "null" if x is None else f"'{x}'"
+    rows = [f"select k, {said(kind)} as kind, cast({value} as double) as value_num, {said(unit)} as unit, {said(day)} as day_type, {said(what)} as qualifier from (select o_orderkey as k, o_custkey % 90 + 1 as n from orders where o_orderkey % {len(SENTENCES)} = {i}) q" for i, (_, kind, value, unit, day, what) in enumerate(SENTENCES) if kind]
+    return " union all ".join(rows)
+
+
+@query("H11_quantities", quantity_sql())
+def sentence_quantities(t, spark):
+    """Quantities of sixteen kinds of sentences, with what qualifies them and what the sentence makes of them."""
+    n = (F.col("o_custkey") % 90 + 1).cast("string")
+    text = F.lit(None).cast("string")
+    for i, (form, *_) in enumerate(SENTENCES):
+        parts = [p for k, x in enumerate(form.split("{n}")) for p in ((n, F.lit(x)) if k else (F.lit(x),))]
+        text = F.when(F.col("o_orderkey") % len(SENTENCES) == i, F.concat(*parts)).otherwise(text)
+    df = spread(t("orders").select(F.col("o_orderkey").alias("k"), text.alias("text")))
+    return df.select("k", F.explode(G.quantities("text")).alias("p")).select("k", "p.kind", "p.value_num", "p.unit", "p.day_type", "p.qualifier")
+
+
+#: Citations in sixteen forms, and what they name.
+CITED = (
+    ("170 IAC {a}-{b}-{c}", ["170 IAC {a}-{b}-{c}"]),
+    ("see 327 IAC {a}-6.1-{c}(b)(2)(i), above", ["327 IAC {a}-6.1-{c}"]),
+    ("under 170 IAC {a}-{b}", ["170 IAC {a}-{b}"]),
+    ("170 IAC {a}-{b}-4 through {a}-{b}-6 and more", ["170 IAC {a}-{b}-4", "170 IAC {a}-{b}-5", "170 IAC {a}-{b}-6"]),
+    ("170 IAC {a}-{b}-4 .. {a}-{b}-5", ["170 IAC {a}-{b}-4", "170 IAC {a}-{b}-5"]),
+    ("170 IAC {a}-{b}-16.5(a)", ["170 IAC {a}-{b}-16.5"]),
+    ("Commission Rule 16 [170 IAC {a}-{b}-16]", ["170 IAC {a}-{b}-16"]),
+    ("IC {a}-{b}-2-{c} says", ["IC {a}-{b}-2-{c}"]),
+    ("40 CFR {c}", ["40 CFR {c}"]),
+    ("29 CFR 1910.{c} and 40 C.F.R. Part {c}", ["29 CFR 1910.{c}", "40 CFR {c}"]),
+    ("42 U.S.C. § {c}", ["42 USC {c}"]),
+    ("IEEE {c}-2012", ["IEEE {c}-2012"]),
+    ("NFPA {c} or ASTM D{c}", ["NFPA {c}", "ASTM D{c}"]),
+    ("no citation, only {c} IAC or CFR {c}", []),
+    ("18 CFR {c}.1 through {c}.3", ["18 CFR {c}.1", "18 CFR {c}.2", "18 CFR {c}.3"]),
+    ("the rule at 170 IAC {a}-{b}-7 through {a}-{b}-7", ["170 IAC {a}-{b}-7"]),
+)
+
+
+def cited_sql() -> str:
+    filled = lambda f: "concat(" + ", ".join(f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(re.split(r"\{(\w)\}", f))) + ")"
+    return " union all ".join(f"select k, {filled(f)} as citation from (select o_orderkey as k, o_custkey % 9 + 1 as a, o_orderkey % 7 + 1 as b, o_custkey % 80 + 1 as c from orders where o_orderkey % {len(CITED)} = {i}) q" for i, (_, names) in enumerate(CITED) for f in names)
+
+
+@query("H7_citation_forms", cited_sql())
+def citation_forms(t, spark):
+    """Citations of sixteen forms: ranges as their sections, subsections under theirs, brackets, decimals."""
+    numbers = {"a": F.col("o_custkey") % 9 + 1, "b": F.col("o_orderkey") % 7 + 1, "c": F.col("o_custkey") % 80 + 1}
+    text = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(CITED):
+        parts = [F.lit(x) if j % 2 == 0 else numbers[x].cast("string") for j, x in enumerate(re.split(r"\{(\w)\}", form))]
+        text = F.when(F.col("o_orderkey") % len(CITED) == i, F.concat(*parts)).otherwise(text)
+    df = spread(t("orders").select(F.col("o_orderkey").alias("k"), text.alias("text")))
+    return df.select("k", F.explode(G.citations("text")).alias("c")).select("k", "c.citation")
+
+
 @query("H11_excluded_numbers", f"select k, cast(d * 1000 as double) as value_num from {O}")
 def excluded_numbers(t, spark):
     """Phone numbers, form numbers and versions are no parameters; thousands in words are."""

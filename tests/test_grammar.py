@@ -143,3 +143,70 @@ def test_rendered_diff_and_spans(spark):
     assert [r[0] for r in q.select(T.qualifier(F.col("t"), F.col("p"))).collect()] == ["not_more_than", None, "not_more_than", None, None]
     d = spark.createDataFrame([("x Jan. 3, 2001 y 2/4/2002 z",), ("Sept. 9, 1999",), ("2001-02-30",), (None,)], "t string")
     assert [str(r[0]) for r in d.select(T.last_date(F.col("t"))).collect()] == ["2002-02-04", "1999-09-09", "None", "None"]
+
+
+QUANTITY_CASES = [
+    ("Submit within 10 business days of receipt.", ("period", 10, "day", "business", "within")),
+    ("a 30-day notice period", ("period", 30, "day", None, None)),
+    ("fourteen (14) calendar days", ("period", 14, "day", "calendar", None)),
+    ("a $45.00 fee", ("amount", 45, "dollar", None, None)),
+    ("affecting 2,500 customers", ("number", 2500, "customer", None, None)),
+    ("no later than 30 days", ("deadline", 30, "day", None, "not_more_than")),
+    ("at least 24 hours", ("period", 24, "hour", None, "at_least")),
+    ("Retain records for 7 years", ("record_retention", 7, "year", None, None)),
+    ("Keep for three years", ("record_retention", 3, "year", None, None)),
+    ("exceeds 1,000 gallons", ("threshold", 1000, "gallon", None, None)),
+    ("every 30 days", ("frequency", 30, "day", None, None)),
+    ("ten percent", ("number", 10, "percent", None, None)),
+    ("due within 5 business days", ("deadline", 5, "day", "business", "within")),
+    ("at least 34 kV", ("threshold", 34, "kv", None, "at_least")),
+    ("prior to 60 days", ("period", 60, "day", None, "prior_to")),
+    ("not less than 3 hours", ("period", 3, "hour", None, "at_least")),
+    ("exactly 15 minutes", ("period", 15, "minute", None, "exactly")),
+    ("after 6 months", ("period", 6, "month", None, "after")),
+    ("greater than 5000 customers", ("threshold", 5000, "customer", None, None)),
+    ("five hundred meters", ("number", 500, "meter", None, None)),
+    ("twenty-five percent", ("number", 25, "percent", None, None)),
+    ("two years", ("period", 2, "year", None, None)),
+    ("a 25 kVA unit", ("number", 25, "kva", None, None)),
+    ("$1,200 per event", ("amount", 1200, "dollar", None, None)),
+    ("3 working days", ("period", 3, "day", "working", None)),
+    ("100 miles", ("number", 100, "mile", None, None)),
+    ("5% of load", ("number", 5, "percent", None, None)),
+    ("not more than 8 gallons", ("threshold", 8, "gallon", None, "not_more_than")),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), QUANTITY_CASES)
+def test_quantities(text, want):
+    got = G.find_quantities(text)
+    assert [(p["kind"], p["value_num"], p["unit"], p["day_type"], p["qualifier"]) for p in got] == [want]
+    assert text[got[0]["start"] : got[0]["stop"]].strip() == got[0]["value_text"]
+
+
+@pytest.mark.parametrize("text", ["Call 555-1234", "1-800-555-0199", "317-555-0100", "See OBL-0012-0034", "form DCC-F-042", "Sheet No. 45", "version v2.1", "Clause 42 applies", "It is done annually.", ""])
+def test_what_is_no_quantity(text):
+    assert G.find_quantities(text) == []
+
+
+CITATION_CASES = [
+    ("170 IAC 4-1-16", ["170 IAC 4-1-16"]),
+    ("  327 IAC 2-6.1-7 ", ["327 IAC 2-6.1-7"]),
+    ("170 IAC 4-1-16(b)(2)(i)", ["170 IAC 4-1-16"]),
+    ("170 IAC 4-1-4 through 4-1-14", [f"170 IAC 4-1-{i}" for i in range(4, 15)]),
+    ("170 IAC 4-1-4 .. 4-1-6", ["170 IAC 4-1-4", "170 IAC 4-1-5", "170 IAC 4-1-6"]),
+    ("170 IAC 4-1-7 through 4-1-7", ["170 IAC 4-1-7"]),
+    ("327 IAC 2-6.1", ["327 IAC 2-6.1"]),
+    ("federal standard [40 CFR 112]", ["40 CFR 112"]),
+    ("29 CFR 1910.269", ["29 CFR 1910.269"]),
+    ("IC 14-22-2-1", ["IC 14-22-2-1"]),
+    ("42 U.S.C. § 7401", ["42 USC 7401"]),
+    ("IEEE C37.90", ["IEEE C37.90"]),
+    ("ASTM D877 and NFPA 70", ["ASTM D877", "NFPA 70"]),
+    ("some random text", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), CITATION_CASES)
+def test_citation_forms(text, want):
+    assert [c["citation"] for c in G.find_citations(text)] == want
