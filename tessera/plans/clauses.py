@@ -334,17 +334,17 @@ def leaks(t, spark):
 #: Parts as clauses of documents of forty: numbered sections, rules, rows of registers, forms and definitions; what they say is one of thirteen wordings around the part's name.
 K, N = "p_partkey", "(p_partkey % 40)"
 UNIT_FIELDS = {
-    "doc_id": f"concat('RPL-CS-PRO-', cast({K} div 40 as string))",
+    "doc_id": f"concat('ACM-CS-PRO-', cast({K} div 40 as string))",
     "local_id": f"case when {N} < 25 then cast({N} + 1 as string) when {N} < 30 then concat('R', cast({N} as string), '.1') when {N} < 33 then concat('OBL-', lpad(cast({K} % 5000 as string), 4, '0'), '-', lpad(cast({N} as string), 4, '0')) when {N} < 36 then concat('RRS-AB-', lpad(cast({K} % 700 as string), 3, '0')) else concat('App-A.F', cast({N} as string)) end",
     "unit_kind": f"case when {N} < 25 then 'section' when {N} < 30 then 'tariff_subrule' when {N} < 36 then 'register_row' else 'form_field' end",
     "section_kind": "case p_size % 7 when 0 then 'definitions' when 1 then 'approval' when 2 then 'front_matter' else 'procedure' end",
     "heading": f"case when {N} >= 36 then concat('Form CS-F-', lpad(cast({K} % 600 as string), 3, '0')) when p_size % 7 = 0 then concat('Defined ', p_type, 's') else 'What is done here' end",
     "sheet_no": f"case when {N} between 25 and 29 then cast({K} % 300 as string) end",
     "n_citations": "p_size % 3",
-    "cells": f"case when {N} between 30 and 35 then concat('Rule 2', cast({K} % 10 as string), '; CS-F-', lpad(cast({K} % 600 as string), 3, '0'), ', RPL-CS-PRO-', cast({K} div 80 as string), ' ;; ', p_name) end",
+    "cells": f"case when {N} between 30 and 35 then concat('Rule 2', cast({K} % 10 as string), '; CS-F-', lpad(cast({K} % 600 as string), 3, '0'), ', ACM-CS-PRO-', cast({K} div 80 as string), ' ;; ', p_name) end",
     "text_raw": f"""case p_size % 13
-        when 0 then concat('For ', p_name, ' see RPL-CS-PRO-', cast({K} div 80 as string), ', which says more.')
-        when 1 then concat('As RPL-CS-PRO-', cast({K} div 80 as string), ':', cast({K} % 25 + 1 as string), ' says, ', p_name, ' stay.')
+        when 0 then concat('For ', p_name, ' see ACM-CS-PRO-', cast({K} div 80 as string), ', which says more.')
+        when 1 then concat('As ACM-CS-PRO-', cast({K} div 80 as string), ':', cast({K} % 25 + 1 as string), ' says, ', p_name, ' stay.')
         when 2 then concat('Under §', cast({K} % 30 + 1 as string), ' of this, ', p_name)
         when 3 then concat(p_name, ' are on Sheet No. ', cast({K} % 320 as string))
         when 4 then concat('Sheets Nos. ', cast({K} % 300 as string), '-', cast({K} % 300 + 3 as string), ' hold ', p_name)
@@ -353,7 +353,7 @@ UNIT_FIELDS = {
         when 7 then concat('Keep ', p_name, ' by RRS-AB-', lpad(cast({K} * 3 % 700 as string), 3, '0'), '.')
         when 8 then concat('OBL-', lpad(cast({K} * 3 % 5000 as string), 4, '0'), '-', lpad(cast({K} % 3 + 30 as string), 4, '0'), ' binds ', p_name)
         when 9 then concat('Internal performance target: ', p_name)
-        when 10 then concat('Company position: ', p_name, ', RPL-XX-PRO-1 and Rules 9')
+        when 10 then concat('Company position: ', p_name, ', ACM-XX-PRO-1 and Rules 9')
         when 11 then concat('**', p_name, 's** means what §1 says')
         else concat('"', p_name, '" is plain') end""",
 }
@@ -365,8 +365,8 @@ def duck(expression: str) -> str:
 
 UNITS = f"""u0 as (select p_partkey as k, p_name, p_type, p_size, p_partkey % 40 as m, {", ".join(f"{duck(e)} as {n}" for n, e in UNIT_FIELDS.items())} from part), u as (select *, doc_id || ':' || local_id as clause_id from u0)"""
 #: What each wording refers to, in SQL by itself: (type, target) by the wording's number, and the parts of list cells.
-REFERRED = """r as (select clause_id, doc_id, unit_kind, k, 0 as n, 'references_doc' as t, 'RPL-CS-PRO-' || k // 80 as x from u where p_size % 13 in (0, 1)
-union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', 'RPL-CS-PRO-' || k // 80 || ':' || (k % 25 + 1) from u where p_size % 13 = 1
+REFERRED = """r as (select clause_id, doc_id, unit_kind, k, 0 as n, 'references_doc' as t, 'ACM-CS-PRO-' || k // 80 as x from u where p_size % 13 in (0, 1)
+union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', 'ACM-CS-PRO-' || k // 80 || ':' || (k % 25 + 1) from u where p_size % 13 = 1
 union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', doc_id || ':' || (k % 30 + 1) from u where p_size % 13 = 2
 union all select clause_id, doc_id, unit_kind, k, 1, 'references_clause', doc_id || ':1' from u where p_size % 13 = 11
 union all select clause_id, doc_id, unit_kind, k, 1, 'references_tariff', 'sheet:' || k % 320 from u where p_size % 13 = 3
@@ -377,7 +377,7 @@ union all select clause_id, doc_id, unit_kind, k, 1, 'references_record_series',
 union all select clause_id, doc_id, unit_kind, k, 1, 'references_obligation', 'OBL-' || lpad((k * 3 % 5000)::varchar, 4, '0') || '-' || lpad((k % 3 + 30)::varchar, 4, '0') from u where p_size % 13 = 8
 union all select clause_id, doc_id, unit_kind, k, 2, 'references_tariff', 'rule:2' || k % 10 from u where m between 30 and 35
 union all select clause_id, doc_id, unit_kind, k, 3, 'references_form', 'CS-F-' || lpad((k % 600)::varchar, 3, '0') from u where m between 30 and 35
-union all select clause_id, doc_id, unit_kind, k, 4, 'references_doc', 'RPL-CS-PRO-' || k // 80 from u where m between 30 and 35
+union all select clause_id, doc_id, unit_kind, k, 4, 'references_doc', 'ACM-CS-PRO-' || k // 80 from u where m between 30 and 35
 union all select clause_id, doc_id, unit_kind, k, 5, 'references_doc', p_name from u where m between 30 and 35),
 refs as (select clause_id, doc_id, unit_kind, t as ref_type, x as target, min(n) as n from r group by all)"""
 

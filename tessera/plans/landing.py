@@ -390,7 +390,7 @@ def isolated_stream(t, spark):
 
 
 def as_markdown(docs):
-    """Documents as Markdown (doc_id RPL-DOC-<n>): of their sentences, by length, some are headings, some follow a clause's marker, some are rows of a table or stand in a fence."""
+    """Documents as Markdown (doc_id ACM-DOC-<n>): of their sentences, by length, some are headings, some follow a clause's marker, some are rows of a table or stand in a fence."""
     key = F.col("key")
     sentences = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), r"(?<=[.!?]) ")
 
@@ -406,7 +406,7 @@ def as_markdown(docs):
             .otherwise(s)
         )
 
-    named = docs.select(F.concat(F.lit("RPL-DOC-"), F.col("doc_id").cast("string")).alias("key"), "text")
+    named = docs.select(F.concat(F.lit("ACM-DOC-"), F.col("doc_id").cast("string")).alias("key"), "text")
     return named.select(key.alias("doc_id"), F.array_join(F.transform(sentences, line), "\n").alias("text"))
 
 

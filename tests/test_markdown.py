@@ -91,7 +91,7 @@ def random_markdown(rng, doc):
             lines.append("#" * rng.randint(1, 4) + " " + rng.choice(["Purpose", "Scope and roles", "Odd", "Training"]))
         elif what < 6:
             local = rng.choice(["1", "1.1", "1.1.2", "2.3a", "App-A", "App-A.F1", "R01", "R01.2", "S1.2", "odd!"])
-            lines.append(f"<!-- {rng.choice(['', 'clause: '])}{rng.choice([doc, 'RPL-X-1'])}:{local} -->")
+            lines.append(f"<!-- {rng.choice(['', 'clause: '])}{rng.choice([doc, 'ACM-X-1'])}:{local} -->")
         elif what == 6:
             lines.append(rng.choice(["```", "~~~", "````python", "```mermaid"]))
         elif what == 7:
@@ -115,7 +115,7 @@ def rows_of(df):
 def test_units_equal_a_plain_walk(spark, size):
     """Also where documents are cut at every safe line."""
     rng = random.Random(size)
-    docs = {f"RPL-CS-{i}": random_markdown(rng, f"RPL-CS-{i}") for i in range(150)}
+    docs = {f"ACM-CS-{i}": random_markdown(rng, f"ACM-CS-{i}") for i in range(150)}
     want = {k: u for k, t in docs.items() if (u := walk(k, t))}
     got = rows_of(markdown.segments(spark.createDataFrame(list(docs.items()), "doc_id string, text string"), size))
     assert got == want and sum(map(len, want.values())) > 1000
@@ -131,7 +131,7 @@ def test_documents_as_markdown_equal_a_plain_walk(spark):
 def test_cuts_leave_whole_documents():
     rng, n = random.Random(1), 0
     for _ in range(200):
-        text = random_markdown(rng, "RPL-CS-1")
+        text = random_markdown(rng, "ACM-CS-1")
         cuts = [a for a, _ in markdown.safe_cuts(text, 1)]
         n += len(cuts)
         assert all(text[a] == "#" for a in cuts)
@@ -139,7 +139,7 @@ def test_cuts_leave_whole_documents():
 
 
 def test_kinds_and_nulls(spark):
-    text = "# Roles and Responsibilities\n## x\n<!-- RPL-A-1:R01.D01 -->\nwords\n## Appendix\n<!-- RPL-A-1:App-B.F2 -->\n"
-    rows = markdown.segments(spark.createDataFrame([("RPL-A-1", text), ("b", None), ("c", "")], "doc_id string, text string")).collect()
+    text = "# Roles and Responsibilities\n## x\n<!-- ACM-A-1:R01.D01 -->\nwords\n## Appendix\n<!-- ACM-A-1:App-B.F2 -->\n"
+    rows = markdown.segments(spark.createDataFrame([("ACM-A-1", text), ("b", None), ("c", "")], "doc_id string, text string")).collect()
     assert sorted((r.local_id, r.unit_kind, r.section_kind) for r in rows) == [("App-B.F2", "form_field", "appendix"), ("R01.D01", "tariff_subrule", "roles")]
     assert markdown.segments(spark.createDataFrame([], "doc_id string, text string")).count() == 0
