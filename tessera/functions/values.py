@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 REPLACED = StructType().add("text", StringType()).add("old_form", StringType()).add("new_form", StringType())
 
@@ -29,6 +30,35 @@ def words_of(n: int) -> str | None:
     return " ".join(parts)
 
 
+SMALL = {w: i for i, w in enumerate(ONES)} | {w: 10 * (i + 2) for i, w in enumerate(TENS)}
+
+
+def number_in(text: str | None) -> int | None:
+    """The number that words say, below a million; None if they say none. "and" and hyphens may stand between."""
+    words = [w for w in re.split(r"[\s-]+", (text or "").strip().lower()) if w and w != "and"]
+    total, part = 0, None
+    for w in words:
+        if w in SMALL:
+            part = (part or 0) + SMALL[w]
+        elif w == "hundred" and part is not None:
+            part *= 100
+        elif w == "thousand" and part is not None:
+            total, part = total + part * 1000, 0
+        else:
+            return None
+    return total + part if part is not None else None
+
+
+@F.arrow_udf(LongType())
+def numbers_in(text: pa.Array) -> pa.Array:
+    return pa.array([number_in(t) for t in text.to_pylist()], pa.int64())
+
+
+@F.arrow_udf(StringType())
+def in_words(n: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else words_of(x) for x in n.to_pylist()], pa.string())
+
+
 def like(shape: str, word: str) -> str:
     """word in capitals, or with one, as shape is."""
     return word.upper() if len(shape) > 1 and shape.isupper() else word[0].upper() + word[1:] if shape[:1].isupper() else word

@@ -173,6 +173,43 @@ def rule_key(t, spark):
     return orders(t).select("k", T.rule_key(state).alias("state"), T.rule_key(federal).alias("federal"))
 
 
+#: Citations in nine forms, their rule and the section that they are in.
+KEYED = (
+    ("170 IAC {a}-{b}-{c}(b)(2)", "170 IAC {a}-{b}", "170 IAC {a}-{b}-{c}"),
+    ("327 IAC {a}-6.1-{c}", "327 IAC {a}-6.1", "327 IAC {a}-6.1-{c}"),
+    ("170 IAC {a}-{b}", "170 IAC {a}-{b}", "170 IAC {a}-{b}"),
+    ("40 CFR {c}.{b}(a)(1)(ii)", "40 CFR {c}", "40 CFR {c}.{b}"),
+    ("18 CFR Part {c}", "18 CFR {c}", "18 CFR Part {c}"),
+    ("29 CFR 1910.{c} (e)", "29 CFR 1910", "29 CFR 1910.{c}"),
+    ("170 IAC {a}-{b}-16.5(a)", "170 IAC {a}-{b}", "170 IAC {a}-{b}-16.5"),
+    ("IC {a}-{b}-2", None, "IC {a}-{b}-2"),
+    ("no rule {c}", None, "no rule {c}"),
+)
+
+
+def filled_sql(form: str | None) -> str:
+    return "cast(null as varchar)" if form is None else "concat(" + ", ".join(f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(re.split(r"\{(\w)\}", form))) + ")"
+
+
+@query("H9_rules_of_forms", "select k, " + ", ".join("case " + " ".join(f"when k % {len(KEYED)} = {i} then {filled_sql(f[j])}" for i, f in enumerate(KEYED)) + f" end as {name}" for j, name in ((1, "rule"), (2, "section"))) + " from (select o_orderkey as k, o_custkey % 9 + 1 as a, o_orderkey % 7 + 1 as b, o_custkey % 80 + 1 as c from orders) q")
+def rules_of_forms(t, spark):
+    """The rule of a citation and the section that its subsections are in, in nine forms."""
+    numbers = {"a": F.col("o_custkey") % 9 + 1, "b": F.col("o_orderkey") % 7 + 1, "c": F.col("o_custkey") % 80 + 1}
+    text = F.lit(None).cast("string")
+    for i, (form, *_) in enumerate(KEYED):
+        parts = [F.lit(x) if j % 2 == 0 else numbers[x].cast("string") for j, x in enumerate(re.split(r"\{(\w)\}", form))]
+        text = F.when(F.col("o_orderkey") % len(KEYED) == i, F.concat(*parts)).otherwise(text)
+    return t("orders").select(F.col("o_orderkey").alias("k"), T.rule_key(text).alias("rule"), T.section_level(text).alias("section"))
+
+
+@query("H12_words_and_back", "with w as (select p_partkey, p_partkey % 999 + 1 as n, ['one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'] as o, ['ten','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] as t from part), p as (select *, n // 100 as h, n % 100 as r from w) select p_partkey, n, trim(case when h > 0 then o[h] || ' hundred ' else '' end || case when r = 0 then '' when r < 20 then o[r] when r % 10 = 0 then t[r // 10] else t[r // 10] || '-' || o[r % 10] end) as words from p")
+def words_and_back(t, spark):
+    """Numbers up to 999 in words, and the words as numbers again."""
+    n = (F.col("p_partkey") % 999 + 1).cast("long")
+    words = spread(t("part").select("p_partkey", n.alias("n"))).withColumn("words", V.in_words("n"))
+    return words.select("p_partkey", V.numbers_in("words").alias("n"), "words")
+
+
 @query("H10_section_level", f"select k, {IAC} as section from {O}")
 def section_level(t, spark):
     return written(t, "%d IAC %d-%d-%d(a)(%d)", "a", "b", "c", "d", "d").select("k", T.section_level(F.col("text")).alias("section"))

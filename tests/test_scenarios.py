@@ -135,3 +135,10 @@ def test_word_windows(spark):
         spark.sql("select * from word_windows(table({t}), size => 3, overlap => 3)", t=df).collect()
     with pytest.raises(Exception, match="lacks"):
         spark.sql("select * from word_windows(table({t}), size => 3, overlap => 1)", t=df.drop("turn")).collect()
+
+
+def test_number_words_both_ways():
+    assert all(values.number_in(values.words_of(n)) == n for n in range(1, 1000))
+    assert values.words_of(0) is None and values.words_of(1000) is None and values.words_of(158) == "one hundred fifty-eight"
+    for text, n in [("Two Thousand Five Hundred", 2500), ("one hundred and five", 105), ("thirty five", 35), ("zero", 0), ("hundred", None), ("ten days", None), ("", None), (None, None)]:
+        assert values.number_in(text) == n
