@@ -283,6 +283,44 @@ def cross_refs(t, spark):
     return df.select("k", T.cross_refs(F.col("text")).alias("r")).select("k", F.get("r", 0).alias("first"), F.size("r").cast("long").alias("n"))
 
 
+#: A text with curly quotes, a dash and two spaces, and quotes of it: with plain signs, in capitals, too short, just long enough, another one, with a line break.
+QUOTED = "Each utility \u201cshall file\u201d the report \u2013 number %d \u2013 on  time."
+QUOTES = ('shall file" the report - number %d', "SHALL FILE", "on time", " on time. ", "may file the report", "the\nreport \u2014 number %d")
+
+
+@query("H6_located_quotes", f"""with t as (select k, k % {len(QUOTES)} as i, 'Each utility \u201cshall file\u201d the report \u2013 number ' || k || ' \u2013 on  time.' as t from {O})
+select k, case i when 0 then strpos(t, 'shall') - 1 when 1 then strpos(t, 'shall') - 1 when 3 then strpos(t, 'on  time') - 1 when 5 then strpos(t, 'the report') - 1 end as start, case i when 0 then strpos(t, 'number') + 6 + length(cast(k as varchar)) when 1 then strpos(t, 'shall') + 9 when 3 then length(t) when 5 then strpos(t, 'number') + 6 + length(cast(k as varchar)) end as stop from t""")
+def located_quotes(t, spark):
+    """Where a quote stands in a text, whatever its signs, case and spaces; short ones and others nowhere."""
+    fill = lambda f: F.format_string(f, "k") if "%d" in f else F.lit(f)
+    quote = F.lit(None).cast("string")
+    for i, q in enumerate(QUOTES):
+        quote = F.when(F.col("k") % len(QUOTES) == i, fill(q)).otherwise(quote)
+    df = spread(orders(t).select("k", fill(QUOTED).alias("text"), quote.alias("quote")))
+    return df.select("k", G.quote_span("text", "quote").alias("s")).select("k", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
+
+
+#: What notes refer to, in six forms, and how many different references they hold, by kind.
+NOTES = (
+    ("{f} FR {k}, {f} FR {k} again", "{f} FR {k}", 1),
+    ("see {f} CFR Part {p} and {a} IAC {b}-{c}-{d}", "{f} CFR Part {p}", 2),
+    ("{a} IAC {b}-{c}; {a} IAC {b}-{c}.1-{d}", "{a} IAC {b}-{c}", 2),
+    ("document 20240101-IR-170240001PRA, {a} IAC {b}-{c}-{d}, {f} FR {k}", "{f} FR {k}", 3),
+    ("{f} CFR {p} has no part, and FR {k} no volume", None, 0),
+    ("20240101-IR-170240001FRA and 20240101-IR-170240001FRA", "20240101-IR-170240001FRA", 1),
+)
+
+
+@query("H20_references_of_notes", "select k, " + ", ".join("case " + " ".join(f"when k % {len(NOTES)} = {i} then {said}" for i, said in enumerate(col)) + f" end as {name}" for name, col in (("first", [filled_sql(n[1]) for n in NOTES]), ("n", [f"cast({n[2]} as bigint)" for n in NOTES]))) + f" from {O}")
+def references_of_notes(t, spark):
+    """Register pages, parts, state sections and document numbers, once each."""
+    text = F.lit(None).cast("string")
+    for i, (form, *_) in enumerate(NOTES):
+        parts = [F.lit(x) if j % 2 == 0 else F.col(x).cast("string") for j, x in enumerate(re.split(r"\{(\w)\}", form))]
+        text = F.when(F.col("k") % len(NOTES) == i, F.concat(*parts)).otherwise(text)
+    return orders(t).select("k", T.cross_refs(text).alias("r")).select("k", F.get("r", 0).alias("first"), F.size("r").cast("long").alias("n"))
+
+
 @query("H21_entities", "select o_orderkey as k, 'Alpha' || o_custkey || ' Power Co.' as entity, list_extract([" + ", ".join(f"'{c}'" for c in G.STATES.values()) + "], cast(o_orderkey % 50 + 1 as int)) as state from orders")
 def entities(t, spark):
     """The company in a title, and the state by name."""
