@@ -95,6 +95,15 @@ def match_in_order(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]
     return side(a, "a").join(side(b, "b"), [*keys, "_n"]).drop("_n")
 
 
+def merged_maps(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """One map a key: all its rows' maps put into each other in order, later values of a name in the place of earlier ones; a null value takes a name out again. Merging is the last value of each name, so a key of very many rows is aggregated before it meets."""
+    cells = df.select(*keys, F.struct(*order).alias("_at"), F.explode(column).alias("_name", "_value"))
+    last = cells.groupBy(*keys, "_name").agg(F.max_by(F.struct("_value"), "_at").alias("_last")).where("_last._value is not null")
+    filled = last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_last._value")))).alias(column))
+    empty = F.create_map().cast(df.schema[column].dataType)
+    return df.select(*keys).distinct().join(filled, keys, "left").select(*keys, F.coalesce(column, empty).alias(column))
+
+
 def tree(ids: DataFrame, key: str) -> DataFrame:
     """(key, parent_id, depth) of dotted ids: the longest prefix that is an id too, and how many prefixes are."""
     parts = F.split(key, r"\.")

@@ -542,3 +542,14 @@ def samples_of_groups(t, spark):
     n = lambda c, name: F.count_if(F.expr(c)).alias(name)
     g = t("lineitem").groupBy("l_partkey").agg(n("l_quantity > 30", "n_group"), n("l_returnflag = 'R'", "n_sample")).where("n_group + n_sample > 0")
     return g.select("l_partkey", "n_group", "n_sample", (F.col("n_sample") <= F.col("n_group")).alias("is_within"), F.round(F.when(F.col("n_group") > 0, F.col("n_sample") / F.col("n_group")), 6).alias("share"))
+
+
+@query("H31_merged_in_order", """with c as (select user_id, event_type as name, case when value >= 1 then value end as v, ts, event_id from events union all select user_id, 'last', value, ts, event_id from events), l as (select user_id, name, arg_max_null(v, (ts, event_id)) as v from c group by 1, 2)
+select user_id, coalesce(string_agg(name || '=' || cast(cast(round(v * 100, 0) as bigint) as varchar), ',' order by name) filter (v is not null), '') as merged from l group by 1""")
+def merged_in_order(t, spark):
+    """Each user's events as maps, merged in the order of their times: the last value of each kind, small ones take theirs out."""
+    value = F.when(F.col("value") >= 1, F.col("value"))
+    e = t("events").select("user_id", "ts", "event_id", F.create_map("event_type", value, F.lit("last"), "value").alias("m"))
+    merged = joins.merged_maps(e, ["user_id"], ["ts", "event_id"], "m")
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 100, 0).cast("long").cast("string"))), ",")
+    return merged.select("user_id", text.alias("merged"))
