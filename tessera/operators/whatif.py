@@ -26,7 +26,7 @@ def repeals(changes: DataFrame) -> DataFrame:
 
 def decided(changes: DataFrame, clauses: DataFrame, citations: DataFrame, links: DataFrame, params: DataFrame) -> DataFrame:
     """Candidates of these changes with what the rules say of them."""
-    found = kept(engine.candidates(changes, clauses, citations, links, params).withColumn("skip_reason", F.lit(None).cast("string")))
+    found = engine.candidates(changes, clauses, citations, links, params).withColumn("skip_reason", F.lit(None).cast("string"))
     return engine.decide_by_rules(found, changes, clauses, params)
 
 
