@@ -83,9 +83,10 @@ def reconcile(expected: DataFrame, actual: DataFrame, keys: list[str], values: l
     return both.select(*keys, state.alias("state")).where("state is not null")
 
 
-def neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Edges in both directions, once each, without loops."""
-    return edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).unionByName(edges.select(F.col(dst).alias("node"), F.col(src).alias("other"))).where("node <> other").distinct()
+def neighbours(edges: DataFrame, src: str, dst: str, loops: bool = False) -> DataFrame:
+    """Edges in both directions, once each; links of a node with itself only where ``loops`` asks for them."""
+    both = edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).unionByName(edges.select(F.col(dst).alias("node"), F.col(src).alias("other")))
+    return (both if loops else both.where("node <> other")).distinct()
 
 
 def match_in_order(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,4 +1,10 @@
-from tessera.plans import textual
+from tessera.plans import relational, textual
+
+
+def test_links_of_a_node_with_itself_stay(spark):
+    l = spark.createDataFrame([(1000005, 5), (1000005, 5), (7, 5), (1000007, 5)], "l_partkey long, l_suppkey long")
+    got = sorted(map(tuple, relational.links_both_ways(lambda _: l, spark).collect()))
+    assert got == [(7, 1000005), (1000005, 7), (1000005, 1000005), (1000005, 1000007), (1000007, 1000005)]
 
 
 def test_references_that_were_cut_stay_as_they_stand(spark):
