@@ -114,7 +114,8 @@ def spill_checks(t, spark):
     """Rows, ids, domains, volumes, reports and the windows between a user's events."""
     e = t("events")
     before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts"))
-    gaps = e.withColumn("l", before).select(F.coalesce(F.expr("timestampdiff(second, l, ts)"), F.lit(0)).alias("gap_s"))
+    # from one full second to another, whatever lies between them
+    gaps = e.withColumn("l", before).select(F.coalesce(F.expr("timestampdiff(second, date_trunc('second', l), date_trunc('second', ts))"), F.lit(0)).alias("gap_s"))
     return checks.run_suite(spill(), {"events": e, "gaps": gaps, "customer": t("customer")})
 
 
