@@ -194,9 +194,8 @@ def filtered_topk(t, spark):
 @query("J2_hashed_embedding")
 def hashed_embedding(t, spark):
     """A stand-in for a model: signed sums of word hashes in 64 dimensions, of length 1."""
-    w = F.transform(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda x: F.xxhash64(x))
-    dims = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda d: F.aggregate(F.col("w"), F.lit(0.0), lambda a, h: a + F.when(F.pmod(h, F.lit(64)) == d, F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    v = t("documents").select("doc_id", w.alias("w")).select("doc_id", dims.alias("v"))
+    words = F.transform(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda x: F.xxhash64(x))
+    v = t("documents").select("doc_id", T.signed_sums(words).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return v.select("doc_id", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("embedding"))
 
