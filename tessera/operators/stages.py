@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from tessera.sources.files import landing_dir
@@ -14,7 +16,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, where it has fewer: rows that Python works on long shouldn't wait in one task of a small file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def parts(df: DataFrame, rows: int) -> int:
+    """How many partitions hold about so many rows of df each, and at least what the session deals into: tasks don't grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+
+
+def spread(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df in as many partitions as there are cores and of about so many rows, where it has fewer: rows that Python works on long shouldn't wait in one task of a large file."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
