@@ -144,7 +144,7 @@ def citation_forms(t, spark):
 def excluded_numbers(t, spark):
     """Phone numbers, form numbers and versions are no parameters; thousands in words are."""
     df = written(t, "Call 317-555-%04d about Form FM-%d, version 2.%d.1, for %d thousand gallons", F.col("k") % 10000, "a", "b", "d")
-    return df.select("k", F.explode(G.parameters("text")).alias("p")).select("k", "p.value_num")
+    return spread(df.select("k", "text")).select("k", F.explode(G.parameters("text")).alias("p")).select("k", "p.value_num")
 
 
 @query("H12_number_words", "select p_partkey, cast(p_size as double) as n from part")
