@@ -9,6 +9,7 @@ from tessera.functions import grammar as G
 from tessera.functions import text as T
 from tessera.operators import clauses as C
 from tessera.operators import engine, joins, profiling, similar
+from tessera.operators.stages import parts
 from tessera.registry import query
 
 
@@ -210,9 +211,11 @@ def neighbours(t, spark):
 @query("N2_typed_neighbours", "select a.l_suppkey as node, b.l_returnflag as type, count(distinct b.l_suppkey) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey group by 1, 2")
 def typed_neighbours(t, spark):
     """How many others share an order with each supplier, by the type of their line."""
-    l = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct()
+    # dealt by order once, then by pair, in parts of so many lines, so that a task's memory doesn't grow with the table
+    n = parts(t("lineitem"), 500_000)
+    l = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").repartition(n, "l_orderkey").distinct()
     own = l.select("l_orderkey", F.col("l_suppkey").alias("node")).distinct()
-    pairs = own.join(l, "l_orderkey").where("node <> l_suppkey").select("node", F.col("l_returnflag").alias("type"), "l_suppkey").distinct()
+    pairs = own.join(l, "l_orderkey").where("node <> l_suppkey").select("node", F.col("l_returnflag").alias("type"), "l_suppkey").repartition(n, "node", "type", "l_suppkey").distinct()
     return pairs.groupBy("node", "type").agg(F.count("*").alias("n"))
 
 

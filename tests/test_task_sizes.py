@@ -52,3 +52,12 @@ def test_scores_are_made_for_as_many_queries_as_fit(monkeypatch):
     real = retrieval.np.round
     monkeypatch.setattr(retrieval.np, "round", lambda x, d: seen.append(x.size) or real(x, d))
     assert retrieval.best_of_block(rows, queries, 5, True).equals(want) and max(seen) <= 130
+
+
+def test_neighbours_are_dealt_into_parts_of_so_many_lines(spark, monkeypatch):
+    from tessera.plans import clauses
+
+    monkeypatch.setattr(clauses, "parts", lambda df, rows: 33)
+    df = clauses.typed_neighbours(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"), spark)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey#" in plan and plan.count(", 33), REPARTITION_BY_NUM") >= 2
