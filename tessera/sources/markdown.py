@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.stages import kept
+
 #: Characters from which on a document is cut.
 LONG = 200_000
 
@@ -231,7 +233,8 @@ def segments(docs: DataFrame, size: int = LONG) -> DataFrame:
     local id points to which an earlier unit has.
     """
     pieces = docs.where("text is not null").select(F.col("doc_id").cast("string"), "text").mapInArrow(lambda it: cut(it, size), PIECE)
-    units = pieces.repartition(F.col("doc_id"), F.col("n")).mapInArrow(scanned, UNITS)
+    # written once: numbering, parents and the result each read it, and would each scan all lines anew
+    units = kept(pieces.repartition(F.col("doc_id"), F.col("n")).mapInArrow(scanned, UNITS))
     order = Window.partitionBy("doc_id").orderBy("n", "i")
     units = units.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).withColumn("full_id", F.concat_ws(":", "marker", "local_id"))
     again = F.row_number().over(Window.partitionBy("doc_id", "full_id").orderBy("ordinal")) > 1

@@ -61,3 +61,10 @@ def test_neighbours_are_dealt_into_parts_of_so_many_lines(spark, monkeypatch):
     df = clauses.typed_neighbours(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"), spark)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey#" in plan and plan.count(", 33), REPARTITION_BY_NUM") >= 2
+
+
+def test_lines_are_scanned_once(spark):
+    from tessera.sources import markdown
+
+    df = markdown.segments(spark.createDataFrame([("D", "# A\n\n<!-- clause: D:1 -->\nx")], "doc_id string, text string"))
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
