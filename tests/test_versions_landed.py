@@ -1,7 +1,9 @@
 import json
 import os
+from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.sources import landed, records
@@ -124,3 +126,21 @@ def test_stream_takes_each_page_once_and_waits_for_sources_that_are_down(spark,
 def test_normalisers(source, raw, want):
     got = records.NORMALISERS[source](raw)
     assert got is None if want is None else {k: got[k] for k in want} == want
+
+
+def test_a_key_is_told_row_by_row_without_frames():
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):  # as a store gives it back: without a zone
+            self.value = (v[0], v[1].astimezone().replace(tzinfo=None), v[2])
+
+    day = lambda n: datetime(2024, 1, n, tzinfo=timezone.utc)
+    rows = [Row(at=day(n), record_id=i, content_hash=h) for n, i, h in ((3, "c", "y"), (1, "a", "x"), (3, "b", "x"))]
+    v = versions.Versions()
+    v.latest = State()
+    got = list(v.handleInputRows(("s", "k"), iter(rows), None)) + list(v.handleInputRows(("s", "k"), iter([Row(at=day(2), record_id="d", content_hash="x")]), None))
+    assert [(r.record_id, r.state, r.prior_at, r.n_versions) for r in got] == [("a", "new", None, 1), ("b", "unchanged", day(1), 1), ("c", "changed", day(3), 2), ("d", "changed", day(3), 3)]
