@@ -64,13 +64,21 @@ def similar(left: DataFrame, right: DataFrame | None = None, least: Fraction = L
 
 def best_of_others(new: DataFrame, old: DataFrame, least: Fraction = LEAST) -> DataFrame:
     """(block, key, other, score): for each new set the old one that is most alike, by ``least`` or more, and has another key; of equals the smallest key."""
-    n, o = kept(new), kept(old)
-    new_classes, old_classes = kept(classes(n)), kept(classes(o))
+    n = kept(new)
+    new_classes = kept(classes(n))
 
     def representatives(sets: DataFrame, of: DataFrame) -> DataFrame:
         return sets.join(of.select("block", F.col("first").alias("key")), ["block", "key"], "left_semi")
 
-    found = similar(representatives(n, new_classes), representatives(o, old_classes), least)
+    if old is new:  # each pair is found once and read both ways, and a class is like itself
+        old_classes = new_classes
+        pairs = kept(similar(representatives(n, new_classes), None, least))
+        itself = new_classes.select("block", F.col("first").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("score"))
+        found = pairs.unionByName(pairs.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(itself)
+    else:
+        o = kept(old)
+        old_classes = kept(classes(o))
+        found = similar(representatives(n, new_classes), representatives(o, old_classes), least)
     by_class = found.join(new_classes.select("block", F.col("first").alias("a"), "same", "n"), ["block", "a"])
     options = by_class.join(old_classes.select("block", F.col("first").alias("b"), "second"), ["block", "b"]).select("block", "same", "n", "score", F.col("b").alias("first"), "second")
     each = n.select("block", "key", "same", "n").join(options, ["block", "same", "n"])

@@ -88,3 +88,18 @@ def test_inclusions_and_clause_columns(spark):
     assert [tuple(r) for r in inclusion.foreign_keys(inclusion.inclusions({"a": a, "b": b})).collect()] == [("b.a_key", "a.a_key", 1.0)]
     ids = a.select(F.lit("d").alias("doc_id"), F.col("clause").alias("local_id")).where("a_key < 17").unionByName(a.select(F.lit("e").alias("doc_id"), F.col("clause").alias("local_id")).where("a_key < 15"))
     assert [(r.col, r.doc_id, r.known) for r in inclusion.reference_columns("a", a, ids).collect()] == [("a.clause", "d", 0.85)]
+
+
+def test_a_table_is_held_against_itself_once(spark, monkeypatch):
+    rows, seen = texts(random.Random(4), 60), []
+    real = similar.similar
+    monkeypatch.setattr(similar, "similar", lambda left, right, least: seen.append(right) or real(left, right, least))
+    one = sets(spark, rows)
+    got = {(r.block, r.key): (r.other, r.score) for r in similar.best_of_others(one, one).collect()}
+    want = {}
+    for b, k, t in rows:
+        found = [(-alike(t, u), j) for c, j, u in rows if c == b and j != k and alike(t, u) >= 0.8]
+        if found:
+            want[b, k] = (min(found)[1], -min(found)[0])
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want) and len(want) > 5
+    assert seen == [None]
