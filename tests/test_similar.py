@@ -103,3 +103,30 @@ def test_a_table_is_held_against_itself_once(spark, monkeypatch):
             want[b, k] = (min(found)[1], -min(found)[0])
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want) and len(want) > 5
     assert seen == [None]
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 8])
+def test_frequent_elements_lose_no_pair(spark, monkeypatch, crowd):
+    """Elements of more than a few sets come last; sets that have little else are held against each other by exact counts."""
+    rows, exact = texts(random.Random(5), 150), []
+    real = similar.by_rarest
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "by_rarest", lambda *a: exact.append(a[0].count()) or real(*a))
+    want = {(a[1], b[1]): alike(a[2], b[2]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and alike(a[2], b[2]) >= 0.8}
+    assert {(r.a, r.b): r.score for r in similar.similar(sets(spark, rows)).collect()} == pytest.approx(want) and len(want) > 50
+    two = {(r.a, r.b) for r in similar.similar(sets(spark, rows), sets(spark, rows)).collect()}
+    assert two == {p for a, b in want for p in ((a, b), (b, a))} | {(r[1], r[1]) for r in rows} and len(exact) == 2
+
+
+def test_elements_are_not_all_counted(spark, monkeypatch):
+    """Of sets without frequent elements no more than a third of the elements are counted, and those alone are fetched whole that may be alike."""
+    rows = [("a", i, " ".join(f"w{i}x{j}" for j in range(104))) for i in range(40)]
+    rows += [("a", 100 + i, t + " more") for _, i, t in rows[:3]]
+    seen = []
+    real = similar.kept
+    monkeypatch.setattr(similar, "kept", lambda df: seen.append(real(df)) or seen[-1])
+    monkeypatch.setattr(similar, "prefixes", None)
+    got = {(r.a, r.b) for r in similar.similar(sets(spark, rows)).collect()}
+    assert got == {(i, 100 + i) for i in range(3)}
+    assert [df.select(F.sum(F.size("look"))).first()[0] <= 0.33 * 43 * 100 for df in seen if "look" in df.columns] == [True]
+    assert [df.count() for df in seen if "g" in df.columns] == [6]
