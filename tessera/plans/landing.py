@@ -324,7 +324,7 @@ def interval_stitch(t, spark):
     for late in (False, True):
         actions.where((F.xxhash64("action_id") % 2 == 0) == F.lit(late)).write.mode("append").parquet(f"{root}/actions")
         streams = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for name, df in (("sections", sections), ("actions", actions))]
-        V.take(V.stitched(*streams, late="4000 days", after=STITCH_DAYS), f"{root}/links", f"{root}/cursor")
+        V.take(V.stitched(*streams, late="4000 days", after=STITCH_DAYS), f"{root}/links", f"{root}/cursor", timers=False)
     links = spark.read.parquet(f"{root}/links").select("section_id", "action_id")
     return sections.select("section_id").join(links, "section_id", "left")
 
