@@ -62,6 +62,19 @@ def test_interval_stitch_in_either_order(spark, tmp_path):
     assert run() == [("s1", "a1"), ("s3", "a2")]
 
 
+def test_stitching_runs_no_batch_without_data(spark, tmp_path):
+    """Two landings are two batches, joined by one store a task; what the session sets for streams stays."""
+    for n in (1, 2):
+        spark.sql(f"select 's{n}' as section_id, 'c' as citation, timestamp '2024-01-10' as at").write.mode("append").parquet(f"{tmp_path}/s")
+        spark.sql(f"select 'a{n}' as action_id, 'c' as citation, timestamp '2024-01-0{n}' as published").write.mode("append").parquet(f"{tmp_path}/a")
+        streams = [spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{k}").schema).parquet(f"{tmp_path}/{k}") for k in "sa"]
+        versions.take(versions.stitched(*streams), f"{tmp_path}/out", f"{tmp_path}/cursor", timers=False)
+    assert sorted((r.section_id, r.action_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(s, a) for s in ("s1", "s2") for a in ("a1", "a2")]
+    assert sorted(f for f in os.listdir(f"{tmp_path}/cursor/commits") if f.isdigit()) == ["0", "1"]
+    assert not any(d.startswith(("left-", "right-")) for d in os.listdir(f"{tmp_path}/cursor/state/0/0"))
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
 def page(tmp_path, source, name, *rows):
     os.makedirs(tmp_path / source, exist_ok=True)
     (tmp_path / source / name).write_bytes(b"\n".join(r if isinstance(r, bytes) else json.dumps(r).encode() for r in rows))
