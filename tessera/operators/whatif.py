@@ -9,6 +9,9 @@ from tessera.functions import values
 from tessera.operators import engine
 from tessera.operators.stages import kept
 
+#: Up to so many edits' numbers are sent to where the base's rows lie, which then aren't moved.
+FEW = 1_000_000
+
 
 def text_edits(changes: DataFrame) -> DataFrame:
     """Changes whose first value is another one now: the new value half as much again, put into the new text where the old text has its own, in the form that stands there."""
@@ -34,11 +37,12 @@ def what_if(base: DataFrame, edits: DataFrame, clauses: DataFrame, citations: Da
     """A run's decisions (base) after edits: changes that replace those of their change_id, or are new.
 
     A candidate belongs to one change, so those of all other changes stand; the
-    edits alone go through the paths and rules, and being few they are joined to
-    citations and clauses without moving these.
+    edits alone go through the paths and rules. How many there are is counted, as
+    their files tell too little of it.
     """
     edits = kept(edits)
-    rest = base.join(edits.select("change_id"), "change_id", "left_anti")
+    ids = edits.select("change_id").distinct()
+    rest = base.join(F.broadcast(ids) if edits.count() <= FEW else engine.merged(ids), "change_id", "left_anti")
     return rest.unionByName(decided(edits, clauses, citations, links, params))
 
 

@@ -142,3 +142,14 @@ def test_number_words_both_ways():
     assert values.words_of(0) is None and values.words_of(1000) is None and values.words_of(158) == "one hundred fifty-eight"
     for text, n in [("Two Thousand Five Hundred", 2500), ("one hundred and five", 105), ("thirty five", 35), ("zero", 0), ("hundred", None), ("ten days", None), ("", None), (None, None)]:
         assert values.number_in(text) == n
+
+
+def test_a_what_if_run_broadcasts_no_more_than_the_numbers_of_few_edits(spark, monkeypatch):
+    def t(name):
+        return spark.read.parquet(f"{SF}/{name}.parquet")
+
+    plan = lambda: plans.edited_run(t, spark)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan().splitlines() if "BroadcastHashJoin" in x]
+    assert len(joins) == 2 and all("change_id" in x and "LeftAnti" in x for x in joins)  # where candidates are open, and where not
+    monkeypatch.setattr(whatif, "FEW", 0)
+    assert "Broadcast" not in plan()
