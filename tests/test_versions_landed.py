@@ -157,3 +157,25 @@ def test_a_key_is_told_row_by_row_without_frames():
     v.latest = State()
     got = list(v.handleInputRows(("s", "k"), iter(rows), None)) + list(v.handleInputRows(("s", "k"), iter([Row(at=day(2), record_id="d", content_hash="x")]), None))
     assert [(r.record_id, r.state, r.prior_at, r.n_versions) for r in got] == [("a", "new", None, 1), ("b", "unchanged", day(1), 1), ("c", "changed", day(3), 2), ("d", "changed", day(3), 3)]
+
+
+def test_a_group_of_keys_tells_what_each_key_would():
+    import random
+
+    import pandas as pd
+
+    rng, held, known = random.Random(1), {}, None
+    for batch in range(4):
+        rows = [("s", rng.choice(["1", "2", "3", None]), f"{batch}-{i}", rng.randrange(12), rng.choice("xy")) for i in range(rng.choice([1, 25]))]
+        want = []
+        for c in {r[1] for r in rows}:
+            for _, _, i, at, content in sorted((r for r in rows if r[1] == c), key=lambda r: (r[3], r[2])):
+                was = held.get(c)
+                state = "new" if was is None else "unchanged" if was[0] == content else "changed"
+                n = (was[2] if was else 0) + (state != "unchanged")
+                want.append((c, i, at, content, state, was and was[1], n))
+                held[c] = (was[0], was[1], n) if was and at < was[1] else (content, at, n)
+        out, known = versions.told_at_once(pd.DataFrame(rows, columns=["source_system", "citation", "record_id", "at", "content_hash"]), known)
+        got = [tuple(None if pd.isna(x) else x for x in r) for r in out.drop(columns="source_system").itertuples(index=False)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert {(None if pd.isna(k) else k): tuple(v) for k, *v in known[["citation", "content_hash", "at", "n_versions"]].itertuples(index=False)} == held
